@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens.operators import indicators as I
@@ -172,3 +172,298 @@ SELECT ticker, sector, ts, close, round(rsi, 4) AS rsi,
 FROM ind WHERE pos = n_rows - 1""")
 def q_signal_board(spark, sf):
     return signal_board(D.bars(spark, sf))
+
+
+# --------------------------------------------------------------------------- summaries
+from pricelens.operators import evaluate as E  # noqa: E402
+from pricelens.operators import labels as L  # noqa: E402
+from pricelens.operators import summary as M  # noqa: E402
+
+BPS = S.with_(S.BARS, S.BP)
+
+
+@register("latest_change", BPS + """,
+lc AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS prev_close FROM bp)
+SELECT ticker, ts, close, prev_close,
+       round((close - prev_close) / prev_close * 100, 6) AS day_change
+FROM lc WHERE pos = n_rows - 1""")
+def q_latest_change(spark, sf):
+    return rnd(M.latest_change(D.bars(spark, sf)), {"day_change": 6})
+
+
+_HZ = ", ".join(f"('{h}', {i + 1}, {d if d is not None else 'NULL'})"
+                for i, (h, d) in enumerate(M.HORIZONS))
+
+PERIOD_RETURNS_SQL = BPS + f""",
+h(horizon, horizon_order, days) AS (VALUES {_HZ}),
+last AS (SELECT ticker, ts AS last_ts, close AS last_close, n_rows FROM bp WHERE pos = n_rows - 1),
+ytd AS (SELECT b.ticker, arg_min(b.close, b.pos) AS ref, count(*) AS n_y
+        FROM bp b JOIN last l ON b.ticker = l.ticker AND year(b.ts) = year(l.last_ts)
+        GROUP BY b.ticker),
+rets AS (
+  SELECT l.ticker, h.horizon, h.horizon_order, (l.last_close - r.close) / r.close * 100 AS ret_pct
+  FROM last l JOIN h ON h.days IS NOT NULL AND l.n_rows > h.days AND l.n_rows >= 2
+  JOIN bp r ON r.ticker = l.ticker AND r.pos = l.n_rows - 1 - h.days
+  UNION ALL
+  SELECT l.ticker, 'YTD', 6, (l.last_close - y.ref) / y.ref * 100
+  FROM last l JOIN ytd y ON l.ticker = y.ticker WHERE y.n_y > 1 AND l.n_rows >= 2)"""
+
+
+@register("period_returns", PERIOD_RETURNS_SQL + """
+SELECT ticker, horizon, horizon_order, round(ret_pct, 6) AS ret_pct FROM rets""")
+def q_period_returns(spark, sf):
+    return rnd(M.period_returns(D.bars(spark, sf)), {"ret_pct": 6})
+
+
+RISK_SQL = BPS + """,
+r AS (SELECT *, close / lag(close) OVER w - 1 AS ret,
+             (close - max(close) OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+               / max(close) OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100 AS dd
+      FROM bp WINDOW w AS (PARTITION BY ticker ORDER BY ts)),
+g AS (SELECT ticker, count(ret) AS n_ret, avg(ret) AS mu, stddev_samp(ret) AS sd,
+             count(ret) FILTER (WHERE ret < 0) AS n_neg,
+             stddev_samp(ret) FILTER (WHERE ret < 0) AS sd_neg,
+             min(dd) AS max_drawdown, count(ret) FILTER (WHERE ret > 0) AS n_pos
+      FROM r GROUP BY ticker HAVING count(ret) >= 30),
+k AS (SELECT ticker, mu * 252 * 100 AS annual_return, sd * sqrt(252) * 100 AS annual_volatility,
+             CASE WHEN n_neg > 0 THEN sd_neg * sqrt(252) * 100 ELSE sd * sqrt(252) * 100 END AS down,
+             max_drawdown, n_pos::DOUBLE / n_ret * 100 AS positive_days FROM g),
+risk AS (SELECT ticker, annual_return, annual_volatility,
+       CASE WHEN annual_volatility > 0 THEN (annual_return - 4.5) / annual_volatility ELSE 0.0 END AS sharpe,
+       CASE WHEN down > 0 THEN (annual_return - 4.5) / down ELSE 0.0 END AS sortino,
+       max_drawdown, positive_days FROM k)"""
+RISK_COLS = {"annual_return": 6, "annual_volatility": 6, "sharpe": 8, "sortino": 8,
+             "max_drawdown": 6, "positive_days": 6}
+
+
+@register("risk_metrics", RISK_SQL + f"\nSELECT ticker, {rsql(RISK_COLS)} FROM risk")
+def q_risk_metrics(spark, sf):
+    return rnd(M.risk_metrics(D.bars(spark, sf)), RISK_COLS)
+
+
+@register("risk_bands", RISK_SQL + """
+SELECT ticker,
+  CASE WHEN sharpe > 1 THEN 'GOOD' WHEN sharpe > 0 THEN 'FAIR' ELSE 'POOR' END AS sharpe_band,
+  CASE WHEN annual_volatility > 35 THEN 'HIGH' WHEN annual_volatility > 22 THEN 'ELEVATED' ELSE 'LOW' END AS vol_band,
+  CASE WHEN max_drawdown < -40 THEN 'SEVERE' WHEN max_drawdown < -25 THEN 'MODERATE' ELSE 'MILD' END AS dd_band
+FROM risk""")
+def q_risk_bands(spark, sf):
+    from pricelens.operators.signals import risk_bands
+    return risk_bands(M.risk_metrics(D.bars(spark, sf)))
+
+
+@register("growth_summary", S.with_(S.BARS) + """
+SELECT ticker, count(*) AS n_bars,
+       round(arg_max(close, ts) / arg_min(close, ts) * 10000, 4) AS final_value,
+       round(arg_max(close, ts) / arg_min(close, ts), 8) AS multiple,
+       round(datediff('day', min(ts)::DATE, max(ts)::DATE) / 365.25, 6) AS years
+FROM bars GROUP BY ticker""")
+def q_growth_summary(spark, sf):
+    return rnd(M.growth_summary(D.bars(spark, sf)), {"final_value": 4, "multiple": 8, "years": 6})
+
+
+@register("range_position", BPS + """,
+t AS (SELECT ticker, min(low) AS low_52w, max(high) AS high_52w, arg_max(close, pos) AS price
+      FROM bp WHERE n_rows - 1 - pos < 252 GROUP BY ticker)
+SELECT ticker, price, low_52w, high_52w,
+       round((price - coalesce(low_52w, 0)) / greatest(coalesce(high_52w, 1) - coalesce(low_52w, 0), 1e-9) * 100, 6) AS range_pct
+FROM t""")
+def q_range_position(spark, sf):
+    return rnd(M.range_position(D.bars(spark, sf)), {"range_pct": 6})
+
+
+@register("return_histogram", BPS + """,
+r AS (SELECT ticker, (close / lag(close) OVER (PARTITION BY ticker ORDER BY ts) - 1) * 100 AS r FROM bp),
+m AS (SELECT ticker, r, min(r) OVER (PARTITION BY ticker) AS mn, max(r) OVER (PARTITION BY ticker) AS mx
+      FROM r WHERE r IS NOT NULL),
+b AS (SELECT ticker, mn, mx,
+             coalesce(least(floor((r - mn) / NULLIF(mx - mn, 0) * 80) + 1, 80), 1)::INTEGER AS bucket
+      FROM m)
+SELECT ticker, bucket, count(*) AS n, round(any_value(mn) + (bucket - 1) * (any_value(mx) - any_value(mn)) / 80, 6) AS lo_edge
+FROM b GROUP BY ticker, bucket""")
+def q_return_histogram(spark, sf):
+    return rnd(M.return_histogram(D.bars(spark, sf)), {"lo_edge": 6})
+
+
+@register("chart_tail", BPS + """
+SELECT ticker, sector, ts, open, high, low, close, volume FROM bp WHERE n_rows - 1 - pos < 63""")
+def q_chart_tail(spark, sf):
+    return M.chart_tail(D.bars(spark, sf), 63)
+
+
+@register("bar_direction", IND_SQL + """
+SELECT ticker, count_if(close >= open) AS up_bars, count_if(macd_hist >= 0) AS hist_up,
+       count_if(daily_return >= 0) AS ret_up, count(*) AS n_bars
+FROM ind GROUP BY ticker""")
+def q_bar_direction(spark, sf):
+    d = M.bar_direction(I.indicators_core(D.bars(spark, sf)))
+    return d.groupBy("ticker").agg(F.count_if("up_bar").alias("up_bars"),
+                                   F.count_if("hist_up").alias("hist_up"),
+                                   F.count_if("ret_up").alias("ret_up"),
+                                   F.count("*").alias("n_bars"))
+
+
+# --------------------------------------------------------------------------- labels, splits
+TRAIN_SQL = S.with_(S.BARS, *S.TRAINING, recursive=True)
+
+
+def training_frame(spark, sf, label_mode: str = "strict") -> DataFrame:
+    """bars -> core indicators -> 30-bar label (one plan, one ticker exchange)."""
+    return I.add_label(I.indicators_core(prepare(D.bars(spark, sf))), 30, label_mode)
+
+
+def split_frame(spark, sf) -> DataFrame:
+    return L.embargo_split(L.usable_rows(training_frame(spark, sf)))
+
+
+def preds_frame(spark, sf) -> DataFrame:
+    """Test rows scored by the MACD-histogram rule (score = hist, UP when > 0)."""
+    t = split_frame(spark, sf).where(C("part") == "test")
+    return t.select("ticker", "sector", "ts", "target", C("macd_hist").alias("score"),
+                    (C("macd_hist") > 0).cast("int").alias("prediction"))
+
+
+@register("label_strict", S.with_(S.BARS, *S.INDICATORS, S.LABEL, recursive=True) + """
+SELECT ticker, ts, round(future_return, 8) AS future_return, target FROM lab2""")
+def q_label_strict(spark, sf):
+    d = I.add_label(D.bars(spark, sf), 30, "strict")
+    return rnd(d.select("ticker", "ts", "future_return", "target"), {"future_return": 8})
+
+
+@register("label_compat", S.with_(S.BARS, *S.INDICATORS, S.LABEL, S.LABEL_COMPAT, recursive=True) + """
+SELECT ticker, ts, round(future_return, 8) AS future_return, target_c AS target FROM labc""")
+def q_label_compat(spark, sf):
+    d = I.add_label(D.bars(spark, sf), 30, "compat")
+    return rnd(d.select("ticker", "ts", "future_return", "target"), {"future_return": 8})
+
+
+@register("min_history", S.with_(S.BARS) + """,
+c AS (SELECT *, count(*) OVER (PARTITION BY ticker) AS n FROM bars)
+SELECT ticker, ts, close FROM c WHERE n >= 1000""")
+def q_min_history(spark, sf):
+    return L.min_history(D.bars(spark, sf), 1000).select("ticker", "ts", "close")
+
+
+@register("usable_rows", TRAIN_SQL + """
+SELECT ticker, count(*) AS usable FROM usable GROUP BY ticker""")
+def q_usable_rows(spark, sf):
+    return L.usable_rows(training_frame(spark, sf)).groupBy("ticker").agg(
+        F.count("*").alias("usable"))
+
+
+FEATURE_ROUND = {c: IND_ROUND[c] for c in ["rsi", "macd", "macd_hist", "bb_position",
+                                             "volume_ratio", "volatility", "daily_return"]}
+
+
+@register("feature_matrix", TRAIN_SQL + f"""
+SELECT ticker, ts, {rsql(FEATURE_ROUND)}, target FROM usable""")
+def q_feature_matrix(spark, sf):
+    from pricelens.schema import FEATURES_7
+    u = L.usable_rows(training_frame(spark, sf))
+    return rnd(u.select("ticker", "ts", *FEATURES_7, "target"), FEATURE_ROUND)
+
+
+@register("embargo_split", TRAIN_SQL + """
+SELECT ticker, ts, ri AS row_in_ticker, part FROM parts""")
+def q_embargo_split(spark, sf):
+    return split_frame(spark, sf).select("ticker", "ts", "row_in_ticker", "part")
+
+
+@register("split_global", TRAIN_SQL + """,
+g AS (SELECT *, row_number() OVER (ORDER BY ticker, ts) - 1 AS global_pos,
+             count(*) OVER () AS total FROM usable)
+SELECT ticker, ts, global_pos,
+       CASE WHEN global_pos < floor(total * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part
+FROM g""")
+def q_split_global(spark, sf):
+    d = L.split_global(L.usable_rows(training_frame(spark, sf)))
+    return d.select("ticker", "ts", "global_pos", "part")
+
+
+@register("split_summary", TRAIN_SQL + """
+SELECT part, count(*) AS rows, round(avg(target) * 100, 6) AS up_pct FROM parts GROUP BY part""")
+def q_split_summary(spark, sf):
+    return rnd(E.split_summary(split_frame(spark, sf)), {"up_pct": 6})
+
+
+@register("rows_per_ticker", S.with_(S.BARS) + """
+SELECT ticker, count(*) AS n_rows FROM bars GROUP BY ROLLUP (ticker)""")
+def q_rows_per_ticker(spark, sf):
+    return D.bars(spark, sf).rollup("ticker").agg(F.count("*").alias("n_rows"))
+
+
+@register("sector_summary", S.with_(S.BARS) + """
+SELECT sector, count(DISTINCT ticker) AS n_tickers, count(*) AS n_rows FROM bars GROUP BY sector""")
+def q_sector_summary(spark, sf):
+    return D.bars(spark, sf).groupBy("sector").agg(F.count_distinct("ticker").alias("n_tickers"),
+                                                   F.count("*").alias("n_rows"))
+
+
+@register("label_distribution", TRAIN_SQL + """
+SELECT target, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS share
+FROM usable GROUP BY target""")
+def q_label_distribution(spark, sf):
+    u = L.usable_rows(training_frame(spark, sf))
+    g = u.groupBy("target").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.round(C("n") / F.sum("n").over(Window.partitionBy()), 8))
+
+
+# --------------------------------------------------------------------------- evaluation
+PRED_SQL = S.with_(S.BARS, *S.TRAINING, S.PREDS, recursive=True)
+BASE_SQL = S.with_(S.BARS, *S.TRAINING, S.BASE_PREDS, recursive=True)
+EVAL_ROUND = {"accuracy": 8, "baseline_always_up_acc": 8, "lift_over_baseline_pp": 6,
+              "down_precision": 8, "down_recall": 8, "down_f1": 8}
+
+
+@register("eval_metrics", PRED_SQL + ", " + S.COUNTS + ", " + S.EVAL)
+def q_eval_metrics(spark, sf):
+    return rnd(E.eval_metrics(preds_frame(spark, sf)), EVAL_ROUND)
+
+
+@register("baseline_eval", BASE_SQL + ", " + S.COUNTS + ", " + S.EVAL)
+def q_baseline_eval(spark, sf):
+    return rnd(E.eval_metrics(E.always_up(preds_frame(spark, sf))), EVAL_ROUND)
+
+
+@register("confusion_matrix", PRED_SQL + ", " + S.COUNTS + "\nSELECT tn, fp, fn, tp FROM cm")
+def q_confusion_matrix(spark, sf):
+    return E.confusion_matrix(preds_frame(spark, sf))
+
+
+@register("class_report", PRED_SQL + ", " + S.COUNTS + """,
+cls AS (
+  SELECT 'DOWN' AS label, coalesce(tn / NULLIF((tn + fn)::DOUBLE, 0), 0.0) AS precision,
+         coalesce(tn / NULLIF((tn + fp)::DOUBLE, 0), 0.0) AS recall, (tn + fp)::DOUBLE AS support FROM cm
+  UNION ALL
+  SELECT 'UP', coalesce(tp / NULLIF((tp + fp)::DOUBLE, 0), 0.0),
+         coalesce(tp / NULLIF((tp + fn)::DOUBLE, 0), 0.0), (tp + fn)::DOUBLE FROM cm),
+f AS (SELECT *, coalesce(2 * precision * recall / NULLIF(precision + recall, 0), 0.0) AS f1 FROM cls),
+allr AS (
+  SELECT label, precision, recall, f1, support FROM f
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
+  UNION ALL SELECT 'weighted avg',
+     coalesce(sum(precision * support) / NULLIF(sum(support), 0), 0.0),
+     coalesce(sum(recall * support) / NULLIF(sum(support), 0), 0.0),
+     coalesce(sum(f1 * support) / NULLIF(sum(support), 0), 0.0), sum(support) FROM f)
+SELECT label, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1,
+       support FROM allr""")
+def q_class_report(spark, sf):
+    return rnd(E.class_report(preds_frame(spark, sf)), {"precision": 8, "recall": 8, "f1": 8})
+
+
+@register("roc_auc", PRED_SQL + """,
+g AS (SELECT score, count_if(target = 1) AS pos, count_if(target = 0) AS neg FROM preds GROUP BY score),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+             THEN sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) END, 10) AS roc_auc
+FROM c""")
+def q_roc_auc(spark, sf):
+    return rnd(E.roc_auc(preds_frame(spark, sf)), {"roc_auc": 10})
+
+
+@register("sector_accuracy", PRED_SQL + """
+SELECT sector, round(avg((prediction = target)::DOUBLE), 8) AS accuracy,
+       round(avg(target::DOUBLE), 8) AS baseline, count(*) AS rows
+FROM preds GROUP BY sector""")
+def q_sector_accuracy(spark, sf):
+    return rnd(E.sector_accuracy(preds_frame(spark, sf)), {"accuracy": 8, "baseline": 8})

@@ -121,3 +121,54 @@ INDICATORS = [BP, L1, L2, L3, EWM, IND]
 
 def with_(*ctes: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n"
+
+LABEL = """lab AS (
+  SELECT *, lead(close, 30) OVER (PARTITION BY ticker ORDER BY ts) / close - 1 AS future_return
+  FROM ind),
+lab2 AS (SELECT *, (future_return > 0)::INTEGER AS target FROM lab)"""
+
+LABEL_COMPAT = """labc AS (SELECT *, coalesce((future_return > 0)::INTEGER, 0) AS target_c FROM lab)"""
+
+USABLE = """usable AS (
+  SELECT * FROM lab2
+  WHERE rsi IS NOT NULL AND macd IS NOT NULL AND macd_hist IS NOT NULL
+    AND bb_position IS NOT NULL AND volume_ratio IS NOT NULL AND volatility IS NOT NULL
+    AND daily_return IS NOT NULL AND target IS NOT NULL)"""
+
+SPLIT = """spl AS (
+  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS ri,
+         count(*) OVER (PARTITION BY ticker) AS un
+  FROM usable),
+parts AS (
+  SELECT *, CASE WHEN ri < greatest(floor(un * 0.8::DOUBLE) - 30, 0) THEN 'train'
+                 WHEN ri < floor(un * 0.8::DOUBLE) THEN 'embargo' ELSE 'test' END AS part
+  FROM spl)"""
+
+PREDS = """preds AS (
+  SELECT ticker, sector, ts, target, macd_hist AS score, (macd_hist > 0)::INTEGER AS prediction
+  FROM parts WHERE part = 'test')"""
+
+BASE_PREDS = """preds AS (
+  SELECT ticker, sector, ts, target, 1.0::DOUBLE AS score, 1 AS prediction
+  FROM parts WHERE part = 'test')"""
+
+TRAINING = [BP, L1, L2, L3, EWM, IND, LABEL, USABLE, SPLIT]
+
+COUNTS = """cm AS (
+  SELECT count_if(target = 0 AND prediction = 0) AS tn, count_if(target = 0 AND prediction = 1) AS fp,
+         count_if(target = 1 AND prediction = 0) AS fn, count_if(target = 1 AND prediction = 1) AS tp
+  FROM preds)"""
+
+EVAL = """ev AS (
+  SELECT tn + fp + fn + tp AS test_rows,
+         (tn + tp) / NULLIF((tn + fp + fn + tp)::DOUBLE, 0) AS accuracy,
+         (fn + tp) / NULLIF((tn + fp + fn + tp)::DOUBLE, 0) AS baseline_always_up_acc,
+         coalesce(tn / NULLIF((tn + fn)::DOUBLE, 0), 0.0) AS down_precision,
+         coalesce(tn / NULLIF((tn + fp)::DOUBLE, 0), 0.0) AS down_recall
+  FROM cm)
+SELECT test_rows, round(accuracy, 8) AS accuracy,
+       round(baseline_always_up_acc, 8) AS baseline_always_up_acc,
+       round((accuracy - baseline_always_up_acc) * 100, 6) AS lift_over_baseline_pp,
+       round(down_precision, 8) AS down_precision, round(down_recall, 8) AS down_recall,
+       round(coalesce(2 * down_precision * down_recall / NULLIF(down_precision + down_recall, 0), 0.0), 8) AS down_f1
+FROM ev"""
