@@ -467,3 +467,239 @@ SELECT sector, round(avg((prediction = target)::DOUBLE), 8) AS accuracy,
 FROM preds GROUP BY sector""")
 def q_sector_accuracy(spark, sf):
     return rnd(E.sector_accuracy(preds_frame(spark, sf)), {"accuracy": 8, "baseline": 8})
+
+
+# --------------------------------------------------------------------------- dimensions, profile
+from pricelens.operators import registry as G  # noqa: E402
+from pricelens.operators import report as P  # noqa: E402
+from pricelens.operators.resolve import resolve  # noqa: E402
+from pricelens.operators.signals import cap_bucket  # noqa: E402
+
+
+@register("resolve_alias", S.with_(S.BARS, S.ALIASES, S.ALIAS_QUERIES) + """,
+q AS (SELECT query_id, query, lower(trim(query)) AS q FROM aq),
+sfx(sp, suffix) AS (VALUES (0, ' inc.'), (1, ' inc'), (2, ' corp.'), (3, ' corp'), (4, ' corporation'),
+   (5, ' co.'), (6, ' co'), (7, ' ltd.'), (8, ' ltd'), (9, ' plc'), (10, ' company'),
+   (11, ' holdings'), (12, ' group'), (13, ' ag')),
+d AS (SELECT q.query_id, a.ticker AS t1 FROM q JOIN aliases a ON a.alias = q.q),
+s AS (SELECT q.query_id, arg_min(a.ticker, sfx.sp) AS t2
+      FROM q JOIN sfx ON ends_with(q.q, sfx.suffix)
+      JOIN aliases a ON a.alias = trim(left(q.q, length(q.q) - length(sfx.suffix)))
+      GROUP BY q.query_id),
+recent AS (SELECT DISTINCT ticker FROM bars WHERE ts >= (SELECT max(ts) FROM bars) - INTERVAL 5 DAY),
+l AS (SELECT q.query_id, upper(trim(q.query)) AS t3 FROM q
+      WHERE regexp_matches(regexp_replace(upper(trim(q.query)), '[-.]', '', 'g'), '^\\pL+$')
+        AND length(upper(trim(q.query))) BETWEEN 1 AND 6
+        AND upper(trim(q.query)) IN (SELECT ticker FROM recent))
+SELECT q.query_id, q.query, coalesce(t1, t2, t3) AS ticker,
+       CASE WHEN t1 IS NOT NULL THEN 'alias' WHEN t2 IS NOT NULL THEN 'suffix'
+            WHEN t3 IS NOT NULL THEN 'literal' END AS stage
+FROM q LEFT JOIN d USING (query_id) LEFT JOIN s USING (query_id) LEFT JOIN l USING (query_id)""")
+def q_resolve_alias(spark, sf):
+    return resolve(D.alias_queries(spark, sf), D.aliases(spark, sf), D.bars(spark, sf))
+
+
+@register("profile_parse", """
+SELECT event_id, event_type, json_extract(props, '$.k')::BIGINT AS k,
+       coalesce(TRY_CAST(json_extract_string(props, '$.trailingPE') AS DOUBLE), 0.0) AS trailing_pe,
+       coalesce(json_extract_string(props, '$.longName'), '') AS long_name
+FROM events""")
+def q_profile_parse(spark, sf):
+    pj = D.profile_json(spark, sf)
+    schema = "k BIGINT, trailingPE DOUBLE, longName STRING"
+    p = pj.withColumn("p", F.from_json("props", schema))
+    return p.select("event_id", "event_type", C("p.k").alias("k"),
+                    F.coalesce(C("p.trailingPE"), F.lit(0.0)).alias("trailing_pe"),
+                    F.coalesce(C("p.longName"), F.lit("")).alias("long_name"))
+
+
+PROFILE_ROUND = {"market_cap": 2, "pe_ratio": 8, "revenue_growth": 8, "profit_margin": 8}
+
+
+@register("profile_defaults", S.with_(S.PROFILE) + """
+SELECT ticker, round(coalesce(market_cap, 0), 2) AS market_cap, round(coalesce(trailing_pe, 0), 8) AS pe_ratio,
+       round(coalesce(revenue_growth, 0), 8) AS revenue_growth, round(coalesce(profit_margin, 0), 8) AS profit_margin,
+       TRY_CAST(trailing_pe AS DOUBLE) IS NOT NULL AS pe_is_number
+FROM profile""")
+def q_profile_defaults(spark, sf):
+    p = D.profile(spark, sf)
+    num = lambda c: F.coalesce(C(c).try_cast("double"), F.lit(0.0))
+    d = p.select("ticker", num("market_cap").alias("market_cap"), num("trailing_pe").alias("pe_ratio"),
+                 num("revenue_growth").alias("revenue_growth"), num("profit_margin").alias("profit_margin"),
+                 C("trailing_pe").try_cast("double").isNotNull().alias("pe_is_number"))
+    return rnd(d, PROFILE_ROUND)
+
+
+@register("cap_bucket", S.with_(S.PROFILE) + """
+SELECT ticker, round(market_cap, 2) AS market_cap,
+       CASE WHEN market_cap > 200e9 THEN 'Large' WHEN market_cap > 10e9 THEN 'Mid' ELSE 'Small' END AS cap_size
+FROM profile""")
+def q_cap_bucket(spark, sf):
+    p = cap_bucket(D.profile(spark, sf))
+    return rnd(p.select("ticker", "market_cap", "cap_size"), {"market_cap": 2})
+
+
+@register("bars_with_profile", S.with_(S.BARS, S.PROFILE) + """
+SELECT b.ticker, b.ts, b.close, round(coalesce(p.trailing_pe, 0), 8) AS pe_ratio,
+       round(coalesce(p.revenue_growth, 0), 8) AS revenue_growth,
+       round(coalesce(p.profit_margin, 0), 8) AS profit_margin,
+       CASE WHEN p.market_cap > 200e9 THEN 'Large' WHEN p.market_cap > 10e9 THEN 'Mid' ELSE 'Small' END AS cap_size
+FROM bars b LEFT JOIN profile p ON b.ticker = p.ticker""")
+def q_bars_with_profile(spark, sf):
+    p = cap_bucket(D.profile(spark, sf)).select(
+        "ticker", F.coalesce("trailing_pe", F.lit(0.0)).alias("pe_ratio"),
+        F.coalesce("revenue_growth", F.lit(0.0)).alias("revenue_growth"),
+        F.coalesce("profit_margin", F.lit(0.0)).alias("profit_margin"), "cap_size")
+    b = D.bars(spark, sf).select("ticker", "ts", "close").join(p, "ticker", "left")
+    b = b.withColumn("cap_size", F.coalesce("cap_size", F.lit("Small")))
+    for c in ("pe_ratio", "revenue_growth", "profit_margin"):
+        b = b.withColumn(c, F.coalesce(C(c), F.lit(0.0)))
+    return rnd(b, {"pe_ratio": 8, "revenue_growth": 8, "profit_margin": 8})
+
+
+@register("profile_format", S.with_(S.PROFILE) + """
+SELECT ticker,
+  CASE WHEN market_cap IS NULL THEN 'N/A' ELSE printf('$%.2fB', market_cap / 1e9) END AS market_cap_text,
+  CASE WHEN trailing_pe IS NULL THEN 'N/A' ELSE printf('%.2f', trailing_pe) END AS pe_text,
+  CASE WHEN revenue_growth IS NULL THEN 'N/A' WHEN revenue_growth = 0 THEN '0.0%'
+       WHEN abs(revenue_growth) >= 1 THEN printf('%.2f%%', revenue_growth)
+       ELSE printf('%.2f%%', revenue_growth * 100) END AS growth_text,
+  CASE WHEN profit_margin IS NULL THEN 'N/A' ELSE printf('%.1f%%', profit_margin * 100) END AS margin_text
+FROM profile""")
+def q_profile_format(spark, sf):
+    return P.profile_format(D.profile(spark, sf))
+
+
+# --------------------------------------------------------------------------- news, log, text
+@register("news_flatten", S.with_(S.NEWS) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY position) AS rank FROM news)
+SELECT ticker, position, title, publisher, summary, '' AS date, '' AS link, rank FROM r WHERE rank <= 10""")
+def q_news_flatten(spark, sf):
+    return P.news_flatten(D.news_nested(spark, sf), 10)
+
+
+@register("news_digest", S.with_(S.NEWS) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY position) AS rank FROM news)
+SELECT ticker, string_agg('- [' || publisher || '] ' || title || ': ' || left(summary, 160), chr(10) ORDER BY position) AS digest
+FROM r WHERE rank <= 6 AND length(title) > 0 GROUP BY ticker""")
+def q_news_digest(spark, sf):
+    return P.news_digest(P.news_flatten(D.news_nested(spark, sf), 10), 6, 160)
+
+
+@register("log_retention", S.with_(S.RUN_LOG) + """
+SELECT period, retrained_at, total_rows, round(accuracy, 8) AS accuracy,
+       round(baseline_always_up_acc, 8) AS baseline_always_up_acc
+FROM run_log ORDER BY retrained_at DESC, period DESC LIMIT 50""")
+def q_log_retention(spark, sf):
+    return rnd(G.log_retention(D.run_log(spark, sf), 50),
+               {"accuracy": 8, "baseline_always_up_acc": 8})
+
+
+@register("log_latest", S.with_(S.RUN_LOG) + """
+SELECT arg_max(retrained_at, (retrained_at, period)) AS retrained_at,
+       round(arg_max(accuracy, (retrained_at, period)), 8) AS accuracy, 'log' AS source
+FROM run_log""")
+def q_log_latest(spark, sf):
+    return rnd(G.latest_entry(D.run_log(spark, sf)), {"accuracy": 8})
+
+
+@register("log_staleness", S.with_(S.RUN_LOG) + """
+SELECT period, retrained_at,
+       floor((epoch((SELECT max(retrained_at) FROM run_log)) - epoch(retrained_at)) / 86400)::BIGINT AS age_days,
+       CASE WHEN floor((epoch((SELECT max(retrained_at) FROM run_log)) - epoch(retrained_at)) / 86400) < 14 THEN 'fresh'
+            WHEN floor((epoch((SELECT max(retrained_at) FROM run_log)) - epoch(retrained_at)) / 86400) < 60 THEN 'ageing'
+            ELSE 'stale' END AS staleness
+FROM run_log""")
+def q_log_staleness(spark, sf):
+    log = D.run_log(spark, sf)
+    now = log.select(F.max("retrained_at")).scalar()
+    return G.log_staleness(log, now).select("period", "retrained_at", C("age_days").cast("long"),
+                                            "staleness")
+
+
+@register("age_text", """
+WITH a AS (SELECT event_id,
+  ((epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) // 1000000)::BIGINT AS s FROM events),
+b AS (SELECT event_id, s, s // 60 AS mi, s // 3600 AS h, s // 86400 AS d FROM a)
+SELECT event_id, CASE
+  WHEN s < 60 THEN 'just now'
+  WHEN mi < 60 THEN mi || ' min ago'
+  WHEN h < 24 THEN h || ' hr ago'
+  WHEN d < 7 THEN d || ' day' || CASE WHEN d != 1 THEN 's' ELSE '' END || ' ago'
+  WHEN d // 7 < 5 THEN (d // 7) || ' week' || CASE WHEN d // 7 != 1 THEN 's' ELSE '' END || ' ago'
+  WHEN d // 30 < 12 THEN (d // 30) || ' month' || CASE WHEN d // 30 != 1 THEN 's' ELSE '' END || ' ago'
+  ELSE (d // 365) || ' year' || CASE WHEN d // 365 != 1 THEN 's' ELSE '' END || ' ago' END AS age
+FROM b""")
+def q_age_text(spark, sf):
+    from pricelens.functions.scalar import age_text
+    ev = D.profile_json(spark, sf).select("event_id")
+    ev = D.event_ticks(spark, sf).select("event_id", "ts")
+    now = ev.select(F.max("ts")).scalar()
+    return ev.select("event_id", age_text(C("ts"), now).alias("age"))
+
+
+@register("returns_text", PERIOD_RETURNS_SQL + """
+SELECT ticker, string_agg(horizon || ': ' || printf('%+.1f%%', ret_pct), ' | ' ORDER BY horizon_order) AS returns_text
+FROM rets GROUP BY ticker""")
+def q_returns_text(spark, sf):
+    return P.returns_text(M.period_returns(D.bars(spark, sf)))
+
+
+@register("report_lines", f"""
+WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+                  unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
+s AS (SELECT doc_id, line_no, regexp_replace(raw, '^{S.WS}+|{S.WS}+$', '', 'g') AS s FROM e)
+SELECT doc_id, line_no::INTEGER AS line_no,
+       CASE WHEN starts_with(s, '### ') THEN 'heading' WHEN starts_with(s, '- ') THEN 'bullet' ELSE 'paragraph' END AS kind,
+       CASE WHEN starts_with(s, '### ') THEN substr(s, 5) WHEN starts_with(s, '- ') THEN substr(s, 3) ELSE s END AS content
+FROM s WHERE length(s) > 0""")
+def q_report_lines(spark, sf):
+    return P.report_lines(D.reports(spark, sf))
+
+
+# --------------------------------------------------------------------------- sets, joins
+@register("union_sources", S.with_(S.BARS) + """,
+sec AS (SELECT r_name AS ticker, l_shipdate AS ts, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS close
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+        JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, l_shipdate)
+SELECT ticker, ts, close, sector FROM bars
+UNION ALL SELECT ticker, ts, close, NULL AS sector FROM sec""")
+def q_union_sources(spark, sf):
+    a = D.bars(spark, sf).select("ticker", "ts", "close", "sector")
+    b = D.bars_sector(spark, sf).select("ticker", "ts", "close")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@register("loaded_tickers", S.with_(S.BARS) + """,
+loaded AS (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 1000)
+SELECT r_name AS sector, n_name AS ticker FROM nation JOIN region ON n_regionkey = r_regionkey
+WHERE n_name IN (SELECT ticker FROM loaded)""")
+def q_loaded_tickers(spark, sf):
+    loaded = D.bars(spark, sf).groupBy("ticker").count().where(C("count") >= 1000)
+    return D.universe(spark, sf).join(loaded, "ticker", "left_semi").select("sector", "ticker")
+
+
+@register("skipped_tickers", S.with_(S.BARS) + """,
+loaded AS (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 1000)
+SELECT r_name AS sector, n_name AS ticker FROM nation JOIN region ON n_regionkey = r_regionkey
+WHERE n_name NOT IN (SELECT ticker FROM loaded)""")
+def q_skipped_tickers(spark, sf):
+    loaded = D.bars(spark, sf).groupBy("ticker").count().where(C("count") >= 1000)
+    return D.universe(spark, sf).join(loaded, "ticker", "left_anti").select("sector", "ticker")
+
+
+@register("rows_map")
+def q_rows_map(spark, sf):
+    """Per sector map ticker -> rows (at most the sector's tickers per map)."""
+    g = D.bars(spark, sf).groupBy("sector", "ticker").agg(F.count("*").alias("n"))
+    return g.groupBy("sector").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "n")))
+                                   .alias("rows_per_ticker"))
+
+
+@register("ticker_lists")
+def q_ticker_lists(spark, sf):
+    """Used / skipped ticker lists of the universe (one list per status)."""
+    loaded = D.bars(spark, sf).groupBy("ticker").count().where(C("count") >= 1000)
+    u = D.universe(spark, sf).join(loaded.select("ticker", F.lit("used").alias("status")), "ticker", "left")
+    u = u.withColumn("status", F.coalesce("status", F.lit("skipped")))
+    return u.groupBy("status").agg(F.sort_array(F.collect_list("ticker")).alias("tickers"))

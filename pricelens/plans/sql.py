@@ -172,3 +172,36 @@ SELECT test_rows, round(accuracy, 8) AS accuracy,
        round(down_precision, 8) AS down_precision, round(down_recall, 8) AS down_recall,
        round(coalesce(2 * down_precision * down_recall / NULLIF(down_precision + down_recall, 0), 0.0), 8) AS down_f1
 FROM ev"""
+
+PROFILE = """profile AS (
+  SELECT n_name AS ticker, r_name AS sector, sum_c * 1e6 AS market_cap, avg_s / 100 AS trailing_pe,
+         avg_c / NULLIF(avg_s, 0) - 1 AS revenue_growth, n_s::DOUBLE / NULLIF(n_c, 0) AS profit_margin
+  FROM nation JOIN region ON n_regionkey = r_regionkey
+  LEFT JOIN (SELECT s_nationkey, avg(s_acctbal) AS avg_s, count(*) AS n_s FROM supplier GROUP BY s_nationkey) s
+    ON n_nationkey = s.s_nationkey
+  LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) AS sum_c, avg(c_acctbal) AS avg_c, count(*) AS n_c
+             FROM customer GROUP BY c_nationkey) c ON n_nationkey = c.c_nationkey)"""
+
+ALIASES = """aliases AS (
+  SELECT DISTINCT alias, ticker FROM (
+    SELECT lower(n_name) AS alias, n_name AS ticker FROM nation
+    UNION ALL SELECT replace(lower(n_name), '_', ' '), n_name FROM nation))"""
+
+ALIAS_QUERIES = """aq AS (
+  SELECT n_nationkey AS query_id,
+         '  ' || CASE WHEN n_nationkey % 2 = 0 THEN replace(n_name, '_', ' ') ELSE n_name END
+              || (['' || ' inc.', ' corp', ' group', ' ltd', '', ' widgets'])[n_nationkey % 6 + 1] AS query
+  FROM nation)"""
+
+NEWS = """news AS (
+  SELECT conv_id AS ticker, turn AS position, left(text, 40) AS title, role AS publisher,
+         text AS summary FROM conversations)"""
+
+RUN_LOG = """run_log AS (
+  SELECT l_returnflag AS period, date_trunc('month', l_shipdate) AS retrained_at,
+         count(*) AS total_rows, avg((l_discount > 0.05)::DOUBLE) AS accuracy,
+         avg((l_quantity > 25)::DOUBLE) AS baseline_always_up_acc
+  FROM lineitem GROUP BY l_returnflag, date_trunc('month', l_shipdate))"""
+
+WS = (r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+      r"\x{202f}\x{205f}\x{3000}]")

@@ -142,7 +142,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_returnflag", "l_shipdate", "l_discount",
                     "l_quantity")
     g = li.groupBy(C("l_returnflag").alias("period"),
-                   F.date_trunc("month", "l_shipdate").alias("retrained_at"))
+                   F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("retrained_at"))
     return g.agg(F.count("*").alias("total_rows"),
                  F.avg((C("l_discount") > 0.05).cast("double")).alias("accuracy"),
                  F.avg((C("l_quantity") > 25).cast("double")).alias("baseline_always_up_acc"))
