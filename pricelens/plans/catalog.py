@@ -703,3 +703,127 @@ def q_ticker_lists(spark, sf):
     u = D.universe(spark, sf).join(loaded.select("ticker", F.lit("used").alias("status")), "ticker", "left")
     u = u.withColumn("status", F.coalesce("status", F.lit("skipped")))
     return u.groupBy("status").agg(F.sort_array(F.collect_list("ticker")).alias("tickers"))
+
+
+# --------------------------------------------------------------------------- model
+from pricelens.operators import boost as B  # noqa: E402
+from pricelens.operators import training as T  # noqa: E402
+from pricelens.functions.scalar import sanitize  # noqa: E402
+from pricelens.schema import FEATURES_7, FEATURES_10  # noqa: E402
+
+MODEL_ROUNDS = 5
+_MODELS: dict = {}
+
+
+def fitted_model(spark, sf, rounds: int = MODEL_ROUNDS) -> B.SammeModel:
+    """Model trained on the embargo split's train part (memoised per input)."""
+    key = (sf, rounds)
+    if key not in _MODELS:
+        tr = split_frame(spark, sf).where(C("part") == "train")
+        _MODELS[key] = B.fit_samme(tr, FEATURES_7, rounds=rounds)
+    return _MODELS[key]
+
+
+@register("boost_fit")
+def q_boost_fit(spark, sf):
+    """Stages of the fitted ensemble: stage number and weight."""
+    m = fitted_model(spark, sf)
+    return spark.createDataFrame([(i + 1, a) for i, a in enumerate(m.alphas)],
+                                 "stage int, alpha double")
+
+
+@register("boost_importance")
+def q_boost_importance(spark, sf):
+    return T.importance_table(spark, fitted_model(spark, sf))
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """Save, reload and score the test rows; both models must agree row by row."""
+    m = fitted_model(spark, sf)
+    path = B.model_path(spark)
+    m.save(spark, path)
+    m2 = B.SammeModel.load(spark, path)
+    test = split_frame(spark, sf).where(C("part") == "test")
+    a = m.transform(test).select("ticker", "ts", C("decision").alias("d1"))
+    b = m2.transform(test).select("ticker", "ts", C("decision").alias("d2"))
+    return a.join(b, ["ticker", "ts"]).select("ticker", "ts", "d1", "d2",
+                                              (C("d1") == C("d2")).alias("same"))
+
+
+def latest_features(spark, sf) -> DataFrame:
+    """Newest bar of each ticker with the 10 feature values, sanitised for scoring."""
+    d = _latest(I.indicators_core(prepare(D.bars(spark, sf))))
+    p = D.profile(spark, sf).select("ticker", C("trailing_pe").alias("pe_ratio"),
+                                    "revenue_growth", "profit_margin")
+    d = d.join(p, "ticker", "left")
+    return d.select("ticker", "sector", "ts", "close", *[sanitize(c).alias(c) for c in FEATURES_10])
+
+
+@register("score_latest")
+def q_score_latest(spark, sf):
+    from pricelens.operators.signals import confidence_text
+    s = fitted_model(spark, sf).transform(latest_features(spark, sf))
+    return s.select("ticker", "ts", "close", "prediction", "direction",
+                    F.round("confidence", 4).alias("confidence"),
+                    confidence_text(C("confidence")).alias("confidence_text"))
+
+
+SAN_ROUND = {**FEATURE_ROUND, "pe_ratio": 8, "revenue_growth": 8, "profit_margin": 8}
+
+
+def _san_sql(c):
+    return f"round(CASE WHEN {c} IS NULL OR isnan({c}) OR isinf({c}) THEN 0.0 ELSE {c} END, {SAN_ROUND[c]}) AS {c}"
+
+
+@register("sanitize_features", S.with_(S.BARS, *S.INDICATORS, S.PROFILE, recursive=True) + f""",
+x AS (SELECT i.*, p.trailing_pe AS pe_ratio, p.revenue_growth, p.profit_margin
+      FROM ind i LEFT JOIN profile p ON i.ticker = p.ticker)
+SELECT ticker, ts, {", ".join(_san_sql(c) for c in FEATURES_10)} FROM x""")
+def q_sanitize_features(spark, sf):
+    d = I.indicators_core(D.bars(spark, sf))
+    p = D.profile(spark, sf).select("ticker", C("trailing_pe").alias("pe_ratio"),
+                                    "revenue_growth", "profit_margin")
+    d = d.join(p, "ticker", "left")
+    return rnd(d.select("ticker", "ts", *[sanitize(c).alias(c) for c in FEATURES_10]), SAN_ROUND)
+
+
+def data_importances(spark, sf) -> DataFrame:
+    """Importances derived from the data: |corr(feature, target)| normalised to 1,
+    ranked (one row per feature)."""
+    u = L.usable_rows(training_frame(spark, sf))
+    corr = u.select(*[F.abs(F.corr(c, C("target").cast("double"))).alias(c) for c in FEATURES_7])
+    tot = sum((C(c) for c in FEATURES_7), F.lit(0.0))
+    e = corr.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
+                                                 (C(c) / tot).alias("importance"))
+                                        for c in FEATURES_7])).alias("e")).select("e.*")
+    return e.withColumn("rank", F.row_number().over(
+        Window.orderBy(C("importance").desc(), C("feature"))))
+
+
+@register("importance_rank", TRAIN_SQL + """,
+c AS (SELECT abs(corr(rsi, target)) AS rsi, abs(corr(macd, target)) AS macd,
+             abs(corr(macd_hist, target)) AS macd_hist, abs(corr(bb_position, target)) AS bb_position,
+             abs(corr(volume_ratio, target)) AS volume_ratio, abs(corr(volatility, target)) AS volatility,
+             abs(corr(daily_return, target)) AS daily_return FROM usable),
+l AS (UNPIVOT c ON rsi, macd, macd_hist, bb_position, volume_ratio, volatility, daily_return
+      INTO NAME feature VALUE v),
+n AS (SELECT feature, v / sum(v) OVER () AS importance FROM l)
+SELECT feature, round(importance, 8) AS importance,
+       row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM n""")
+def q_importance_rank(spark, sf):
+    return rnd(data_importances(spark, sf), {"importance": 8})
+
+
+@register("importance_text")
+def q_importance_text(spark, sf):
+    lf = latest_features(spark, sf).select("ticker", *FEATURES_7)
+    return P.importance_lines(lf, T.importance_table(spark, fitted_model(spark, sf)))
+
+
+@register("train_run")
+def q_train_run(spark, sf):
+    split = split_frame(spark, sf)
+    rpt = D.bars(spark, sf).groupBy("ticker").agg(F.count("*").alias("n_rows"))
+    model, rec = T.train_run(split, D.universe(spark, sf), rpt, rounds=MODEL_ROUNDS)
+    return rec
