@@ -99,3 +99,39 @@ def importance_lines(latest: DataFrame, imps: DataFrame) -> DataFrame:
                                      F.element_at(C("__vals"), x["feature"]))
     d = d.withColumn("__vals", vals)
     return d.select("ticker", F.array_join(F.transform("__imps", line), "\n").alias("importance_text"))
+
+
+def briefing_text(board: DataFrame, scored: DataFrame, risk: DataFrame, returns_txt: DataFrame,
+                  importance_txt: DataFrame, fundamentals: DataFrame, digest: DataFrame) -> DataFrame:
+    """Grounded briefing per ticker from one-row-per-ticker tables (equi-joins on
+    ticker): profile, model output, importances, returns, risk, trend, fundamentals,
+    news. Missing parts render as 'N/A' / empty."""
+    na = lambda c, fmt: F.coalesce(F.format_string(fmt, c), F.lit("N/A"))
+    d = (board.join(scored, "ticker", "left").join(risk, "ticker", "left")
+         .join(returns_txt, "ticker", "left").join(importance_txt, "ticker", "left")
+         .join(fundamentals, "ticker", "left").join(digest, "ticker", "left"))
+    sections = [
+        F.concat(F.lit("TICKER: "), C("ticker")),
+        F.concat(F.lit("SECTOR: "), F.coalesce(C("sector"), F.lit("Unknown"))),
+        F.concat(F.lit("CURRENT PRICE: "), na(C("close"), "$%.2f")),
+        F.concat(F.lit("MARKET CAP: "), F.coalesce(C("market_cap_text"), F.lit("N/A"))),
+        F.concat(F.lit("PREDICTION: "), F.coalesce(C("direction"), F.lit("N/A"))),
+        F.concat(F.lit("CONFIDENCE: "), na(C("confidence"), "%.1f%%")),
+        F.lit("INDICATOR IMPORTANCE & VALUES:"),
+        F.coalesce(C("importance_text"), F.lit("")),
+        F.lit("HISTORICAL RETURNS:"),
+        F.coalesce(C("returns_text"), F.lit("")),
+        F.concat(F.lit("Annualised Return: "), na(C("annual_return"), "%.1f%%")),
+        F.concat(F.lit("Annualised Volatility: "), na(C("annual_volatility"), "%.1f%%")),
+        F.concat(F.lit("Sharpe Ratio: "), na(C("sharpe"), "%.2f")),
+        F.concat(F.lit("Sortino Ratio: "), na(C("sortino"), "%.2f")),
+        F.concat(F.lit("Max Drawdown: "), na(C("max_drawdown"), "%.1f%%")),
+        F.concat(F.lit("Positive Days: "), na(C("positive_days"), "%.1f%%")),
+        F.concat(F.lit("RSI: "), na(C("rsi"), "%.1f"), F.lit("  Trend: "), C("trend")),
+        F.concat(F.lit("P/E (trailing): "), F.coalesce(C("pe_text"), F.lit("N/A"))),
+        F.concat(F.lit("Revenue Growth: "), F.coalesce(C("growth_text"), F.lit("N/A"))),
+        F.concat(F.lit("Profit Margin: "), F.coalesce(C("margin_text"), F.lit("N/A"))),
+        F.lit("RECENT NEWS:"),
+        F.coalesce(C("digest"), F.lit("")),
+    ]
+    return d.select("ticker", F.concat_ws("\n", *sections).alias("briefing"))

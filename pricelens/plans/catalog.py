@@ -827,3 +827,20 @@ def q_train_run(spark, sf):
     rpt = D.bars(spark, sf).groupBy("ticker").agg(F.count("*").alias("n_rows"))
     model, rec = T.train_run(split, D.universe(spark, sf), rpt, rounds=MODEL_ROUNDS)
     return rec
+
+
+@register("briefing_text")
+def q_briefing_text(spark, sf):
+    board = signal_board(D.bars(spark, sf))
+    scored = fitted_model(spark, sf).transform(latest_features(spark, sf)).select(
+        "ticker", "direction", "confidence")
+    risk = M.risk_metrics(D.bars(spark, sf))
+    rt = P.returns_text(M.period_returns(D.bars(spark, sf)))
+    lf = latest_features(spark, sf).select("ticker", *FEATURES_7)
+    it = P.importance_lines(lf, T.importance_table(spark, fitted_model(spark, sf)))
+    fund = P.profile_format(D.profile(spark, sf))
+    # news items are keyed by conversation id; the instrument with that nation key owns them
+    nk = D.read_table(spark, sf, "nation", "n_nationkey", "n_name")
+    dg = P.news_digest(P.news_flatten(D.news_nested(spark, sf), 10), 6, 160)
+    dg = dg.join(nk, dg.ticker == nk.n_nationkey).select(C("n_name").alias("ticker"), "digest")
+    return P.briefing_text(board, scored, risk, rt, it, fund, dg)
