@@ -95,11 +95,11 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     d = VectorAssembler(inputCols=list(features), outputCol="__features").transform(df)
-    d = d.select("__features", C(label).cast("double").alias("__label"))
+    d = d.select("__features", C(label).cast("double").alias("__label")).checkpoint(eager=True)
     n = d.count()
     if n == 0:
         raise ValueError("no training rows")
-    d = d.withColumn("__w", F.lit(1.0 / n)).checkpoint(eager=True)
+    d = d.withColumn("__w", F.lit(1.0 / n))
     trees, alphas = [], []
     for m in range(rounds):
         dt = DecisionTreeClassifier(featuresCol="__features", labelCol="__label", weightCol="__w",

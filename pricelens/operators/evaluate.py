@@ -86,10 +86,12 @@ def roc_auc(df: DataFrame, buckets: int = 256) -> DataFrame:
     """
     g = df.groupBy("score").agg(F.count_if(C("target") == 1).alias("pos"),
                                 F.count_if(C("target") == 0).alias("neg"))
-    # Bucket boundaries: a bounded list of approximate quantiles (as Bucketizer splits).
-    cuts = sorted(set(g.approxQuantile("score", [i / buckets for i in range(1, buckets)], 1e-4)))
-    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    g = g.withColumn("bucket", F.size(F.filter(arr, lambda c: c < F.col("score"))))
+    # Bucket boundaries: a bounded array of approximate quantiles, attached as a scalar
+    # subquery (same query, so the score aggregation's exchange is reused, not recomputed).
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = g.select(F.percentile_approx("score", probs, 10000)).scalar()
+    g = g.withColumn("__cuts", cuts)
+    g = g.withColumn("bucket", F.size(F.filter("__cuts", lambda c: c < F.col("score")))).drop("__cuts")
     bt = g.groupBy("bucket").agg(F.sum("neg").alias("bneg"))
     bt = bt.withColumn("neg_before", F.coalesce(F.sum("bneg").over(
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

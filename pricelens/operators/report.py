@@ -10,13 +10,14 @@ from pricelens.functions.scalar import fmt_num, fmt_pct, truncate_text
 
 C = F.col
 
-# Characters Python's str.strip() removes (str.isspace), as a regex class (fixed values).
-WS = (r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-      r"\x{202f}\x{205f}\x{3000}]")
+# Characters Python's str.strip() removes (str.isspace) (fixed values).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def py_strip(x) -> F.Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(WS_CHARS))
 
 
 def news_flatten(items: DataFrame, k: int = 10) -> DataFrame:

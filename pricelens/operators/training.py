@@ -84,10 +84,15 @@ def train_run(split: DataFrame, universe: DataFrame, rows_per_ticker: DataFrame,
     """Fit on the 'train' part, evaluate on 'test', optionally save the model and
     append the metrics record to a Parquet run log (newest 50 kept)."""
     spark = split.sparkSession
+    from pricelens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # Materialise the split once (shared checkpoint folder): training and every
+    # evaluation aggregate read it instead of recomputing bars and indicators.
+    split = split.where(C("part") != "embargo").checkpoint(eager=True)
     train = split.where(C("part") == "train")
     test = split.where(C("part") == "test")
     model = fit_samme(train, list(features), rounds=rounds)
-    scored = model.transform(test)
+    scored = model.transform(test).checkpoint(eager=True)
     rec = metrics_record(split, scored, model, universe, rows_per_ticker)
     if save_to:
         model.save(spark, save_to)

@@ -23,13 +23,22 @@ TICKER = "ticker"
 TS = "ts"
 POS = "pos"
 BLK = "blk"
-BLOCK = 128
+BLOCK = 512
 
 
 def prepare(df: DataFrame, ticker: str = TICKER, ts: str = TS) -> DataFrame:
-    """Add ``pos`` (0-based index in time order) and ``blk`` (pos div BLOCK)."""
+    """Add ``pos`` (0-based index in time order) and ``blk`` (pos div BLOCK).
+
+    The frame is hash-partitioned on the ticker into ``spark.sql.shuffle.partitions``
+    partitions: this is the one exchange every later series window, per-ticker
+    aggregate and split reuses. The count is explicit because the window work is
+    CPU-bound per row, so parallelism should follow the cluster's configured
+    partitions rather than AQE's byte-size coalescing.
+    """
     if POS in df.columns and BLK in df.columns:
         return df
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(n, ticker)
     d = df.withColumn(POS, F.row_number().over(Window.partitionBy(ticker).orderBy(ts)) - 1)
     return d.withColumn(BLK, F.floor(F.col(POS) / F.lit(BLOCK)))
 
@@ -84,25 +93,39 @@ def rolling(x: str | Column, n: int, fn: str = "mean", ticker: str = TICKER) ->
 
 
 def ewm_depth(span: float, block: int = BLOCK) -> tuple[float, int]:
-    """Decay r and carry depth K: blocks older than K contribute < 1e-17 relative."""
+    """Decay r and carry depth K: blocks older than K contribute < 1e-17 relative.
+    K = 0 means the span is so short that r**-block would overflow; such an EWM
+    is computed from the last ceil(40 / ln(1/r)) values directly (see ewm_partials)."""
     r = 1.0 - 2.0 / (span + 1.0)
     if r <= 0.0:
         return max(r, 0.0), 1
     lnr = -math.log(r)
     if block * lnr > 600.0:
-        raise ValueError(f"span {span} too short for block {block}")
+        return r, 0
     return r, max(1, math.ceil(40.0 / (block * lnr)))
 
 
+def _short_terms(r: float) -> int:
+    return math.ceil(40.0 / -math.log(r)) + 1
+
+
 def ewm_partials(src: str, tag: str, span: float, ticker: str = TICKER) -> dict[str, Column]:
     """Stage 1 of the blocked EWM (window on ``(ticker, blk)`` ordered by ``pos``):
     in-block running sums of x * r**-o and whole-block totals of x * r**(B-1-o),
     for the values and for the non-null indicator (the denominator)."""
-    r, _ = ewm_depth(span)
+    r, K = ewm_depth(span)
     B = BLOCK
     x = F.col(src)
     ind = F.when(x.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
     xv = F.coalesce(x, F.lit(0.0))
+    if K == 0:  # short span: terms older than L rows weigh < 1e-17
+        w = series_window(ticker)
+        L = _short_terms(r)
+        num = sum((F.lit(r ** i) * F.coalesce(F.lag(src, i).over(w), F.lit(0.0))
+                   for i in range(1, L)), xv)
+        den = sum((F.lit(r ** i) * F.when(F.lag(src, i).over(w).isNotNull(), 1.0).otherwise(0.0)
+                   for i in range(1, L)), ind)
+        return {f"{tag}_pn": num, f"{tag}_pd": den}
     oc = F.col(POS) - F.col(BLK) * F.lit(B)
     inner = Window.partitionBy(ticker, BLK).orderBy(POS)
     grow = inner.rowsBetween(Window.unboundedPreceding, 0)
@@ -121,6 +144,8 @@ def ewm_value(tag: str, span: float, ticker: str = TICKER) -> Column:
     """Stage 2: add the carry of older blocks (block totals lagged by k*BLOCK rows)
     and divide. The common factor r**o of numerator and denominator cancels."""
     r, K = ewm_depth(span)
+    if K == 0:
+        return F.when(F.col(f"{tag}_pd") > 0, F.col(f"{tag}_pn") / F.col(f"{tag}_pd"))
     w = series_window(ticker)
     cn = F.lit(0.0)
     cd = F.lit(0.0)
@@ -134,7 +159,7 @@ def ewm_value(tag: str, span: float, ticker: str = TICKER) -> Column:
 
 
 def ewm_helpers(tag: str) -> list[str]:
-    return [f"{tag}_{s}" for s in ("pn", "pd", "sn", "sd")]
+    return [f"{tag}_{s}" for s in ("pn", "pd", "sn", "sd")]  # absent ones are ignored by drop
 
 
 def ewm_mean(df: DataFrame, src: str, out: str, span: float, ticker: str = TICKER) -> DataFrame:

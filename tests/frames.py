@@ -36,4 +36,9 @@ BARS_SCHEMA = ("ticker string, sector string, ts timestamp_ntz, open double, hig
 
 
 def to_spark(spark, pdf):
-    return spark.createDataFrame(pdf, BARS_SCHEMA)
+    """As ingest does: NaN never enters a frame (it becomes null)."""
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame(pdf, BARS_SCHEMA)
+    num = ["open", "high", "low", "close", "volume"]
+    return df.select("ticker", "sector", "ts",
+                     *[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in num])

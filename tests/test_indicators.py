@@ -129,3 +129,12 @@ def test_partitioning_independent(spark):
     a = I.indicators_full(to_spark(spark, pdf)).toPandas().sort_values(["ticker", "ts"])
     b = I.indicators_full(to_spark(spark, pdf).repartition(7)).toPandas().sort_values(["ticker", "ts"])
     pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True))
+
+
+@pytest.mark.parametrize("span", [1.5, 2, 3, 9, 60, 400])
+def test_ewm_any_span(spark, span):
+    pdf = walk("S", 1300, 9)
+    pdf.loc[[5, 700], "close"] = None
+    got = I.ewm(to_spark(spark, pdf), span, out="e").toPandas().sort_values("ts")
+    exp = pdf.sort_values("ts")["close"].ewm(span=span).mean()
+    np.testing.assert_allclose(got["e"].to_numpy(), exp.to_numpy(), rtol=1e-10)
