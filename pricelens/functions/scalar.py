@@ -87,11 +87,23 @@ def parse_iso(x) -> Column:
     )
 
 
+ISO_SHAPE = r"^(\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?)(Z|[+-]\d{2}:\d{2})?$"
+
+
 def news_date(x) -> Column:
-    """'%b %d, %Y' of a parseable date, otherwise the first 10 characters."""
-    ts = parse_iso(x)
-    return F.when(ts.isNotNull(), F.date_format(ts, "MMM dd, yyyy")).otherwise(
-        F.left(F.coalesce(_c(x), F.lit("")), F.lit(10)))
+    """Display date of an ISO-8601 text: '%b %d, %Y' of the date as written (an
+    offset or 'Z' is accepted but does not shift the day); text that does not parse
+    falls back to its first 10 characters; empty or missing -> ''."""
+    s = F.coalesce(_c(x), F.lit(""))
+    local = F.regexp_extract(s, ISO_SHAPE, 1)
+    ts = F.coalesce(
+        F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
+        F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
+        F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm")),
+        F.try_to_timestamp(local, F.lit("yyyy-MM-dd")))
+    return (F.when(s == "", F.lit(""))
+            .when(ts.isNotNull(), F.date_format(ts, "MMM dd, yyyy"))
+            .otherwise(F.left(s, F.lit(10))))
 
 
 def _plural(n: Column, unit: str) -> Column:

@@ -136,3 +136,42 @@ def briefing_text(board: DataFrame, scored: DataFrame, risk: DataFrame, returns_
         F.coalesce(C("digest"), F.lit("")),
     ]
     return d.select("ticker", F.concat_ws("\n", *sections).alias("briefing"))
+
+
+# Labels of the fundamentals block and the profile field each one shows (fixed values).
+FUNDAMENTAL_FIELDS = [
+    ("P/E (trailing)", "trailing_pe"), ("P/E (forward)", "forward_pe"),
+    ("PEG ratio", "peg_ratio"), ("Price/Book", "price_to_book"),
+    ("Price/Sales", "price_to_sales"), ("Revenue Growth", "revenue_growth"),
+    ("Earnings Growth", "earnings_growth"), ("Profit Margin", "profit_margin"),
+    ("Operating Margin", "operating_margin"), ("ROE", "return_on_equity"),
+    ("ROA", "return_on_assets"), ("Debt/Equity", "debt_to_equity"),
+    ("Current Ratio", "current_ratio"), ("Dividend Yield", "dividend_yield"),
+    ("Payout Ratio", "payout_ratio"), ("Beta", "beta"),
+    ("Analyst Target", "target_mean_price"), ("Analyst Rating", "recommendation_key"),
+]
+
+
+def fundamentals_block(profile: DataFrame) -> DataFrame:
+    """The 18-line fundamentals block per ticker: 'label: value' with numbers to two
+    decimals, text as is, the target price with '$', and 'N/A' for absent fields."""
+    cols = set(profile.columns)
+    lines = []
+    for label, field in FUNDAMENTAL_FIELDS:
+        if field not in cols:
+            val = F.lit("N/A")
+        elif field == "recommendation_key":
+            val = F.coalesce(C(field).cast("string"), F.lit("N/A"))
+        else:
+            val = fmt_num(C(field), 2, "$" if field == "target_mean_price" else "")
+        lines.append(F.concat(F.lit(f"{label}: "), val))
+    return profile.select("ticker", F.concat_ws("\n", *lines).alias("fundamentals"))
+
+
+def news_cards(flat: DataFrame, width: int = 280) -> DataFrame:
+    """Card text per item: summary cut to ``width`` characters plus '...' when cut,
+    and the display date."""
+    from pricelens.functions.scalar import news_date
+    return flat.select("ticker", "position", "title",
+                       truncate_text(C("summary"), width, "...").alias("summary_short"),
+                       news_date(C("date")).alias("date_text"))

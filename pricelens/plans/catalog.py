@@ -844,3 +844,62 @@ def q_briefing_text(spark, sf):
     dg = P.news_digest(P.news_flatten(D.news_nested(spark, sf), 10), 6, 160)
     dg = dg.join(nk, dg.ticker == nk.n_nationkey).select(C("n_name").alias("ticker"), "digest")
     return P.briefing_text(board, scored, risk, rt, it, fund, dg)
+
+
+@register("fundamentals_text", S.with_(S.PROFILE) + """
+SELECT ticker, concat_ws(chr(10),
+  'P/E (trailing): ' || coalesce(printf('%.2f', trailing_pe), 'N/A'),
+  'P/E (forward): N/A', 'PEG ratio: N/A', 'Price/Book: N/A', 'Price/Sales: N/A',
+  'Revenue Growth: ' || coalesce(printf('%.2f', revenue_growth), 'N/A'),
+  'Earnings Growth: N/A',
+  'Profit Margin: ' || coalesce(printf('%.2f', profit_margin), 'N/A'),
+  'Operating Margin: N/A', 'ROE: N/A', 'ROA: N/A', 'Debt/Equity: N/A', 'Current Ratio: N/A',
+  'Dividend Yield: N/A', 'Payout Ratio: N/A', 'Beta: N/A', 'Analyst Target: N/A',
+  'Analyst Rating: N/A') AS fundamentals
+FROM profile""")
+def q_fundamentals_text(spark, sf):
+    return P.fundamentals_block(D.profile(spark, sf))
+
+
+_DATE_VARIANTS_SQL = """
+  CASE event_id % 4
+    WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
+    WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+    WHEN 2 THEN 'n/a-' || event_type || '-' || CAST(event_id AS VARCHAR)
+    ELSE strftime(ts, '%Y-%m-%d') END"""
+
+
+def date_variants(spark, sf) -> DataFrame:
+    """Publication-date strings in the shapes a provider sends (UTC 'Z', an offset,
+    date only, junk), made from the events table."""
+    ev = D.event_ticks(spark, sf)
+    base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    m = F.pmod(C("event_id"), F.lit(4))
+    raw = (F.when(m == 0, F.concat(base, F.lit("Z")))
+           .when(m == 1, F.concat(base, F.lit("+02:00")))
+           .when(m == 2, F.concat(F.lit("n/a-"), C("event_type"), F.lit("-"), C("event_id").cast("string")))
+           .otherwise(F.date_format("ts", "yyyy-MM-dd")))
+    return ev.select("event_id", raw.alias("raw"))
+
+
+@register("news_dates", f"""
+WITH v AS (SELECT event_id, {_DATE_VARIANTS_SQL} AS raw FROM events),
+p AS (SELECT event_id, raw,
+        coalesce(try_strptime(raw, '%Y-%m-%dT%H:%M:%SZ'),
+                 try_strptime(left(raw, 19), '%Y-%m-%dT%H:%M:%S'),
+                 try_strptime(raw, '%Y-%m-%d')) AS t FROM v)
+SELECT event_id, raw, CASE WHEN raw = '' THEN '' WHEN t IS NOT NULL THEN strftime(t, '%b %d, %Y')
+                          ELSE left(raw, 10) END AS date_text FROM p""")
+def q_news_dates(spark, sf):
+    from pricelens.functions.scalar import news_date
+    return date_variants(spark, sf).select("event_id", "raw", news_date(C("raw")).alias("date_text"))
+
+
+@register("news_cards", S.with_(S.NEWS) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY position) AS rank FROM news)
+SELECT ticker, position, title,
+       CASE WHEN length(summary) > 280 THEN left(summary, 280) || '...' ELSE summary END AS summary_short,
+       '' AS date_text
+FROM r WHERE rank <= 10""")
+def q_news_cards(spark, sf):
+    return P.news_cards(P.news_flatten(D.news_nested(spark, sf), 10), 280)
