@@ -33,16 +33,17 @@ def tick_bars_stream(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA,
                     "open", "high", "low", "close", "volume")
 
 
-def score_new_bars(model, history: DataFrame, features, lookback: int = 300):
-    """``foreachBatch`` handler factory: for the tickers a micro-batch touched, take
-    their newest ``lookback`` bars from ``history`` plus the batch, recompute
-    indicators, score the newest bar and append (ticker, ts, direction, confidence)
-    to the sink returned by ``sink(batch_scores, epoch_id)``."""
+def score_new_bars(model, history: DataFrame, features, sink, lookback: int = 300):
+    """``foreachBatch`` handler: for the tickers a micro-batch of bars touched, take
+    their newest ``lookback`` bars from ``history`` plus the batch, recompute the
+    indicators, score each touched ticker's newest bar with ``model`` and hand
+    ``(ticker, ts, direction, confidence)`` to ``sink(scores, epoch_id)`` (for example
+    an idempotent write keyed by epoch). Only touched tickers are read and scored."""
     from pricelens.functions.scalar import sanitize
     from pricelens.operators import indicators as I
     from pricelens.operators.summary import with_extent
 
-    def handle(batch: DataFrame, epoch_id: int, sink) -> None:
+    def handle(batch: DataFrame, epoch_id: int) -> None:
         touched = batch.select("ticker").distinct()
         past = history.join(touched, "ticker", "left_semi")
         allb = past.unionByName(batch, allowMissingColumns=True).dropDuplicates(["ticker", "ts"])

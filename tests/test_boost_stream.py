@@ -80,3 +80,37 @@ def test_log_retention_and_latest(spark):
     mt = spark.createDataFrame([(dt.datetime(2024, 5, 5),)], "mtime timestamp_ntz")
     assert G.latest_info(None, mt).first()["source"] == "mtime"
     assert G.latest_info(log, mt).first()["source"] == "log"
+
+
+def test_microbatch_scoring(spark):
+    """New bars arrive as a stream; each batch scores the newest bar of the tickers
+    it touched, equal to scoring the full history in batch."""
+    from pyspark.sql import Window
+    from pricelens.functions.scalar import sanitize
+    from pricelens.operators import indicators as I
+    from pricelens.operators.summary import with_extent
+    from pricelens.schema import FEATURES_7
+    from pricelens.sources.derived import bars
+    from pricelens.streaming import score_new_bars
+    b = bars(spark, "/root/testdata/sf0.001")
+    last = with_extent(b).where(F.col("rpos") == 0).drop("pos", "blk", "n_rows", "rpos")
+    hist = with_extent(b).where(F.col("rpos") > 0).drop("pos", "blk", "n_rows", "rpos")
+    d = tempfile.mkdtemp(prefix="pricelens-bars-")
+    hist.write.parquet(os.path.join(d, "history"))
+    skip = sorted(r[0] for r in b.select("ticker").distinct().collect())[0]
+    last.where(F.col("ticker") != skip).write.parquet(os.path.join(d, "incoming"))
+    train = I.add_label(I.indicators_core(b)).dropna(subset=FEATURES_7 + ["target"])
+    model = fit_samme(train, FEATURES_7, rounds=2)
+    got = []
+    handler = score_new_bars(model, spark.read.parquet(os.path.join(d, "history")), FEATURES_7,
+                             lambda df, eid: got.extend(df.collect()))
+    stream = spark.readStream.schema(b.schema).parquet(os.path.join(d, "incoming"))
+    q = stream.writeStream.foreachBatch(handler).start()
+    q.processAllAvailable()
+    q.stop()
+    full = with_extent(I.indicators_core(b)).where(F.col("rpos") == 0)
+    exp = model.transform(full.select("ticker", "ts", *[sanitize(c).alias(c) for c in FEATURES_7]))
+    exp = {r["ticker"]: (r["direction"], round(r["confidence"], 9)) for r in exp.collect()}
+    res = {r["ticker"]: (r["direction"], round(r["confidence"], 9)) for r in got}
+    assert skip not in res and len(res) == len(exp) - 1
+    assert all(res[t] == exp[t] for t in res)
