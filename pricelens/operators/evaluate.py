@@ -84,10 +84,14 @@ def roc_auc(df: DataFrame, buckets: int = 256) -> DataFrame:
     totals (``buckets`` rows), negatives below each score inside its bucket from a
     window per bucket. Null when only one class is present.
     """
+    from pricelens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # One row per distinct score, materialised once (shared checkpoint folder): the
+    # quantile cut, the bucket totals and the in-bucket sums all read it.
     g = df.groupBy("score").agg(F.count_if(C("target") == 1).alias("pos"),
-                                F.count_if(C("target") == 0).alias("neg"))
+                                F.count_if(C("target") == 0).alias("neg")).checkpoint(eager=True)
     # Bucket boundaries: a bounded array of approximate quantiles, attached as a scalar
-    # subquery (same query, so the score aggregation's exchange is reused, not recomputed).
+    # subquery.
     probs = [i / buckets for i in range(1, buckets)]
     cuts = g.select(F.percentile_approx("score", probs, 10000)).scalar()
     g = g.withColumn("__cuts", cuts)

@@ -22,6 +22,12 @@ def usable_rows(df: DataFrame, features=tuple(FEATURES_7), label: str = "target"
     return df.dropna(subset=list(features) + [label])
 
 
+def _time_order(df: DataFrame) -> list[str]:
+    """Order within a ticker: the prepared (blk, pos) order when present (it is the
+    sort the indicator windows already produced, so no new sort), else ts."""
+    return ["blk", "pos"] if {"blk", "pos"} <= set(df.columns) else ["ts"]
+
+
 def embargo_split(df: DataFrame, train_frac: float = 0.8, embargo: int = 30) -> DataFrame:
     """Per-ticker chronological split with an embargo gap.
 
@@ -29,7 +35,7 @@ def embargo_split(df: DataFrame, train_frac: float = 0.8, embargo: int = 30) ->
     rows [0, max(0, split - embargo)) -> 'train', [split, n) -> 'test', the rows in
     between -> 'embargo' (discarded by training).
     """
-    w = Window.partitionBy("ticker").orderBy("ts")
+    w = Window.partitionBy("ticker").orderBy(*_time_order(df))
     d = df.withColumns({"__i": F.row_number().over(w) - 1,
                         "__n": F.count(F.lit(1)).over(Window.partitionBy("ticker"))})
     split = F.floor(C("__n") * F.lit(float(train_frac)))
@@ -47,7 +53,7 @@ def split_global(df: DataFrame, train_frac: float = 0.8) -> DataFrame:
     are joined back; each row's global position is offset + index in its ticker.
     Only the per-ticker count table is ordered globally, never the rows.
     """
-    w = Window.partitionBy("ticker").orderBy("ts")
+    w = Window.partitionBy("ticker").orderBy(*_time_order(df))
     d = df.withColumn("__i", F.row_number().over(w) - 1)
     counts = d.groupBy("ticker").agg(F.count("*").alias("__c"))
     o = Window.orderBy("ticker").rowsBetween(Window.unboundedPreceding, -1)

@@ -308,7 +308,8 @@ TRAIN_SQL = S.with_(S.BARS, *S.TRAINING, recursive=True)
 
 
 def training_frame(spark, sf, label_mode: str = "strict") -> DataFrame:
-    """bars -> core indicators -> 30-bar label (one plan, one ticker exchange)."""
+    """bars -> core indicators -> 30-bar label (one plan, one ticker exchange; the
+    frame keeps pos/blk so the split reuses the indicator sort)."""
     return I.add_label(I.indicators_core(prepare(D.bars(spark, sf))), 30, label_mode)
 
 

@@ -47,7 +47,7 @@ def lineitem_bars(spark: SparkSession, sf_dir: str, level: str = "nation") -> Da
     aggregation by broadcast.
     """
     li = read_table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice",
-                    "l_quantity", "l_orderkey", "l_linenumber", "l_partkey")
+                    "l_quantity", "l_orderkey", "l_linenumber", "l_partkey", spread=True)
     sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     nat = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     reg = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")

@@ -133,7 +133,7 @@ def news_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return read_table(spark, sf_dir, "documents", "doc_id", "text", spread=True)
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
