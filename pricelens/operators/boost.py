@@ -1,14 +1,17 @@
 """SAMME boosting (discrete AdaBoost) of depth-limited Spark ML decision trees.
 
-Each round fits a weighted ``DecisionTreeClassifier`` (distributed), measures the
-weighted error with one aggregate, sets the stage weight
-``alpha = lr * ln((1 - err) / err)`` and multiplies the weights of misclassified
-rows by ``exp(alpha)``; the new total is known in closed form, so normalising
-costs no extra pass. The weighted frame is checkpointed into the shared
-``spark.checkpoint.dir`` every few rounds, which bounds lineage and lets a lost
-executor recompute from the checkpoint instead of from round 0.
-
-Scoring is column arithmetic over the stage predictions:
+Each round fits a weighted ``DecisionTreeClassifier`` (distributed). The fitted
+tree's leaves carry the weighted class totals of the rows that reached them, so
+the weighted training error is read from the leaves on the driver (a tree of depth
+3 has at most 8 leaves) instead of from another pass over the data. The stage
+weight is ``alpha = lr * ln((1 - err) / err)``; misclassified rows get their weight
+multiplied by ``exp(alpha)``, and the new total is known in closed form, so
+normalising costs no pass either. The weight update is a plain column expression
+(the tree as nested ``CASE WHEN``), the weighted frame is persisted for the next
+fit and checkpointed into the shared ``spark.checkpoint.dir`` every few rounds,
+which bounds lineage and lets a lost executor recompute from the checkpoint.
+
+Scoring is column arithmetic over the stage predictions, all in one projection:
 d = (sum of alpha for UP votes - sum for DOWN votes) / sum(alpha) in [-1, 1],
 class UP when d > 0, P(UP) = 1 / (1 + exp(-d)) (two-class softmax of (-d/2, d/2)).
 """
@@ -20,9 +23,10 @@ import math
 import os
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.session import ensure_checkpoint_dir
@@ -30,11 +34,43 @@ from pricelens.session import ensure_checkpoint_dir
 C = F.col
 
 
+def tree_spec(tree: DecisionTreeClassificationModel):
+    """Nested tuples of a fitted tree: ``("split", feature_index, threshold, left, right)``
+    or ``("leaf", prediction, weighted_class_totals)``; left means value <= threshold."""
+    def walk(nd):
+        if nd.getClass().getSimpleName() == "InternalNode":
+            sp = nd.split()
+            return ("split", int(sp.featureIndex()), float(sp.threshold()),
+                    walk(nd.leftChild()), walk(nd.rightChild()))
+        return ("leaf", float(nd.prediction()), [float(v) for v in nd.impurityStats().stats()])
+    return walk(tree._java_obj.rootNode())
+
+
+def tree_column(spec, features: list[str]) -> Column:
+    """The tree's predicted class as a column (nested CASE WHEN). A null or NaN feature
+    takes the right branch, as Spark ML does for NaN."""
+    if spec[0] == "leaf":
+        return F.lit(spec[1])
+    _, fi, thr, left, right = spec
+    return F.when(C(features[fi]) <= F.lit(thr), tree_column(left, features)) \
+        .otherwise(tree_column(right, features))
+
+
+def leaf_error(spec) -> tuple[float, float]:
+    """(weighted misclassified, weighted total) of the training rows, from the leaves."""
+    if spec[0] == "leaf":
+        stats = spec[2]
+        return sum(stats) - stats[int(spec[1])], sum(stats)
+    a, b = leaf_error(spec[3]), leaf_error(spec[4])
+    return a[0] + b[0], a[1] + b[1]
+
+
 class SammeModel:
-    def __init__(self, features: list[str], trees: list, alphas: list[float]):
+    def __init__(self, features: list[str], trees: list, alphas: list[float], specs=None):
         self.features = list(features)
         self.trees = trees
         self.alphas = [float(a) for a in alphas]
+        self.specs = list(specs) if specs is not None else [tree_spec(t) for t in trees]
 
     @property
     def feature_importances(self) -> dict[str, float]:
@@ -47,21 +83,17 @@ class SammeModel:
                 acc[i] += a * float(v)
         return {f: (v / tot if tot > 0 else 0.0) for f, v in zip(self.features, acc)}
 
-    def transform(self, df: DataFrame, features_col: str = "__features") -> DataFrame:
+    def decision(self) -> Column:
+        """Alpha-weighted vote in [-1, 1] over the feature columns (by name)."""
+        vote = F.lit(0.0)
+        for a, spec in zip(self.alphas, self.specs):
+            vote = vote + F.lit(a) * (F.lit(2.0) * tree_column(spec, self.features) - F.lit(1.0))
+        return vote / F.lit(sum(self.alphas) or 1.0)
+
+    def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``decision``, ``prediction`` (0/1), ``p_up``, ``confidence`` (percent),
         ``direction``. Feature columns are taken by name, in the model's order."""
-        d = VectorAssembler(inputCols=self.features, outputCol=features_col,
-                            handleInvalid="keep").transform(df)
-        vote = F.lit(0.0)
-        for i, t in enumerate(self.trees):
-            t = t.copy()
-            t.setFeaturesCol(features_col).setPredictionCol(f"__p{i}") \
-             .setRawPredictionCol(f"__raw{i}").setProbabilityCol(f"__prob{i}")
-            d = t.transform(d).drop(f"__raw{i}", f"__prob{i}")
-            vote = vote + F.lit(self.alphas[i]) * F.when(C(f"__p{i}") == 1.0, 1.0).otherwise(-1.0)
-        tot = sum(self.alphas) or 1.0
-        d = d.withColumn("decision", vote / F.lit(tot)).drop(features_col,
-                                                             *[f"__p{i}" for i in range(len(self.trees))])
+        d = df.withColumn("decision", self.decision())
         p_up = F.lit(1.0) / (F.lit(1.0) + F.exp(-C("decision")))
         return d.withColumns({
             "prediction": (C("decision") > 0).cast("int"),
@@ -94,25 +126,31 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
     """Fit on ``df`` (rows with non-null features and label)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    d = VectorAssembler(inputCols=list(features), outputCol="__features").transform(df)
-    d = d.select("__features", C(label).cast("double").alias("__label")).checkpoint(eager=True)
-    n = d.count()
+    feats = list(features)
+    # Nominal label metadata (2 classes) spares the fit a pass that finds the class count.
+    meta = {"ml_attr": {"type": "nominal", "num_vals": 2, "name": "__label"}}
+    base = VectorAssembler(inputCols=feats, outputCol="__features").transform(
+        df.select(*[C(f).cast("double").alias(f) for f in feats],
+                  C(label).cast("double").alias("__label", metadata=meta))
+    ).checkpoint(eager=True)
+    n = base.count()
     if n == 0:
         raise ValueError("no training rows")
-    d = d.withColumn("__w", F.lit(1.0 / n))
-    trees, alphas = [], []
+    d = base.withColumn("__w", F.lit(1.0 / n)).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = d
+    trees, specs, alphas = [], [], []
     for m in range(rounds):
         dt = DecisionTreeClassifier(featuresCol="__features", labelCol="__label", weightCol="__w",
                                     maxDepth=max_depth, maxBins=max_bins, seed=seed + m,
                                     predictionCol="__pred", rawPredictionCol="__raw",
                                     probabilityCol="__prob")
         tree = dt.fit(d)
-        scored = tree.transform(d).drop("__raw", "__prob")
-        miss = (C("__pred") != C("__label")).cast("double")
-        s = scored.agg(F.sum(C("__w") * miss).alias("e"), F.sum("__w").alias("w")).first()
-        err = float(s["e"]) / float(s["w"])
+        spec = tree_spec(tree)
+        miss_w, tot_w = leaf_error(spec)
+        err = miss_w / tot_w if tot_w > 0 else 0.0
         if err <= 0.0:
             trees.append(tree)
+            specs.append(spec)
             alphas.append(1.0)
             break
         if err >= 0.5:
@@ -121,13 +159,25 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
             break
         alpha = learning_rate * math.log((1.0 - err) / err)
         trees.append(tree)
+        specs.append(spec)
         alphas.append(alpha)
+        if m == rounds - 1:
+            break
         total = (1.0 - err) + err * math.exp(alpha)
-        d = scored.select("__features", "__label",
-                          (C("__w") * F.exp(F.lit(alpha) * miss) / F.lit(total)).alias("__w"))
+        miss = (tree_column(spec, feats) != C("__label")).cast("double")
+        d = d.select(*feats, "__features", "__label",
+                     (C("__w") * F.exp(F.lit(alpha) * miss) / F.lit(total)).alias("__w"))
         if (m + 1) % checkpoint_every == 0:
             d = d.checkpoint(eager=True)
-    return SammeModel(list(features), trees, alphas)
+        # The next fit reads the frame several times (metadata, split search, binning);
+        # keep this round's weights in executor storage, drop the previous round's.
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)
+        if cached is not None:
+            cached.unpersist()
+        cached = d
+    if cached is not None:
+        cached.unpersist()
+    return SammeModel(feats, trees, alphas, specs)
 
 
 def model_path(spark: SparkSession, name: str | None = None) -> str:

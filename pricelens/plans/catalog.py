@@ -712,7 +712,7 @@ from pricelens.operators import training as T  # noqa: E402
 from pricelens.functions.scalar import sanitize  # noqa: E402
 from pricelens.schema import FEATURES_7, FEATURES_10  # noqa: E402
 
-MODEL_ROUNDS = 5
+MODEL_ROUNDS = 100  # the reference: 100 stages, depth 3, learning rate 0.1
 _MODELS: dict = {}
 
 

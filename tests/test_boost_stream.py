@@ -37,6 +37,29 @@ def test_boosting_learns_and_is_deterministic(spark):
     assert abs(sum(imp.values()) - 1) < 1e-9 and imp["x1"] > imp["x2"]
 
 
+def test_tree_columns_match_spark_ml(spark):
+    """The CASE WHEN form of a fitted tree predicts what Spark ML predicts, and the
+    weighted error read from its leaves equals the error of a scoring pass."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pricelens.operators.boost import leaf_error, tree_column, tree_spec
+    r = np.random.default_rng(3)
+    pdf = toy(spark, n=600, seed=3).toPandas()
+    pdf["w"] = r.uniform(0.2, 3.0, size=len(pdf))
+    pdf.loc[::17, "x2"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("y", F.col("target").cast("double"))
+    v = VectorAssembler(inputCols=["x1", "x2"], outputCol="f", handleInvalid="keep").transform(df)
+    tree = DecisionTreeClassifier(featuresCol="f", labelCol="y", weightCol="w", maxDepth=3) \
+        .fit(v.where(~F.isnan("x2")))
+    spec = tree_spec(tree)
+    out = tree.transform(v).withColumn("mine", tree_column(spec, ["x1", "x2"])).toPandas()
+    assert (out["prediction"] == out["mine"]).all()
+    fit = out[~out["x2"].isna()]
+    miss, tot = leaf_error(spec)
+    np.testing.assert_allclose(miss, (fit["w"] * (fit["prediction"] != fit["y"])).sum(), rtol=1e-9)
+    np.testing.assert_allclose(tot, fit["w"].sum(), rtol=1e-9)
+
+
 def test_scores_and_roundtrip(spark):
     df = toy(spark, seed=1).cache()
     m = fit_samme(df, ["x1", "x2"], rounds=3)
