@@ -3,9 +3,20 @@
 Stages, first hit wins: (1) the lower-cased, trimmed query is a known alias;
 (2) after stripping the first legal suffix (in list order) whose remainder is a
 known alias; (3) the upper-cased query looks like a ticker (letters once '-' and
-'.' are removed, 1-6 characters) and that ticker has a bar in the last 5 days.
-Every stage is an equi-join against the alias / recent-ticker dimension; the
+'.' are removed, 1-6 characters) and that ticker has a bar in the last 5 days;
+(4) optionally, a search over a quote table: of the 3 best hits for the query, the
+first whose quote type is EQUITY or ETF.
+Every stage is an equi-join against the alias / recent-ticker / hit dimension; the
 suffix stage multiplies each query by at most the 14 suffixes.
+
+Search (stage 4). A quote is a hit for query q (lower-cased, trimmed, non-empty) when
+its lower-cased name or symbol starts with q; its score is the number of characters q
+lacks to complete the shortest such key, and hits rank by (score, symbol). Rather than
+comparing every query with every quote, each quote emits its name and symbol prefixes
+(only up to the longest query's length; a prefix shared by name and symbol is emitted
+once, with the better score), the 3 best quotes are kept per prefix by a window whose
+row limit the planner also applies before the shuffle (so a prefix shared by a third
+of all quotes ships at most 3 rows per map task), and queries equi-join that table.
 """
 
 from __future__ import annotations
@@ -20,6 +31,10 @@ SUFFIXES = [" inc.", " inc", " corp.", " corp", " corporation", " co.", " co", "
             " ltd", " plc", " company", " holdings", " group", " ag"]
 
 
+# Quote types the search stage accepts (fixed values).
+ACCEPTED_KINDS = ["EQUITY", "ETF"]
+
+
 def normalize(query) -> F.Column:
     return F.lower(F.trim(query))
 
@@ -30,8 +45,37 @@ def looks_like_ticker(query) -> F.Column:
     return letters.rlike(r"^\p{L}+$") & (F.length(u) >= 1) & (F.length(u) <= 6)
 
 
+def search_hits(quotes: DataFrame, qstrings: DataFrame, k: int = 3) -> DataFrame:
+    """``quotes(symbol, name, kind)`` -> ``(p, rk, symbol, kind)``: the k best hits of every
+    prefix p that some normalised query string ``qstrings.q`` could equal."""
+    from pyspark.sql import Window
+    maxq = qstrings.select(F.max(F.length("q"))).scalar()
+    qt = quotes.select("symbol", "kind", F.lower(F.trim("name")).alias("nm"),
+                       F.lower("symbol").alias("sy"))
+    ln, ls = F.length("nm"), F.length("sy")
+    on_name = (qt.where(F.least(ln, maxq) >= 1)
+                 .withColumn("i", F.explode(F.sequence(F.lit(1), F.least(ln, maxq))))
+                 .withColumn("p", F.left(C("nm"), C("i")))
+                 .select("p", "symbol", "kind",
+                         (F.least(ln, F.when(C("sy").startswith(C("p")), ls)) - C("i")).alias("score")))
+    on_symbol = (qt.where(F.least(ls, maxq) >= 1)
+                   .withColumn("i", F.explode(F.sequence(F.lit(1), F.least(ls, maxq))))
+                   .withColumn("p", F.left(C("sy"), C("i")))
+                   .where(~C("nm").startswith(C("p")))
+                   .select("p", "symbol", "kind", (ls - C("i")).alias("score")))
+    w = Window.partitionBy("p").orderBy("score", "symbol")
+    return (on_name.unionByName(on_symbol)
+            .withColumn("rk", F.row_number().over(w)).where(C("rk") <= k))
+
+
+def search_pick(hits: DataFrame) -> DataFrame:
+    """First acceptable quote among each prefix's hits: ``(p, symbol)``."""
+    return (hits.where(C("kind").isin(ACCEPTED_KINDS))
+                .groupBy("p").agg(F.upper(F.min_by("symbol", "rk")).alias("symbol")))
+
+
 def resolve(queries: DataFrame, aliases: DataFrame, bars: DataFrame,
-            probe_days: int = 5) -> DataFrame:
+            probe_days: int = 5, quotes: DataFrame | None = None) -> DataFrame:
     """``queries(query_id, query)`` -> ``(query_id, query, ticker, stage)``."""
     q = queries.withColumn("q", normalize(C("query")))
     al = aliases.select(C("alias"), C("ticker").alias("t"))
@@ -47,7 +91,13 @@ def resolve(queries: DataFrame, aliases: DataFrame, bars: DataFrame,
     lit = q.where(looks_like_ticker(C("query"))).withColumn("t3", F.upper(F.trim("query")))
     lit = lit.join(recent, "t3", "left_semi").select("query_id", "t3")
     out = q.join(direct, "query_id", "left").join(hit, "query_id", "left").join(lit, "query_id", "left")
+    if quotes is None:
+        out = out.withColumn("t4", F.lit(None).cast("string"))
+    else:
+        pick = search_pick(search_hits(quotes, q.select("q"))).select(
+            C("p").alias("q"), C("symbol").alias("t4"))
+        out = out.join(pick, "q", "left")
     return out.select(
-        "query_id", "query", F.coalesce("t1", "t2", "t3").alias("ticker"),
+        "query_id", "query", F.coalesce("t1", "t2", "t3", "t4").alias("ticker"),
         F.when(C("t1").isNotNull(), "alias").when(C("t2").isNotNull(), "suffix")
-        .when(C("t3").isNotNull(), "literal").alias("stage"))
+        .when(C("t3").isNotNull(), "literal").when(C("t4").isNotNull(), "search").alias("stage"))

@@ -477,7 +477,7 @@ from pricelens.operators.resolve import resolve  # noqa: E402
 from pricelens.operators.signals import cap_bucket  # noqa: E402
 
 
-@register("resolve_alias", S.with_(S.BARS, S.ALIASES, S.ALIAS_QUERIES) + """,
+RESOLVE_STAGES = """,
 q AS (SELECT query_id, query, lower(trim(query)) AS q FROM aq),
 sfx(sp, suffix) AS (VALUES (0, ' inc.'), (1, ' inc'), (2, ' corp.'), (3, ' corp'), (4, ' corporation'),
    (5, ' co.'), (6, ' co'), (7, ' ltd.'), (8, ' ltd'), (9, ' plc'), (10, ' company'),
@@ -491,7 +491,10 @@ recent AS (SELECT DISTINCT ticker FROM bars WHERE ts >= (SELECT max(ts) FROM bar
 l AS (SELECT q.query_id, upper(trim(q.query)) AS t3 FROM q
       WHERE regexp_matches(regexp_replace(upper(trim(q.query)), '[-.]', '', 'g'), '^\\pL+$')
         AND length(upper(trim(q.query))) BETWEEN 1 AND 6
-        AND upper(trim(q.query)) IN (SELECT ticker FROM recent))
+        AND upper(trim(q.query)) IN (SELECT ticker FROM recent))"""
+
+
+@register("resolve_alias", S.with_(S.BARS, S.ALIASES, S.ALIAS_QUERIES) + RESOLVE_STAGES + """
 SELECT q.query_id, q.query, coalesce(t1, t2, t3) AS ticker,
        CASE WHEN t1 IS NOT NULL THEN 'alias' WHEN t2 IS NOT NULL THEN 'suffix'
             WHEN t3 IS NOT NULL THEN 'literal' END AS stage
@@ -500,6 +503,27 @@ def q_resolve_alias(spark, sf):
     return resolve(D.alias_queries(spark, sf), D.aliases(spark, sf), D.bars(spark, sf))
 
 
+@register("resolve_search", S.with_(S.BARS, S.ALIASES, S.SEARCH_QUERIES, S.QUOTES) + RESOLVE_STAGES + """,
+hits AS (SELECT q.query_id, t.symbol, t.kind,
+                least(CASE WHEN starts_with(lower(trim(t.name)), q.q) THEN length(trim(t.name)) END,
+                      CASE WHEN starts_with(lower(t.symbol), q.q) THEN length(t.symbol) END)
+                - length(q.q) AS score
+         FROM q JOIN quotes t ON length(q.q) > 0
+          AND (starts_with(lower(trim(t.name)), q.q) OR starts_with(lower(t.symbol), q.q))),
+top3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, symbol) AS rk FROM hits),
+g AS (SELECT query_id, upper(arg_min(symbol, rk)) AS t4 FROM top3
+      WHERE rk <= 3 AND kind IN ('EQUITY', 'ETF') GROUP BY query_id)
+SELECT q.query_id, q.query, coalesce(t1, t2, t3, t4) AS ticker,
+       CASE WHEN t1 IS NOT NULL THEN 'alias' WHEN t2 IS NOT NULL THEN 'suffix'
+            WHEN t3 IS NOT NULL THEN 'literal' WHEN t4 IS NOT NULL THEN 'search' END AS stage
+FROM q LEFT JOIN d USING (query_id) LEFT JOIN s USING (query_id) LEFT JOIN l USING (query_id)
+       LEFT JOIN g USING (query_id)""")
+def q_resolve_search(spark, sf):
+    """The full resolver with the search stage over the quote table (T7, P20)."""
+    return resolve(D.search_queries(spark, sf), D.aliases(spark, sf), D.bars(spark, sf),
+                   quotes=D.quotes(spark, sf))
+
+
 @register("profile_parse", """
 SELECT event_id, event_type, json_extract(props, '$.k')::BIGINT AS k,
        coalesce(TRY_CAST(json_extract_string(props, '$.trailingPE') AS DOUBLE), 0.0) AS trailing_pe,

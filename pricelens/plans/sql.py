@@ -193,6 +193,21 @@ ALIAS_QUERIES = """aq AS (
               || (['' || ' inc.', ' corp', ' group', ' ltd', '', ' widgets'])[n_nationkey % 6 + 1] AS query
   FROM nation)"""
 
+QUOTES = """quotes AS (
+  SELECT 'P' || p_partkey AS symbol, p_name AS name,
+         CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 'ETF' WHEN 'PROMO' THEN 'MUTUALFUND'
+              WHEN 'SMALL' THEN 'INDEX' ELSE 'EQUITY' END AS kind
+  FROM part)"""
+
+SEARCH_QUERIES = """aq AS (
+  SELECT p_partkey AS query_id,
+         CASE p_partkey % 4
+              WHEN 0 THEN '  ' || left(p_name, (1 + p_partkey % greatest(length(p_name), 1))::INTEGER)
+              WHEN 1 THEN upper(split_part(p_name, ' ', 1))
+              WHEN 2 THEN 'p' || (p_partkey // 7)
+              ELSE p_name || ' widgets' END AS query
+  FROM part)"""
+
 NEWS = """news AS (
   SELECT conv_id AS ticker, turn AS position, left(text, 40) AS title, role AS publisher,
          text AS summary FROM conversations)"""

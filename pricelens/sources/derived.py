@@ -112,6 +112,36 @@ def alias_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.concat(F.lit("  "), name, suf).alias("query"))
 
 
+# Quote type by the first word of p_type (fixed values of this fixture).
+QUOTE_KINDS = {"ECONOMY": "ETF", "PROMO": "MUTUALFUND", "SMALL": "INDEX"}  # others: EQUITY
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search universe: one quote per part, symbol 'P<partkey>', name p_name, quote type
+    from the first word of p_type."""
+    pt = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
+    w = F.split(C("p_type"), " ").getItem(0)
+    kind = F.lit("EQUITY")
+    for k, v in reversed(list(QUOTE_KINDS.items())):
+        kind = F.when(w == k, v).otherwise(kind)
+    return pt.select(F.concat(F.lit("P"), C("p_partkey").cast("string")).alias("symbol"),
+                     C("p_name").alias("name"), kind.alias("kind"))
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search string per part, by p_partkey % 4: a prefix of the name (padded), the
+    first word upper-cased, a symbol prefix 'p<partkey div 7>', or the name plus a word."""
+    pt = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
+    k = C("p_partkey")
+    n = F.greatest(F.length("p_name"), F.lit(1)).cast("long")
+    q = (F.when(F.pmod(k, F.lit(4)) == 0,
+                F.concat(F.lit("  "), F.left(C("p_name"), (F.lit(1) + F.pmod(k, n)).cast("int"))))
+         .when(F.pmod(k, F.lit(4)) == 1, F.upper(F.split(C("p_name"), " ").getItem(0)))
+         .when(F.pmod(k, F.lit(4)) == 2, F.concat(F.lit("p"), F.expr("p_partkey div 7").cast("string")))
+         .otherwise(F.concat(C("p_name"), F.lit(" widgets"))))
+    return pt.select(k.alias("query_id"), q.alias("query"))
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News items: ticker = conv_id, position = turn, publisher = role,
     summary = text, title = first 40 characters of text."""

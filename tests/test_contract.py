@@ -31,7 +31,7 @@ def duck():
 
 SAMPLE = ["bars_daily", "indicators_full", "signal_board", "period_returns", "risk_metrics",
           "embargo_split", "roc_auc", "class_report", "resolve_alias", "report_lines",
-          "news_digest", "log_retention", "returns_text", "split_global"]
+          "news_digest", "log_retention", "returns_text", "split_global", "resolve_search"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

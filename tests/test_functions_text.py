@@ -104,3 +104,39 @@ def test_resolver_stages(spark):
     assert got[5] == (None, None)
     assert got[6] == (None, None)
     assert got[7] == ("AAPL", "suffix")
+
+
+def _brute_search(quotes, queries, k=3, accepted=("EQUITY", "ETF")):
+    out = {}
+    for qid, query in queries:
+        q = query.strip().lower()
+        hits = []
+        for sym, name, kind in quotes:
+            keys = [x for x in (name.strip().lower(), sym.lower()) if q and x.startswith(q)]
+            if keys:
+                hits.append((min(len(x) for x in keys) - len(q), sym, kind))
+        hits.sort()
+        pick = next((s.upper() for _, s, kd in hits[:k] if kd in accepted), None)
+        out[qid] = pick
+    return out
+
+
+def test_search_stage_matches_brute_force(spark):
+    from pricelens.operators.resolve import search_hits, search_pick
+    quotes = [("P1", "red widget", "EQUITY"), ("P2", "red bolt", "MUTUALFUND"),
+              ("P3", "red", "INDEX"), ("P4", "reddish gear", "INDEX"),
+              ("P5", "red widgets", "ETF"), ("PR", "print", "EQUITY"),
+              ("P10", "p10 holdings", "EQUITY"), ("X", "", "EQUITY")]
+    quotes += [(f"S{i}", f"same name {i % 7}", "EQUITY" if i % 3 else "INDEX") for i in range(60)]
+    queries = [(1, "red"), (2, " RED B"), (3, "re"), (4, "p1"), (5, "pr"), (6, "x"),
+               (7, ""), (8, "   "), (9, "same"), (10, "same name 3"), (11, "zzz"),
+               (12, "p10 h"), (13, "red widgets!"), (14, "s1")]
+    qdf = spark.createDataFrame(queries, "query_id long, query string") \
+        .withColumn("q", F.lower(F.trim("query")))
+    qt = spark.createDataFrame(quotes, "symbol string, name string, kind string")
+    pick = search_pick(search_hits(qt, qdf.select("q")))
+    got = {r["query_id"]: r["symbol"] for r in
+           qdf.join(pick, qdf["q"] == pick["p"], "left").select("query_id", "symbol").collect()}
+    assert got == _brute_search(quotes, queries)
+    # the 4th hit of "red" is acceptable (P5) but outside the top 3 -> P1 wins
+    assert got[1] == "P1" and got[7] is None and got[8] is None
