@@ -66,21 +66,29 @@ def leaf_error(spec) -> tuple[float, float]:
 
 
 class SammeModel:
-    def __init__(self, features: list[str], trees: list, alphas: list[float], specs=None):
+    """Stage weights, each stage's tree (``tree_spec`` form) and each tree's normalised
+    feature importances. Everything is a few numbers per stage, held on the driver."""
+
+    def __init__(self, features: list[str], alphas: list[float], specs: list,
+                 importances: list[list[float]]):
         self.features = list(features)
-        self.trees = trees
         self.alphas = [float(a) for a in alphas]
-        self.specs = list(specs) if specs is not None else [tree_spec(t) for t in trees]
+        self.specs = list(specs)
+        self.importances = [[float(v) for v in imp] for imp in importances]
+
+    @staticmethod
+    def from_trees(features: list[str], trees: list, alphas: list[float]) -> "SammeModel":
+        return SammeModel(features, alphas, [tree_spec(t) for t in trees],
+                          [t.featureImportances.toArray().tolist() for t in trees])
 
     @property
     def feature_importances(self) -> dict[str, float]:
         """Stage-weighted mean of the trees' (normalised) importances."""
         tot = sum(self.alphas)
         acc = [0.0] * len(self.features)
-        for t, a in zip(self.trees, self.alphas):
-            imp = t.featureImportances.toArray()
+        for imp, a in zip(self.importances, self.alphas):
             for i, v in enumerate(imp):
-                acc[i] += a * float(v)
+                acc[i] += a * v
         return {f: (v / tot if tot > 0 else 0.0) for f, v in zip(self.features, acc)}
 
     def decision(self) -> Column:
@@ -105,19 +113,57 @@ class SammeModel:
 
     # ----------------------------------------------------------------- persistence
     def save(self, spark: SparkSession, path: str) -> None:
-        for i, t in enumerate(self.trees):
-            t.write().overwrite().save(os.path.join(path, f"tree_{i:04d}"))
-        meta = {"features": self.features, "alphas": self.alphas,
-                "importance": self.feature_importances}
+        """Two writes: ``stages`` (one row per stage: alpha, importances, the tree's nodes
+        in pre-order) and ``config`` (features, overall importance)."""
+        rows = [(i, a, imp, _flatten(spec))
+                for i, (a, imp, spec) in enumerate(zip(self.alphas, self.importances, self.specs))]
+        spark.createDataFrame(rows, STAGES_SCHEMA).write.mode("overwrite") \
+            .parquet(os.path.join(path, "stages"))
+        meta = {"features": self.features, "importance": self.feature_importances}
         spark.createDataFrame([(json.dumps(meta),)], "config string").coalesce(1) \
             .write.mode("overwrite").json(os.path.join(path, "config"))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "SammeModel":
         meta = json.loads(spark.read.json(os.path.join(path, "config")).first()["config"])
-        trees = [DecisionTreeClassificationModel.load(os.path.join(path, f"tree_{i:04d}"))
-                 for i in range(len(meta["alphas"]))]
-        return SammeModel(meta["features"], trees, meta["alphas"])
+        # A model has one row per stage (at most the round count): bounded, driver-sized.
+        st = sorted(spark.read.parquet(os.path.join(path, "stages")).collect(),
+                    key=lambda r: r["stage"])
+        return SammeModel(meta["features"], [r["alpha"] for r in st],
+                          [_unflatten(r["nodes"]) for r in st],
+                          [list(r["importances"]) for r in st])
+
+
+STAGES_SCHEMA = ("stage int, alpha double, importances array<double>, "
+                 "nodes array<struct<feature int, threshold double, left int, right int, "
+                 "prediction double, stats array<double>>>")
+
+
+def _flatten(spec) -> list[tuple]:
+    """Pre-order node list; a split row has child indexes, a leaf row has left = -1."""
+    out: list = []
+
+    def add(nd) -> int:
+        i = len(out)
+        out.append(None)
+        if nd[0] == "leaf":
+            out[i] = (-1, None, -1, -1, nd[1], list(nd[2]))
+        else:
+            lft, rgt = add(nd[3]), add(nd[4])
+            out[i] = (nd[1], nd[2], lft, rgt, None, None)
+        return i
+    add(spec)
+    return out
+
+
+def _unflatten(nodes) -> tuple:
+    def build(i):
+        n = nodes[i]
+        if n["left"] < 0:
+            return ("leaf", float(n["prediction"]), list(n["stats"]))
+        return ("split", int(n["feature"]), float(n["threshold"]), build(n["left"]),
+                build(n["right"]))
+    return build(0)
 
 
 def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds: int = 100,
@@ -138,7 +184,7 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
         raise ValueError("no training rows")
     d = base.withColumn("__w", F.lit(1.0 / n)).persist(StorageLevel.MEMORY_AND_DISK)
     cached = d
-    trees, specs, alphas = [], [], []
+    trees, alphas = [], []
     for m in range(rounds):
         dt = DecisionTreeClassifier(featuresCol="__features", labelCol="__label", weightCol="__w",
                                     maxDepth=max_depth, maxBins=max_bins, seed=seed + m,
@@ -150,7 +196,6 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
         err = miss_w / tot_w if tot_w > 0 else 0.0
         if err <= 0.0:
             trees.append(tree)
-            specs.append(spec)
             alphas.append(1.0)
             break
         if err >= 0.5:
@@ -159,7 +204,6 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
             break
         alpha = learning_rate * math.log((1.0 - err) / err)
         trees.append(tree)
-        specs.append(spec)
         alphas.append(alpha)
         if m == rounds - 1:
             break
@@ -177,7 +221,7 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
         cached = d
     if cached is not None:
         cached.unpersist()
-    return SammeModel(feats, trees, alphas, specs)
+    return SammeModel.from_trees(feats, trees, alphas)
 
 
 def model_path(spark: SparkSession, name: str | None = None) -> str:
