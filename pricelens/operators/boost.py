@@ -182,6 +182,14 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
     n = base.count()
     if n == 0:
         raise ValueError("no training rows")
+    # Every round runs several small jobs over this frame: size it to the cluster (at least
+    # one partition per core, one more per ~128 MB of rows at ~160 bytes a row).
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * 160 / (128 << 20)))
+    have = base.rdd.getNumPartitions()
+    if have > parts:
+        base = base.coalesce(parts)
+    elif have < parts:
+        base = base.repartition(parts)
     d = base.withColumn("__w", F.lit(1.0 / n)).persist(StorageLevel.MEMORY_AND_DISK)
     cached = d
     trees, alphas = [], []
