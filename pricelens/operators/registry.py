@@ -15,16 +15,22 @@ def log_retention(log: DataFrame, keep: int = 50, order=("retrained_at", "period
     return log.orderBy(*[C(c).desc() for c in order]).limit(keep)
 
 
-def append_entry(log: DataFrame, entry: DataFrame, keep: int = 50) -> DataFrame:
+def append_entry(log: DataFrame, entry: DataFrame, keep: int = 50,
+                 order=("retrained_at", "period")) -> DataFrame:
     """History plus the new entry, newest ``keep`` kept (by column name, missing
     columns null)."""
-    return log_retention(log.unionByName(entry, allowMissingColumns=True), keep)
+    return log_retention(log.unionByName(entry, allowMissingColumns=True), keep, order)
 
 
 def read_log(spark, path: str, schema) -> DataFrame:
-    """Tolerant read: corrupt records are dropped, a single object reads as one row."""
-    return (spark.read.schema(schema).option("mode", "DROPMALFORMED")
-            .option("multiLine", "true").json(path))
+    """Tolerant read of a JSON log: a missing path reads as empty, a corrupt file is
+    dropped (empty), a single object reads as one row, an array as its elements."""
+    from pyspark.errors import AnalysisException
+    try:
+        return (spark.read.schema(schema).option("mode", "DROPMALFORMED")
+                .option("multiLine", "true").json(path))
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 def latest_entry(log: DataFrame, order=("retrained_at", "period")) -> DataFrame:

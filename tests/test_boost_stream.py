@@ -127,6 +127,24 @@ def test_log_retention_and_latest(spark):
     assert G.latest_info(log, mt).first()["source"] == "log"
 
 
+def test_read_log_tolerant(spark, tmpdir_path):
+    from pricelens.operators import registry as G
+    schema = "retrained_at string, accuracy double"
+    files = {"arr.json": '[{"retrained_at": "2025-01-01T00:00:00", "accuracy": 0.5},\n'
+                         ' {"retrained_at": "2025-01-08T00:00:00", "accuracy": 0.6}]',
+             "one.json": '{"retrained_at": "2025-02-01T00:00:00", "accuracy": 0.7}',
+             "bad.json": '{"retrained_at": "2025-0'}
+    for n, txt in files.items():
+        with open(os.path.join(tmpdir_path, n), "w") as f:
+            f.write(txt)
+    count = {n: G.read_log(spark, os.path.join(tmpdir_path, n), schema).count() for n in files}
+    assert count == {"arr.json": 2, "one.json": 1, "bad.json": 0}
+    assert G.read_log(spark, os.path.join(tmpdir_path, "missing.json"), schema).count() == 0
+    one = G.read_log(spark, os.path.join(tmpdir_path, "one.json"), schema)
+    arr = G.read_log(spark, os.path.join(tmpdir_path, "arr.json"), schema)
+    assert G.append_entry(arr, one, keep=2, order=("retrained_at",)).orderBy("retrained_at").toPandas()["accuracy"].tolist() == [0.6, 0.7]
+
+
 def test_microbatch_scoring(spark):
     """New bars arrive as a stream; each batch scores the newest bar of the tickers
     it touched, equal to scoring the full history in batch."""
