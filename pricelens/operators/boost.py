@@ -191,14 +191,17 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
     elif have < parts:
         base = base.repartition(parts)
     d = base.withColumn("__w", F.lit(1.0 / n)).persist(StorageLevel.MEMORY_AND_DISK)
-    cached = d
+    prev = None
     trees, alphas = [], []
     for m in range(rounds):
         dt = DecisionTreeClassifier(featuresCol="__features", labelCol="__label", weightCol="__w",
                                     maxDepth=max_depth, maxBins=max_bins, seed=seed + m,
                                     predictionCol="__pred", rawPredictionCol="__raw",
                                     probabilityCol="__prob")
-        tree = dt.fit(d)
+        tree = dt.fit(d)  # its first job fills d's cache from the previous round's
+        if prev is not None:
+            prev.unpersist()
+            prev = None
         spec = tree_spec(tree)
         miss_w, tot_w = leaf_error(spec)
         err = miss_w / tot_w if tot_w > 0 else 0.0
@@ -217,18 +220,19 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
             break
         total = (1.0 - err) + err * math.exp(alpha)
         miss = (tree_column(spec, feats) != C("__label")).cast("double")
-        d = d.select(*feats, "__features", "__label",
-                     (C("__w") * F.exp(F.lit(alpha) * miss) / F.lit(total)).alias("__w"))
+        nxt = d.select(*feats, "__features", "__label",
+                       (C("__w") * F.exp(F.lit(alpha) * miss) / F.lit(total)).alias("__w"))
+        prev = d
+        d = nxt
         if (m + 1) % checkpoint_every == 0:
             d = d.checkpoint(eager=True)
-        # The next fit reads the frame several times (metadata, split search, binning);
-        # keep this round's weights in executor storage, drop the previous round's.
+        # The next fit reads the frame several times (metadata, split search, binning):
+        # keep the new weights in executor storage; the old ones are released once the
+        # next fit has built the new cache from them.
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
-        if cached is not None:
-            cached.unpersist()
-        cached = d
-    if cached is not None:
-        cached.unpersist()
+    for x in (prev, d):
+        if x is not None:
+            x.unpersist()
     return SammeModel.from_trees(feats, trees, alphas)
 
 
