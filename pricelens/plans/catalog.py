@@ -776,9 +776,9 @@ def q_model_roundtrip(spark, sf):
                                               (C("d1") == C("d2")).alias("same"))
 
 
-def latest_features(spark, sf) -> DataFrame:
+def latest_features(spark, sf, bars: DataFrame | None = None) -> DataFrame:
     """Newest bar of each ticker with the 10 feature values, sanitised for scoring."""
-    d = _latest(I.indicators_core(prepare(D.bars(spark, sf))))
+    d = _latest(I.indicators_core(prepare(D.bars(spark, sf) if bars is None else bars)))
     p = D.profile(spark, sf).select("ticker", C("trailing_pe").alias("pe_ratio"),
                                     "revenue_growth", "profit_margin")
     d = d.join(p, "ticker", "left")
@@ -856,12 +856,15 @@ def q_train_run(spark, sf):
 
 @register("briefing_text")
 def q_briefing_text(spark, sf):
-    board = signal_board(D.bars(spark, sf))
-    scored = fitted_model(spark, sf).transform(latest_features(spark, sf)).select(
-        "ticker", "direction", "confidence")
-    risk = M.risk_metrics(D.bars(spark, sf))
-    rt = P.returns_text(M.period_returns(D.bars(spark, sf)))
-    lf = latest_features(spark, sf).select("ticker", *FEATURES_7)
+    # One bar frame and one latest-feature frame feed every part, so the parts share
+    # their scans and exchanges.
+    bars = D.bars(spark, sf)
+    latest = latest_features(spark, sf, bars)
+    board = signal_board(bars)
+    scored = fitted_model(spark, sf).transform(latest).select("ticker", "direction", "confidence")
+    risk = M.risk_metrics(bars)
+    rt = P.returns_text(M.period_returns(bars))
+    lf = latest.select("ticker", *FEATURES_7)
     it = P.importance_lines(lf, T.importance_table(spark, fitted_model(spark, sf)))
     fund = P.profile_format(D.profile(spark, sf))
     # news items are keyed by conversation id; the instrument with that nation key owns them
