@@ -140,3 +140,30 @@ def test_search_stage_matches_brute_force(spark):
     assert got == _brute_search(quotes, queries)
     # the 4th hit of "red" is acceptable (P5) but outside the top 3 -> P1 wins
     assert got[1] == "P1" and got[7] is None and got[8] is None
+
+
+def test_search_stage_property(spark):
+    """Random quote tables and queries over a tiny alphabet (many shared prefixes and
+    ties): the prefix-table search equals the brute-force definition."""
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+    from pricelens.operators.resolve import search_hits, search_pick
+
+    word = st.text(alphabet="abA ", min_size=0, max_size=6)
+    quote = st.tuples(st.text(alphabet="ab", min_size=1, max_size=3), word,
+                      st.sampled_from(["EQUITY", "ETF", "INDEX", "MUTUALFUND"]))
+
+    @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(quote, min_size=1, max_size=25, unique_by=lambda q: q[0]),
+           st.lists(word, min_size=1, max_size=12))
+    def check(quotes, qs):
+        queries = list(enumerate(qs))
+        qdf = spark.createDataFrame(queries, "query_id long, query string") \
+            .withColumn("q", F.lower(F.trim("query")))
+        qt = spark.createDataFrame(quotes, "symbol string, name string, kind string")
+        pick = search_pick(search_hits(qt, qdf.select("q")))
+        got = {r["query_id"]: r["symbol"] for r in
+               qdf.join(pick, qdf["q"] == pick["p"], "left").select("query_id", "symbol").collect()}
+        assert got == _brute_search(quotes, queries)
+
+    check()
