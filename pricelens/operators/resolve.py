@@ -14,9 +14,11 @@ its lower-cased name or symbol starts with q; its score is the number of charact
 lacks to complete the shortest such key, and hits rank by (score, symbol). Rather than
 comparing every query with every quote, each quote emits its name and symbol prefixes
 (only up to the longest query's length; a prefix shared by name and symbol is emitted
-once, with the better score), the 3 best quotes are kept per prefix by a window whose
-row limit the planner also applies before the shuffle (so a prefix shared by a third
-of all quotes ships at most 3 rows per map task), and queries equi-join that table.
+once, with the better score), prefixes no query equals are dropped by a semi-join
+(broadcast only under a measured size bound), the 3 best quotes are kept per prefix by
+a window whose row limit the planner also applies before the shuffle (so a prefix
+shared by a third of all quotes ships at most 3 rows per map task), and queries
+equi-join that table.
 """
 
 from __future__ import annotations
@@ -45,11 +47,21 @@ def looks_like_ticker(query) -> F.Column:
     return letters.rlike(r"^\p{L}+$") & (F.length(u) >= 1) & (F.length(u) <= 6)
 
 
+# Largest set of distinct query strings the search stage broadcasts (checked per call).
+SEARCH_BROADCAST_MAX_BYTES = 64 << 20
+
+
 def search_hits(quotes: DataFrame, qstrings: DataFrame, k: int = 3) -> DataFrame:
     """``quotes(symbol, name, kind)`` -> ``(p, rk, symbol, kind)``: the k best hits of every
-    prefix p that some normalised query string ``qstrings.q`` could equal."""
+    prefix p that equals some normalised query string ``qstrings.q``."""
     from pyspark.sql import Window
-    maxq = qstrings.select(F.max(F.length("q"))).scalar()
+    qd = qstrings.select(C("q").alias("p")).where(F.length("p") >= 1).distinct()
+    st = qd.agg(F.count("*").alias("n"), F.sum(F.length("p")).alias("chars"),
+                F.max(F.length("p")).alias("maxq")).first()
+    if not st["n"]:
+        return quotes.sparkSession.createDataFrame(
+            [], "p string, symbol string, kind string, score int, rk int")
+    maxq = F.lit(int(st["maxq"]))
     qt = quotes.select("symbol", "kind", F.lower(F.trim("name")).alias("nm"),
                        F.lower("symbol").alias("sy"))
     ln, ls = F.length("nm"), F.length("sy")
@@ -63,9 +75,16 @@ def search_hits(quotes: DataFrame, qstrings: DataFrame, k: int = 3) -> DataFrame
                    .withColumn("p", F.left(C("sy"), C("i")))
                    .where(~C("nm").startswith(C("p")))
                    .select("p", "symbol", "kind", (ls - C("i")).alias("score")))
+    pre = on_name.unionByName(on_symbol)
+    # Keep only prefixes some query equals. The query strings are broadcast when their
+    # measured size is under the bound (a map-side filter, no shuffle of the prefixes);
+    # otherwise a shuffle semi-join, whose hot prefixes AQE splits.
+    if int(st["chars"]) + 48 * int(st["n"]) <= SEARCH_BROADCAST_MAX_BYTES:
+        pre = pre.join(F.broadcast(qd), "p", "left_semi")
+    else:
+        pre = pre.join(qd, "p", "left_semi")
     w = Window.partitionBy("p").orderBy("score", "symbol")
-    return (on_name.unionByName(on_symbol)
-            .withColumn("rk", F.row_number().over(w)).where(C("rk") <= k))
+    return pre.withColumn("rk", F.row_number().over(w)).where(C("rk") <= k)
 
 
 def search_pick(hits: DataFrame) -> DataFrame:

@@ -121,8 +121,14 @@ def _brute_search(quotes, queries, k=3, accepted=("EQUITY", "ETF")):
     return out
 
 
-def test_search_stage_matches_brute_force(spark):
+@pytest.mark.parametrize("bound", [None, 0])
+def test_search_stage_matches_brute_force(spark, monkeypatch, bound):
+    """Broadcast semi-join (default bound) and shuffle semi-join (bound 0) agree with
+    brute force."""
+    from pricelens.operators import resolve as R
     from pricelens.operators.resolve import search_hits, search_pick
+    if bound is not None:
+        monkeypatch.setattr(R, "SEARCH_BROADCAST_MAX_BYTES", bound)
     quotes = [("P1", "red widget", "EQUITY"), ("P2", "red bolt", "MUTUALFUND"),
               ("P3", "red", "INDEX"), ("P4", "reddish gear", "INDEX"),
               ("P5", "red widgets", "ETF"), ("PR", "print", "EQUITY"),
