@@ -33,6 +33,34 @@ def read_log(spark, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def read_log_version(spark, base: str) -> tuple[DataFrame | None, int]:
+    """Newest version of a versioned Parquet log (partition folders ``v=<n>`` under
+    ``base``) and its number; ``(None, -1)`` when the folder is missing or empty."""
+    from pyspark.errors import AnalysisException
+    try:
+        d = spark.read.parquet(base)
+    except AnalysisException:
+        return None, -1
+    if "v" not in d.columns:
+        return None, -1
+    v = d.agg(F.max("v")).first()[0]
+    if v is None:
+        return None, -1
+    return d.where(C("v") == F.lit(v)).drop("v"), int(v)
+
+
+def write_log_version(spark, base: str, entry: DataFrame, keep: int = 50) -> int:
+    """Append ``entry`` to the newest version and write the newest ``keep`` rows as the next
+    version (append of one new partition folder, visible only once the job commits).
+    Works on any Hadoop file system; a failed write leaves the previous version intact.
+    Returns the new version number."""
+    old, v = read_log_version(spark, base)
+    new = entry if old is None else append_entry(old, entry, keep)
+    new = new.checkpoint(eager=True)  # read from the log, written back under the same base
+    new.withColumn("v", F.lit(v + 1)).write.mode("append").partitionBy("v").parquet(base)
+    return v + 1
+
+
 def latest_entry(log: DataFrame, order=("retrained_at", "period")) -> DataFrame:
     """Newest entry as one row: retrained_at, accuracy, source='log'."""
     k = F.struct(*[C(c) for c in order])

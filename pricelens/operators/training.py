@@ -4,7 +4,6 @@ SAMME fit -> evaluation -> model save -> metrics record appended to the run log.
 from __future__ import annotations
 
 import datetime as _dt
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,11 +96,6 @@ def train_run(split: DataFrame, universe: DataFrame, rows_per_ticker: DataFrame,
     if save_to:
         model.save(spark, save_to)
     if log_path:
-        from pricelens.operators.registry import append_entry
-        hist_exists = os.path.exists(log_path) if log_path.startswith("/") else False
-        new = rec
-        if hist_exists:
-            old = spark.read.parquet(log_path)
-            new = append_entry(old, rec, 50).checkpoint(eager=True)
-        new.write.mode("overwrite").parquet(log_path)
+        from pricelens.operators.registry import write_log_version
+        write_log_version(spark, log_path, rec, 50)
     return model, rec

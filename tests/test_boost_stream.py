@@ -187,6 +187,21 @@ def test_read_log_tolerant(spark, tmpdir_path):
     assert G.append_entry(arr, one, keep=2, order=("retrained_at",)).orderBy("retrained_at").toPandas()["accuracy"].tolist() == [0.6, 0.7]
 
 
+def test_versioned_log(spark, tmpdir_path):
+    """Each append writes the newest ``keep`` rows as a new version; readers see the newest."""
+    import datetime as dt
+    from pricelens.operators import registry as G
+    base = os.path.join(tmpdir_path, "runlog")
+    assert G.read_log_version(spark, base) == (None, -1)
+    for i in range(4):
+        e = spark.createDataFrame([("10y", dt.datetime(2025, 1, 1 + i), 0.5 + i / 10)],
+                                  "period string, retrained_at timestamp_ntz, accuracy double")
+        assert G.write_log_version(spark, base, e, keep=3) == i
+    log, v = G.read_log_version(spark, base)
+    got = log.orderBy("retrained_at").toPandas()
+    assert v == 3 and got["accuracy"].round(6).tolist() == [0.6, 0.7, 0.8]
+
+
 def test_microbatch_scoring(spark):
     """New bars arrive as a stream; each batch scores the newest bar of the tickers
     it touched, equal to scoring the full history in batch."""
