@@ -234,3 +234,19 @@ def test_microbatch_scoring(spark):
     res = {r["ticker"]: (r["direction"], round(r["confidence"], 9)) for r in got}
     assert skip not in res and len(res) == len(exp) - 1
     assert all(res[t] == exp[t] for t in res)
+
+
+def test_retrain_job_twice(spark, tmpdir_path, capsys):
+    """The batch retrain job: exit 0, one JSON record per run, one log version per run."""
+    import json
+    from pricelens.operators import registry as G
+    from pricelens.plans import retrain
+    out = os.path.join(tmpdir_path, "retrain")
+    args = ["--sf", "/root/testdata/sf0.001", "--master", "local[4]", "--rounds", "2",
+            "--out", out]
+    assert retrain.main(args) == 0 and retrain.main(args) == 0
+    recs = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert len(recs) == 2 and recs[0]["split_method"] == "per_ticker_time_based_with_embargo"
+    log, v = G.read_log_version(spark, os.path.join(out, "log"))
+    assert v == 1 and log.count() == 2
+    assert retrain.main(["--bars", os.path.join(tmpdir_path, "missing"), "--out", out]) == 1
