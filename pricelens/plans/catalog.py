@@ -874,6 +874,17 @@ def q_briefing_text(spark, sf):
     return P.briefing_text(board, scored, risk, rt, it, fund, dg)
 
 
+@register("analyse_queries")
+def q_analyse_queries(spark, sf):
+    """The interactive flow for a whole table of user search strings: resolve each to an
+    instrument, then attach that instrument's briefing (signals, model call, returns,
+    risk, importances, fundamentals, news). Unresolved queries keep a null briefing."""
+    r = resolve(D.alias_queries(spark, sf), D.aliases(spark, sf), D.bars(spark, sf))
+    b = q_briefing_text(spark, sf)
+    return r.join(b, "ticker", "left").select("query_id", "query", "ticker", "stage",
+                                              *[c for c in b.columns if c != "ticker"])
+
+
 @register("fundamentals_text", S.with_(S.PROFILE) + """
 SELECT ticker, concat_ws(chr(10),
   'P/E (trailing): ' || coalesce(printf('%.2f', trailing_pe), 'N/A'),
