@@ -39,3 +39,22 @@ def test_oracle_sample(spark, duck, name):
     s = E.queries()[name](spark, SF001).toPandas()
     d = duck.sql(E.oracle_sql()[name]).df()
     assert compare(s, d) is None
+
+
+MODEL_QUERIES = {"boost_fit", "boost_importance", "model_roundtrip", "score_latest",
+                 "importance_text", "train_run", "briefing_text", "analyse_queries"}
+FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+             "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"]
+
+
+def test_plans_have_no_pairs_or_python(spark):
+    """No registered query plans a cartesian product, a nested-loop join or a Python UDF."""
+    bad = {}
+    for name, fn in E.queries().items():
+        if name in MODEL_QUERIES:
+            continue
+        plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        hits = [f for f in FORBIDDEN if f in plan]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
