@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, tokens
+from . import decontaminate, packing, quality, tokens, toxicity
 from .common import table
 
 
@@ -10,13 +10,23 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.op3_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality.op4_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity.op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.op10_best_fit_packing(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": tokens.op5_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE = {"op3_decontaminate": decontaminate.SQL}
