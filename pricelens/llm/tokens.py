@@ -9,6 +9,7 @@ library whole, so results are the library's own either way.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 from collections.abc import Callable
@@ -22,13 +23,17 @@ from .common import annotate, one_thread, scratch, slices, stored, table, utf8
 
 LIMIT = 1024
 #: Entries of one worker's table of pieces; it starts anew when it is full, which costs time and changes no result.
-PIECES = 600_000
+PIECES = 800_000
 #: Characters that neither normalisation nor the split of either tokenizer treats in a special way.
 PLAIN = re.compile("[\\n -~¡-¬®-ÿ]*")
 #: What would join two pieces: white space beside the single spaces at which byte-level texts are cut.
 JOINED = re.compile(r"\s[ ]|[ ]\s|\A\s|\s\Z")
 
-_loaded: dict[str, tuple] = {}
+#: Byte-level vocabularies write each byte as one character: itself where it is printable, else the next one from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b if b in PRINTED else 256 + k for k, b in enumerate([*[b for b in range(256) if b not in PRINTED], *PRINTED])}
+
+_loaded: dict[str, Pieces] = {}
 
 
 def digest_of(path: str) -> str:
@@ -39,49 +44,69 @@ def digest_of(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
-def load(path: str):
-    """(tokenizer, its special strings, whether white space is dropped), once for each worker."""
-    if path not in _loaded:
+class Pieces:
+    """One worker's tokenizer with its table of pieces."""
+
+    def __init__(self, path: str):
         one_thread()
+        import regex
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        special = [a.content for a in t.get_added_tokens_decoder().values()]
-        _loaded[path] = (t, special, t.encode(" ", add_special_tokens=False).ids == [], {}, {})
-    return _loaded[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
+        conf = json.loads(self.tokenizer.to_str())
+        steps = (conf["pre_tokenizer"] or {}).get("pretokenizers", [conf["pre_tokenizer"]])
+        own = [x["pattern"]["Regex"] for x in steps if x and x["type"] == "Split"]
+        #: Splitting by matches drops white space; byte-level splitting keeps it, before words.
+        self.spaceless = bool(own)
+        self.split = regex.compile(own[0] if own else public_tokenizers.PATTERN)
+        self.lower = "Lowercase" in json.dumps(conf["normalizer"])
+        self.first: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
+    def piece(self, text: str) -> bytes:
+        """A plain text's split, each part through the library's model."""
+        ids = [token.id for part in self.split.findall(text.lower() if self.lower else text)
+               for token in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LEVEL))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-def encode(path: str) -> Callable[[str], bytes]:
-    """text -> its ids, little-endian unsigned 32-bit, as the library gives them without added tokens."""
-    t, special, spaceless, inner, first = load(path)
+    def ids(self, text: str) -> bytes:
+        """Its ids, little-endian unsigned 32-bit, as the library gives them without added tokens."""
+        if len(text) < 2 or not PLAIN.fullmatch(text) or any(s in text for s in self.special) or not self.spaceless and JOINED.search(text):
+            return self.whole(text)
+        if len(self.inner) > PIECES:
+            self.inner.clear()
+        if len(self.first) > PIECES:
+            self.first.clear()
+        if self.spaceless:
+            return self.known(text.split(), "")
+        head, *rest = text.split(" ")  # a piece but the first has the space before it
+        if head not in self.first:
+            self.first[head] = self.piece(head)
+        return self.first[head] + self.known(rest, " ")
+
+    def known(self, parts: list[str], before: str) -> bytes:
+        inner = self.inner
+        got = list(map(inner.get, parts))
+        if None in got:
+            for k, ids in enumerate(got):
+                if ids is None:
+                    p = parts[k]
+                    if p not in inner:
+                        inner[p] = self.piece(before + p)
+                    got[k] = inner[p]
+        return b"".join(got)
 
-    def whole(text: str) -> bytes:
-        ids = t.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids_of(text: str) -> bytes:
-        if len(text) < 2 or not PLAIN.fullmatch(text) or any(s in text for s in special) or not spaceless and JOINED.search(text):
-            return whole(text)
-        if len(inner) > PIECES:
-            inner.clear()
-        if len(first) > PIECES:
-            first.clear()
-        pieces = text.split() if spaceless else text.split(" ")
-        out = []
-        if not spaceless:  # a piece but the first has the space before it
-            head, pieces = pieces[0], pieces[1:]
-            if head not in first:
-                first[head] = whole(head)
-            out.append(first[head])
-        get = inner.get
-        for p in pieces:
-            got = get(p)
-            if got is None:
-                got = inner[p] = whole(p if spaceless else f" {p}")
-            out.append(got)
-        return b"".join(out)
-
-    return ids_of
+def encode(path: str) -> Callable[[str], bytes]:
+    """text -> ids, by the worker's own table."""
+    if path not in _loaded:
+        _loaded[path] = Pieces(path)
+    return _loaded[path].ids
 
 
 def counts(misses: DataFrame, path: str) -> DataFrame:
