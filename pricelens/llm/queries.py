@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, tokens, toxicity
+from . import decontaminate, minhash, packing, quality, tokens, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_minhash(spark, sf_dir):
+    return minhash.op9_minhash(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.op10_best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": tokens.op5_token_counts,
     "op7_toxicity": op7_toxicity,
+    "op9_minhash": op9_minhash,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE = {"op3_decontaminate": decontaminate.SQL}
+ORACLE = {"op3_decontaminate": decontaminate.SQL, "op9_minhash": minhash.SQL}
