@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, packing, quality, tokens, toxicity
+from . import decontaminate, licenses, minhash, packing, quality, secrets, tokens, toxicity
 from .common import table
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.op1_secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.op3_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -14,6 +18,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality.op4_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.op6_license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity.op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,9 +35,11 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": tokens.op5_token_counts,
+    "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
     "op9_minhash": op9_minhash,
     "op10_best_fit_packing": op10_best_fit_packing,
