@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, minhash, packing, quality, secrets, tokens, toxicity
+from . import decontaminate, licenses, minhash, packing, quality, secrets, tokens, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark, sf_dir):
+    return warc.op8_warc(table(spark, sf_dir, "pages"))
+
+
 def op9_minhash(spark, sf_dir):
     return minhash.op9_minhash(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,8 @@ QUERIES = {
     "op5_token_counts": tokens.op5_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE = {"op3_decontaminate": decontaminate.SQL, "op9_minhash": minhash.SQL}
+ORACLE = {"op3_decontaminate": decontaminate.SQL, "op8_warc": warc.SQL, "op9_minhash": minhash.SQL}
