@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, minhash, packing, quality, secrets, tokens, toxicity, warc
+from . import decontaminate, licenses, main_text, minhash, packing, quality, secrets, tokens, toxicity, warc
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.op1_secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark, sf_dir):
+    return main_text.op2_html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.op3_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_html_extraction": op2_html_extraction,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": tokens.op5_token_counts,
