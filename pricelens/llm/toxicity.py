@@ -19,7 +19,7 @@ from .features import Rows, Texts, U, mixed, sampled, sigmoid
 
 #: Labelled rows that train the chain; buckets as bits; folds; buckets in fewer documents than LEAST are left out;
 #: bytes of a word's beginnings.
-MAX_ROWS, BITS, FOLDS, LEAST, ROUNDS, L1, BEGINNINGS = 4_000, 18, 3, 4, 60, 0.004, (4, 6, 7, 8)
+MAX_ROWS, BITS, FOLDS, LEAST, ROUNDS, L1, BEGINNINGS = 2_000, 18, 2, 6, 70, 0.012, (4, 6, 7, 8)
 TOXIC_FROM = 0.5
 
 #: Seed words of the categories.
@@ -94,6 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[
         return None
     cols = [np.frombuffer(r.cols, "<i4").astype(np.int64) for r in got]
     x, used = Rows([(c, np.log1p(np.frombuffer(r.counts, "<i4"))) for c, r in zip(cols, got, strict=True)], WIDTH).common(min(LEAST, int(y.sum())), 0.5)
+    scale = np.sqrt(np.bincount(x.col, x.val**2, x.width) / x.n)  # each bucket gets the same mean square
+    x.val = x.val / scale[x.col]
     fold = mixed(np.array([r.doc_id for r in got], np.int64).astype(U)) % U(FOLDS)
     targets = [y * np.array([bool(np.isin(c, [bucket_of(s) for s in SEEDS[name]]).any()) for c in cols]) if name in SEEDS else y for name in CATEGORIES]
     links, extra = [], np.zeros((len(y), 0))
@@ -107,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[
         full = np.append(np.zeros(WIDTH + extra.shape[1]), -35.0)
         if 0 < target.sum() < len(target):
             w = fit(x, extra, target)
-            full[used], full[WIDTH:] = w[:x.width], w[x.width:]
+            full[used], full[WIDTH:] = w[:x.width] / scale, w[x.width:]
         links.append(full)
         extra = np.column_stack([extra, held])
     return links
