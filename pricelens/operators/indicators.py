@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.scalar import sdiv
 from pricelens.operators.windows import (
-    ewm_helpers, ewm_mean, ewm_partials, ewm_value, finish, prepare, prepared, rolling,
+    ewm_held, ewm_helpers, ewm_mean, ewm_partials, ewm_value, finish, prepare, prepared, rolling,
     running, series_window,
 )
 
@@ -166,9 +166,9 @@ def _rsi_value(ag, al):
 
 
 def _bundle(df: DataFrame, full: bool) -> DataFrame:
-    """All indicators in five window levels sharing one sort (ticker, blk, pos).
+    """All indicators in a few window levels sharing one sort (ticker, blk, pos).
 
-    Level 1: lags, long and short rolling windows of the raw columns;
+    Level 1: lags and rolling windows of the raw columns;
     level 1b: EWM partial sums of close; level 2: windows over level-1 outputs
     (RSI means, volatility, ATR, %D) and the EWM values; level 3/4: MACD signal.
     """
@@ -226,12 +226,14 @@ def _bundle(df: DataFrame, full: bool) -> DataFrame:
         l2["atr"] = rolling("__tr", 14)
         l2["stoch_d"] = rolling("stoch_k", 3)
     d = d.withColumns(l2)
+    d = d.withColumns({tag: ewm_held(tag, "close") for tag in spans})
     d = d.withColumns({"rsi": _rsi_value(C("__ag"), C("__al")),
                        "macd": C("__e12") - C("__e26")})
     if full:
         d = d.withColumnRenamed("__e20", "ema_20")
     d = d.withColumns(ewm_partials("macd", "__sig", 9))
     d = d.withColumn("macd_signal", ewm_value("__sig", 9))
+    d = d.withColumn("macd_signal", ewm_held("macd_signal", "macd"))
     d = d.withColumn("macd_hist", C("macd") - C("macd_signal"))
     helpers = [prev, "__m20", "__s20", "__v20", "__lo14", "__hi14", "__peak", "__gain", "__loss",
                "__tr", "__ag", "__al", "__e12", "__e26", "__e20"]

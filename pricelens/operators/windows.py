@@ -73,21 +73,12 @@ _AGG = {
     "sum": F.sum,
 }
 
-# Frames longer than this use two incremental running frames instead of a sliding
-# frame (Spark re-aggregates a sliding frame for every row: O(rows x n)).
-LONG_FRAME = 40
-
 
 def rolling(x: str | Column, n: int, fn: str = "mean", ticker: str = TICKER) -> Column:
     """Rolling aggregate with a full-window guard: null until the frame holds ``n``
-    non-null values (``min_periods = n``). Needs a prepared frame."""
+    non-null values (``min_periods = n``). One sliding frame for every ``n``, so a value
+    that has left the frame leaves no trace. Needs a prepared frame."""
     x = F.col(x) if isinstance(x, str) else x
-    if fn in ("mean", "sum") and n > LONG_FRAME:
-        upto = series_window(ticker).rowsBetween(Window.unboundedPreceding, 0)
-        before = series_window(ticker).rowsBetween(Window.unboundedPreceding, -n)
-        cnt = F.count(x).over(upto) - F.coalesce(F.count(x).over(before), F.lit(0))
-        tot = F.sum(x).over(upto) - F.coalesce(F.sum(x).over(before), F.lit(0.0))
-        return F.when(cnt == n, tot / n if fn == "mean" else tot)
     w = trailing(n, ticker)
     return F.when(F.count(x).over(w) == n, _AGG[fn](x).over(w))
 
@@ -102,7 +93,7 @@ def ewm_depth(span: float, block: int = BLOCK) -> tuple[float, int]:
     lnr = -math.log(r)
     if block * lnr > 600.0:
         return r, 0
-    return r, max(1, math.ceil(40.0 / (block * lnr)))
+    return r, max(1, math.ceil(40.0 / (block * lnr)))  # relative to the weight 1 of the row itself
 
 
 def _short_terms(r: float) -> int:
@@ -158,6 +149,14 @@ def ewm_value(tag: str, span: float, ticker: str = TICKER) -> Column:
     return F.when(den > 0, num / den)
 
 
+def ewm_held(value: str, src: str, ticker: str = TICKER) -> Column:
+    """Stage 3: a row without an observation keeps the value of the last row that has one.
+    Between observations numerator and denominator decay alike, so this is exact however
+    long the gap; only rows with an observation (own weight 1) rely on the cut carry."""
+    seen = F.when(F.col(src).isNotNull(), F.col(value))
+    return F.last(seen, ignorenulls=True).over(running(ticker))
+
+
 def ewm_helpers(tag: str) -> list[str]:
     return [f"{tag}_{s}" for s in ("pn", "pd", "sn", "sd")]  # absent ones are ignored by drop
 
@@ -171,12 +170,13 @@ def ewm_mean(df: DataFrame, src: str, out: str, span: float, ticker: str = TICKE
     their decay). Exact, no recursion and no Python: inside a block a running sum of
     x * r**-o (o = offset in block) gives the local part; older blocks enter through
     each block's total, lagged by multiples of BLOCK rows (row t - kB always lies in
-    block b - k). Needs a prepared frame.
+    block b - k); rows without an observation hold the last value. Needs a prepared frame.
     """
     r, _ = ewm_depth(span)
     if r == 0.0:  # span <= 1: the mean is the last observation
         return df.withColumn(out, F.last(F.col(src), ignorenulls=True).over(running(ticker)))
     tag = f"__{out}"
     d = df.withColumns(ewm_partials(src, tag, span, ticker))
-    d = d.withColumn(out, ewm_value(tag, span, ticker))
-    return d.drop(*ewm_helpers(tag))
+    d = d.withColumn(tag, ewm_value(tag, span, ticker))
+    d = d.withColumn(out, ewm_held(tag, src, ticker))
+    return d.drop(tag, *ewm_helpers(tag))

@@ -1,4 +1,6 @@
-"""Spark indicators against independent pandas definitions on hand-made series."""
+"""Spark indicators against their definitions, evaluated place by place, on hand-made series."""
+
+import math
 
 import numpy as np
 import pandas as pd
@@ -8,40 +10,82 @@ from frames import series, to_spark, walk
 from pricelens.operators import indicators as I
 
 
-def pandas_reference(d: pd.DataFrame) -> pd.DataFrame:
-    """Written from the indicator definitions with pandas primitives."""
+def frame(xs, i, n):
+    """The n values up to place i, or None unless all are there."""
+    own = xs[i - n + 1:i + 1] if i >= n - 1 else []
+    return own if own and None not in own else None
+
+
+def over(xs, n, fn):
+    return [fn(w) if (w := frame(xs, i, n)) else None for i in range(len(xs))]
+
+
+def average(w):
+    return math.fsum(w) / len(w)
+
+
+def deviation(w):
+    m = average(w)
+    return math.sqrt(math.fsum((x - m) ** 2 for x in w) / (len(w) - 1))
+
+
+def decaying(xs, span):
+    """Weighted mean of all observations so far; a weight shrinks by r at each place."""
+    r, num, den, out = (span - 1) / (span + 1), 0.0, 0.0, []
+    held = None
+    for x in xs:
+        num, den = num * r, den * r
+        if x is not None:
+            num, den = num + x, den + 1
+            held = num / den
+        out.append(held)
+    return out
+
+
+def both(xs, ys, fn):
+    return [None if x is None or y is None else fn(x, y) for x, y in zip(xs, ys)]
+
+
+def ratio(x, y):
+    return x / y if y else None
+
+
+def expected(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The indicators by their definitions, place by place over plain lists (None: no value)."""
     out = []
-    for _, g in d.groupby("ticker", sort=False):
+    for _, g in pdf.groupby("ticker", sort=False):
         g = g.sort_values("ts").copy()
-        c = g["close"]
-        delta = c.diff()
-        gain = delta.where(delta > 0, 0)
-        loss = -delta.where(delta < 0, 0)
-        ag, al = gain.rolling(14).mean(), loss.rolling(14).mean()
-        rs = ag / al
-        g["rsi"] = 100 - 100 / (1 + rs)
-        e12, e26 = c.ewm(span=12).mean(), c.ewm(span=26).mean()
-        g["macd"] = e12 - e26
-        g["macd_signal"] = g["macd"].ewm(span=9).mean()
-        g["macd_hist"] = g["macd"] - g["macd_signal"]
-        m, s = c.rolling(20).mean(), c.rolling(20).std()
-        g["bb_upper"], g["bb_lower"] = m + 2 * s, m - 2 * s
-        g["bb_position"] = (c - g["bb_lower"]) / (g["bb_upper"] - g["bb_lower"])
-        g["sma_50"], g["sma_200"] = c.rolling(50).mean(), c.rolling(200).mean()
-        g["volume_ratio"] = g["volume"] / g["volume"].rolling(20).mean()
-        g["volatility"] = c.pct_change().rolling(30).std()
-        g["daily_return"] = c.pct_change()
-        g["ema_20"] = c.ewm(span=20).mean()
-        tr = pd.concat([g["high"] - g["low"], (g["high"] - c.shift()).abs(),
-                        (g["low"] - c.shift()).abs()], axis=1).max(axis=1)
-        g["atr"] = tr.rolling(14).mean()
-        lo, hi = g["low"].rolling(14).min(), g["high"].rolling(14).max()
-        g["stoch_k"] = 100 * (c - lo) / (hi - lo)
-        g["stoch_d"] = g["stoch_k"].rolling(3).mean()
-        g["drawdown"] = (c - c.cummax()) / c.cummax() * 100
+        o = {}
+        close, high, low, vol = ([None if pd.isna(v) else float(v) for v in g[c]] for c in ("close", "high", "low", "volume"))
+        before = [None, *close[:-1]]
+        step = both(close, before, lambda x, y: x - y)
+        rise = over([max(d or 0.0, 0.0) for d in step], 14, average)
+        fall = over([max(-(d or 0.0), 0.0) for d in step], 14, average)
+        o["rsi"] = both(rise, fall, lambda u, d: ratio(100 * u, u + d))
+        o["macd"] = both(decaying(close, 12), decaying(close, 26), lambda x, y: x - y)
+        o["macd_signal"] = decaying(o["macd"], 9)
+        o["macd_hist"] = both(o["macd"], o["macd_signal"], lambda x, y: x - y)
+        middle, width = over(close, 20, average), over(close, 20, deviation)
+        o["bb_upper"] = both(middle, width, lambda m, d: m + 2 * d)
+        o["bb_lower"] = both(middle, width, lambda m, d: m - 2 * d)
+        above = both(close, o["bb_lower"], lambda x, y: x - y)
+        o["bb_position"] = both(above, width, lambda x, d: ratio(x, 4 * d))
+        o["sma_50"], o["sma_200"] = over(close, 50, average), over(close, 200, average)
+        o["volume_ratio"] = both(vol, over(vol, 20, average), ratio)
+        o["daily_return"] = both(step, before, ratio)
+        o["volatility"] = over(o["daily_return"], 30, deviation)
+        o["ema_20"] = decaying(close, 20)
+        reach = [max(abs(a - b) for a, b in ((h, lo), (h, p), (lo, p)) if None not in (a, b)) for h, lo, p in zip(high, low, before)]
+        o["atr"] = over(reach, 14, average)
+        floor, top = over(low, 14, min), over(high, 14, max)
+        span = both(top, floor, lambda x, y: x - y)
+        o["stoch_k"] = both(both(close, floor, lambda x, y: 100 * (x - y)), span, ratio)
+        o["stoch_d"] = over(o["stoch_k"], 3, average)
+        o["drawdown"] = [None if x is None else 100 * (x / max(y for y in close[:i + 1] if y is not None) - 1) for i, x in enumerate(close)]
+        for name, values in o.items():
+            g[name] = np.array([np.nan if v is None else v for v in values])
         out.append(g)
-    r = pd.concat(out)
-    return r.replace([np.inf, -np.inf], np.nan)
+    return pd.concat(out)
 
 
 COLS = ["rsi", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bb_position", "sma_50",
@@ -51,7 +95,7 @@ COLS = ["rsi", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bb_p
 
 def check(spark, pdf, cols=COLS, rtol=1e-9, atol=1e-7):
     got = I.indicators_full(to_spark(spark, pdf)).toPandas().sort_values(["ticker", "ts"])
-    exp = pandas_reference(pdf).sort_values(["ticker", "ts"])
+    exp = expected(pdf).sort_values(["ticker", "ts"])
     for c in cols:
         a = got[c].astype(float).to_numpy()
         b = exp[c].astype(float).to_numpy()
@@ -138,3 +182,25 @@ def test_ewm_any_span(spark, span):
     got = I.ewm(to_spark(spark, pdf), span, out="e").toPandas().sort_values("ts")
     exp = pdf.sort_values("ts")["close"].ewm(span=span).mean()
     np.testing.assert_allclose(got["e"].to_numpy(), exp.to_numpy(), rtol=1e-10)
+
+
+@pytest.mark.parametrize("n", [5, 20, 40, 41, 50, 200])
+def test_rolling_forgets_what_left_the_frame(spark, n):
+    """One huge value long ago leaves no trace, whatever the length of the frame."""
+    from pricelens.operators.windows import finish, prepare, rolling
+    pdf = series("S", [1e17] + [10.0] * 300)
+    d = prepare(to_spark(spark, pdf))
+    got = finish(d.withColumn("m", rolling("close", n)), False).orderBy("ts").toPandas()["m"]
+    assert got.iloc[:n - 1].isna().all() and (got.iloc[n:] == 10.0).all()
+
+
+@pytest.mark.parametrize("span", [1.5, 9, 26, 400])
+def test_ewm_holds_over_long_gaps(spark, span):
+    """Nulls from row 100 on, and an observation after 1,900 of them."""
+    pdf = walk("S", 2600, 4)
+    pdf.loc[100:1999, "close"] = None
+    pdf.loc[2300:, "close"] = None
+    got = I.ewm(to_spark(spark, pdf), span, out="e").toPandas().sort_values("ts")["e"]
+    want = decaying([None if pd.isna(c) else c for c in pdf["close"]], span)
+    np.testing.assert_allclose(got.to_numpy(), np.array(want), rtol=1e-9)
+    assert got.notna().all()
