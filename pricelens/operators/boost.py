@@ -6,14 +6,21 @@ the weighted training error is read from the leaves on the driver (a tree of dep
 3 has at most 8 leaves) instead of from another pass over the data. The stage
 weight is ``alpha = lr * ln((1 - err) / err)``; misclassified rows get their weight
 multiplied by ``exp(alpha)``, and the new total is known in closed form, so
-normalising costs no pass either. The weight update is a plain column expression
-(the tree as nested ``CASE WHEN``), the weighted frame is persisted for the next
-fit and checkpointed into the shared ``spark.checkpoint.dir`` every few rounds,
-which bounds lineage and lets a lost executor recompute from the checkpoint.
+normalising costs no pass either. A row's weight after m rounds is a closed form of the
+stages so far (the product of ``exp(alpha)`` over the stages that miss it), a plain column
+over the frame's one stored copy. So lineage never grows, nothing is rewritten, and a
+lost executor recomputes its part from that copy, which is removed after the fit.
+
+That copy is dealt out by a hash of the row's own values and sorted within each part
+(and kept in executor storage while the fit runs), into a number of parts that doesn't
+follow the cluster: rows read in any layout give the same parts, hence the same split candidates (Spark ML samples rows for them
+above max(maxBins^2, 10,000) rows) and the same model for one seed.
 
 Scoring is column arithmetic over the stage predictions, all in one projection:
 d = (sum of alpha for UP votes - sum for DOWN votes) / sum(alpha) in [-1, 1],
-class UP when d > 0, P(UP) = 1 / (1 + exp(-d)) (two-class softmax of (-d/2, d/2)).
+class UP when d > 0. P(UP) = 1 / (1 + exp(-2 d)): in the public definition of SAMME a
+stage votes +alpha for its class and -alpha / (K - 1) for the others, so for K = 2 the
+symmetric decision is 2 d, and the class probabilities are the softmax of half of it.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.session import ensure_checkpoint_dir
+from pricelens.session import ensure_checkpoint_dir, remove_folder, shared_folder
 
 C = F.col
 
@@ -102,7 +109,7 @@ class SammeModel:
         """Adds ``decision``, ``prediction`` (0/1), ``p_up``, ``confidence`` (percent),
         ``direction``. Feature columns are taken by name, in the model's order."""
         d = df.withColumn("decision", self.decision())
-        p_up = F.lit(1.0) / (F.lit(1.0) + F.exp(-C("decision")))
+        p_up = F.lit(1.0) / (F.lit(1.0) + F.exp(C("decision") * -2.0))
         return d.withColumns({
             "prediction": (C("decision") > 0).cast("int"),
             "p_up": p_up,
@@ -166,42 +173,45 @@ def _unflatten(nodes) -> tuple:
     return build(0)
 
 
+def missed(spec, features: list[str]) -> Column:
+    """Whether a stage misses the row: 1.0 or 0.0."""
+    return (tree_column(spec, features) != C("__label")).cast("double")
+
+
 def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds: int = 100,
               learning_rate: float = 0.1, max_depth: int = 3, max_bins: int = 256,
-              seed: int = 42, checkpoint_every: int = 5) -> SammeModel:
-    """Fit on ``df`` (rows with non-null features and label)."""
+              seed: int = 42, parts: int = 16) -> SammeModel:
+    """Fit on ``df`` (rows with non-null features and label). ``parts``: partitions of the stored
+    copy; set it by the data (about 128 MB each), not by the cluster, to get the same model."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     feats = list(features)
+    folder = shared_folder(spark, "boost")
+    df.select(*[C(f).cast("double").alias(f) for f in feats], C(label).cast("double").alias("__label")).write.parquet(folder)
+    try:
+        return _fit_stored(spark.read.parquet(folder), feats, rounds, learning_rate, max_depth, max_bins, seed, parts)
+    finally:
+        remove_folder(spark, folder)
+
+
+def _fit_stored(stored: DataFrame, feats: list[str], rounds: int, learning_rate: float,
+                max_depth: int, max_bins: int, seed: int, parts: int) -> SammeModel:
     # Nominal label metadata (2 classes) spares the fit a pass that finds the class count.
     meta = {"ml_attr": {"type": "nominal", "num_vals": 2, "name": "__label"}}
+    dealt = stored.repartition(parts, F.xxhash64(*feats, "__label")).sortWithinPartitions(*feats, "__label")
     base = VectorAssembler(inputCols=feats, outputCol="__features").transform(
-        df.select(*[C(f).cast("double").alias(f) for f in feats],
-                  C(label).cast("double").alias("__label", metadata=meta))
-    ).checkpoint(eager=True)
+        dealt.withColumn("__label", C("__label").alias("__label", metadata=meta))).persist(StorageLevel.MEMORY_AND_DISK)
     n = base.count()
     if n == 0:
         raise ValueError("no training rows")
-    # Every round runs several small jobs over this frame: size it to the cluster (at least
-    # one partition per core, one more per ~128 MB of rows at ~160 bytes a row).
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * 160 / (128 << 20)))
-    have = base.rdd.getNumPartitions()
-    if have > parts:
-        base = base.coalesce(parts)
-    elif have < parts:
-        base = base.repartition(parts)
-    d = base.withColumn("__w", F.lit(1.0 / n)).persist(StorageLevel.MEMORY_AND_DISK)
-    prev = None
+    d = base.withColumn("__w", F.lit(1.0 / n))
+    exponent, scale = F.lit(0.0), 1.0 / n
     trees, alphas = [], []
     for m in range(rounds):
         dt = DecisionTreeClassifier(featuresCol="__features", labelCol="__label", weightCol="__w",
                                     maxDepth=max_depth, maxBins=max_bins, seed=seed + m,
                                     predictionCol="__pred", rawPredictionCol="__raw",
                                     probabilityCol="__prob")
-        tree = dt.fit(d)  # its first job fills d's cache from the previous round's
-        if prev is not None:
-            prev.unpersist()
-            prev = None
+        tree = dt.fit(d)
         spec = tree_spec(tree)
         miss_w, tot_w = leaf_error(spec)
         err = miss_w / tot_w if tot_w > 0 else 0.0
@@ -218,21 +228,10 @@ def fit_samme(df: DataFrame, features: list[str], label: str = "target", rounds:
         alphas.append(alpha)
         if m == rounds - 1:
             break
-        total = (1.0 - err) + err * math.exp(alpha)
-        miss = (tree_column(spec, feats) != C("__label")).cast("double")
-        nxt = d.select(*feats, "__features", "__label",
-                       (C("__w") * F.exp(F.lit(alpha) * miss) / F.lit(total)).alias("__w"))
-        prev = d
-        d = nxt
-        if (m + 1) % checkpoint_every == 0:
-            d = d.checkpoint(eager=True)
-        # The next fit reads the frame several times (metadata, split search, binning):
-        # keep the new weights in executor storage; the old ones are released once the
-        # next fit has built the new cache from them.
-        d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    for x in (prev, d):
-        if x is not None:
-            x.unpersist()
+        scale /= (1.0 - err) + err * math.exp(alpha)
+        exponent = exponent + F.lit(alpha) * missed(spec, feats)
+        d = base.withColumn("__w", F.exp(exponent) * F.lit(scale))
+    base.unpersist()
     return SammeModel.from_trees(feats, trees, alphas)
 
 

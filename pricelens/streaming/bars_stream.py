@@ -49,24 +49,23 @@ def write_bars_stream(bars: DataFrame, sink_path: str, name: str = "tick_bars",
     return w.start()
 
 
-def score_new_bars(model, history: DataFrame, features, sink, lookback: int = 300):
-    """``foreachBatch`` handler: for the tickers a micro-batch of bars touched, take
-    their newest ``lookback`` bars from ``history`` plus the batch, recompute the
-    indicators, score each touched ticker's newest bar with ``model`` and hand
-    ``(ticker, ts, direction, confidence)`` to ``sink(scores, epoch_id)`` (for example
-    an idempotent write keyed by epoch). Only touched tickers are read and scored.
-    ``lookback`` = 300 bars covers the longest window (200 bars) and leaves the EWM
-    truncation below 1e-9 of the value (largest span 26: (25/27)**300 ~ 1e-10)."""
+def score_new_bars(model, history: DataFrame, features, sink):
+    """``foreachBatch`` handler: for the tickers a micro-batch of bars touched, recompute the
+    indicators over all their bars in ``history`` plus the batch, score each touched
+    ticker's newest bar with ``model`` and hand ``(ticker, ts, direction, confidence)`` to
+    ``sink(scores, epoch_id)`` (for example an idempotent write keyed by epoch). Values equal
+    the batch ones, exponential averages included, since no bar is cut off; where both hold
+    a bar, the batch's counts. Only touched tickers are read and scored: with ``history``
+    partitioned by ticker the semi-join prunes its folders."""
     from pricelens.functions.scalar import sanitize
     from pricelens.operators import indicators as I
     from pricelens.operators.summary import with_extent
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        touched = batch.select("ticker").distinct()
-        past = history.join(touched, "ticker", "left_semi")
-        allb = past.unionByName(batch, allowMissingColumns=True).dropDuplicates(["ticker", "ts"])
-        recent = with_extent(allb).where(C("rpos") < lookback).drop("pos", "blk", "n_rows", "rpos")
-        ind = with_extent(I.indicators_core(recent)).where(C("rpos") == 0)
+        past = history.join(batch.select("ticker").distinct(), "ticker", "left_semi")
+        past = past.join(batch.select("ticker", "ts"), ["ticker", "ts"], "left_anti")
+        allb = past.unionByName(batch.dropDuplicates(["ticker", "ts"]), allowMissingColumns=True)
+        ind = with_extent(I.indicators_core(allb)).where(C("rpos") == 0)
         x = ind.select("ticker", "ts", *[sanitize(c).alias(c) for c in features])
         scored = model.transform(x).select("ticker", "ts", "direction", "confidence")
         sink(scored, epoch_id)

@@ -70,11 +70,37 @@ def test_scores_and_roundtrip(spark):
     b = m2.transform(df).select("decision", "p_up", "confidence", "prediction").toPandas()
     pd.testing.assert_frame_equal(a, b)
     assert a["decision"].between(-1, 1).all()
-    np.testing.assert_allclose(a["p_up"], 1 / (1 + np.exp(-a["decision"])))
     assert ((a["decision"] > 0).astype(int) == a["prediction"]).all()
     assert (a["confidence"] >= 50).all()
 
 
+def test_p_up_by_hand(spark):
+    """Two stages of weight 3 and 1 on x <= 0: votes (DOWN, DOWN), (DOWN, UP), (UP, UP)
+    give d = -1, -0.5, 1, hence P(UP) = 1 / (1 + e^2), 1 / (1 + e), 1 / (1 + e^-2)."""
+    leaf = lambda c: ("leaf", float(c), [1.0, 1.0])
+    m = SammeModel(["x"], [3.0, 1.0], [("split", 0, 1.0, leaf(0), leaf(1)), ("split", 0, 0.0, leaf(0), leaf(1))], [[1.0], [1.0]])
+    got = m.transform(spark.createDataFrame([(-1.0,), (0.5,), (2.0,)], "x double")).toPandas()
+    assert got["decision"].tolist() == [-1.0, -0.5, 1.0]
+    np.testing.assert_allclose(got["p_up"], [0.11920292, 0.26894142, 0.88079708], rtol=1e-7)
+    assert got["direction"].tolist() == ["DOWN", "DOWN", "UP"]
+    np.testing.assert_allclose(got["confidence"], [88.079708, 73.105858, 88.079708], rtol=1e-7)
+
+
+def test_fit_ignores_the_layout_and_leaves_nothing(spark):
+    """More rows than Spark ML samples for split candidates, in two layouts: one model; no folder stays."""
+    from pricelens.session import ensure_checkpoint_dir
+    df = spark.range(90_000).select(F.rand(3).alias("x1"), F.randn(4).alias("x2"))
+    df = df.withColumn("target", (F.col("x1") + 0.3 * F.col("x2") + 0.2 * F.randn(5) > 0.5).cast("int"))
+    path = model_path(spark) + "-rows"
+    df.write.parquet(path)
+    rows = spark.read.parquet(path)
+    one = fit_samme(rows.repartition(3), ["x1", "x2"], rounds=3)
+    two = fit_samme(rows.orderBy("x2").repartition(11), ["x1", "x2"], rounds=3)
+    assert one.alphas == two.alphas and one.specs == two.specs
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    assert not [f for f in os.listdir(base) if f.startswith("boost-")]
+
+
 def test_stream_bars_equal_batch(spark):
     from pricelens.sources.derived import event_bars
     from pricelens.streaming import tick_bars_stream
@@ -167,6 +193,10 @@ def test_log_retention_and_latest(spark):
     mt = spark.createDataFrame([(dt.datetime(2024, 5, 5),)], "mtime timestamp_ntz")
     assert G.latest_info(None, mt).first()["source"] == "mtime"
     assert G.latest_info(log, mt).first()["source"] == "log"
+    empty = log.where("period = 'none'")
+    assert tuple(G.latest_info(empty, mt).first()) == (dt.datetime(2024, 5, 5), None, "mtime")
+    assert tuple(G.latest_info(empty, None).first()) == (None, None, "missing")
+    assert tuple(G.latest_info(None, None, spark).first()) == (None, None, "missing")
 
 
 def test_read_log_tolerant(spark, tmpdir_path):
@@ -200,6 +230,27 @@ def test_versioned_log(spark, tmpdir_path):
     log, v = G.read_log_version(spark, base)
     got = log.orderBy("retrained_at").toPandas()
     assert v == 3 and got["accuracy"].round(6).tolist() == [0.6, 0.7, 0.8]
+    more = spark.createDataFrame([("10y", dt.datetime(2025, 1, 9), 0.9, 0.55)],
+                                 "period string, retrained_at timestamp_ntz, accuracy double, roc_auc double")
+    G.write_log_version(spark, base, more, keep=3)
+    again = spark.createDataFrame([("10y", dt.datetime(2025, 1, 10), 0.91)], "period string, retrained_at timestamp_ntz, accuracy double")
+    G.write_log_version(spark, base, again, keep=3)
+    got = G.read_log_version(spark, base)[0].orderBy("retrained_at").toPandas()
+    assert got["roc_auc"].tolist()[1] == 0.55 and len(got) == 3  # the new column stays
+
+
+def test_two_writers_keep_both_entries(spark, tmpdir_path):
+    """Both saw version 0 and wrote a version 1: reading unites them."""
+    import datetime as dt
+    from pricelens.operators import registry as G
+    base = os.path.join(tmpdir_path, "runlog2")
+    entry = lambda day: spark.createDataFrame([("10y", dt.datetime(2025, 1, day), 0.5)], "period string, retrained_at timestamp_ntz, accuracy double")
+    G.write_log_version(spark, base, entry(1))
+    old = G.read_log_version(spark, base)[0]
+    for k, day in (("aa", 2), ("bb", 3)):
+        G.append_entry(old, entry(day)).write.parquet(f"{base}/v=1-{k}")
+    got = G.read_log_version(spark, base)[0]
+    assert sorted(r["retrained_at"].day for r in got.collect()) == [1, 2, 3]
 
 
 def test_microbatch_scoring(spark):
