@@ -2,8 +2,7 @@
 
 Spark 4 runs with ANSI mode on: ``1.0 / 0.0`` raises DIVIDE_BY_ZERO, so every
 ratio in the library goes through :func:`sdiv`. NaN never enters a frame
-(Spark orders NaN above every number and treats NaN = NaN as true), so
-:func:`nan_to_null` is applied where a computation could produce one.
+(Spark orders NaN above every number and treats NaN = NaN as true).
 """
 
 from __future__ import annotations
@@ -12,8 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "sdiv", "nan_to_null", "sanitize", "to_double", "pct_smart", "fmt_num",
-    "fmt_pct", "truncate_text", "age_text", "parse_iso", "news_date", "band",
+    "sdiv", "sanitize", "fixed", "fmt_num", "fmt_pct", "truncate_text", "age_text", "news_date",
 ]
 
 
@@ -26,16 +24,6 @@ def sdiv(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
-def nan_to_null(x) -> Column:
-    x = _c(x)
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
-
-
-def to_double(x) -> Column:
-    """Lenient numeric parse: numbers pass, numeric strings parse, anything else is null."""
-    return _c(x).try_cast("double")
-
-
 def sanitize(x) -> Column:
     """Model-input guard: NaN, +-inf, null and non-numeric values become 0.0."""
     d = _c(x).try_cast("double")
@@ -43,20 +31,38 @@ def sanitize(x) -> Column:
     return F.when(bad, F.lit(0.0)).otherwise(d)
 
 
-def pct_smart(x) -> Column:
-    """Percent with unit normalisation: 0 -> 0, |v| >= 1 already percent, else x100.
-    Null / non-numeric -> null (rendered 'N/A' by the formatters)."""
-    d = _c(x).try_cast("double")
-    return (F.when(d.isNull() | F.isnan(d), F.lit(None).cast("double"))
-            .when(d == 0, F.lit(0.0))
-            .when(F.abs(d) >= 1, d)
-            .otherwise(d * 100))
+def fixed(x, decimals: int, plus: bool = False, thousands: bool = False) -> Column:
+    """A number with ``decimals`` places, as C's ``%.nf`` gives it: the double's exact binary
+    value is rounded, an exact tie to the even digit (2.675 -> '2.67', 0.125 -> '0.12').
+
+    Java's formatter rounds the shortest decimal form half up instead. Here the product
+    p = |x| * 10^n and its rounding error e are both exact (Dekker's product, by splitting
+    |x| into two halves of 26 bits), which settles every case near one half. Numbers whose
+    product isn't below 2^53 have no such digits left to round and are formatted as they are."""
+    d = _c(x).cast("double")
+    scale = float(10**decimals)
+    a = F.abs(d)
+    big = a * F.lit(134217729.0)  # 2^27 + 1
+    hi = big - (big - a)
+    p = a * scale
+    e = (hi * scale - p) + (a - hi) * scale
+    whole = F.floor(p).cast("double")
+    part = p - whole
+    up = (part > 0.5) | ((part == 0.5) & ((e > 0) | ((e == 0) & (whole % 2 == 1))))
+    n = (whole + F.when(up, 1.0).otherwise(0.0)).cast("long")
+    unit = F.lit(10**decimals).cast("long")
+    left = (n - n % unit) / unit
+    left = F.format_number(left, 0) if thousands else left.cast("decimal(20,0)").cast("string")
+    body = F.concat(left, F.lit("."), F.lpad((n % unit).cast("string"), decimals, "0")) if decimals else left
+    sign = F.when(d < 0, "-").otherwise("+" if plus else "")
+    plain = F.format_string(f"%{'+' if plus else ''}{',' if thousands else ''}.{decimals}f", d)
+    return F.when(p < 9.0e15, F.concat(sign, body)).otherwise(plain)
 
 
 def fmt_num(x, decimals: int = 2, prefix: str = "", suffix: str = "") -> Column:
     """Null-tolerant number formatting: 'N/A' for null / NaN / non-numeric."""
     d = _c(x).try_cast("double")
-    txt = F.format_string(f"{prefix}%.{decimals}f{suffix}", d)
+    txt = F.concat(F.lit(prefix), fixed(d, decimals), F.lit(suffix))
     return F.when(d.isNull() | F.isnan(d), F.lit("N/A")).otherwise(txt)
 
 
@@ -64,7 +70,7 @@ def fmt_pct(x, decimals: int = 1) -> Column:
     """Fraction to percent text ('0.025' -> '2.5%'), 'N/A' when missing."""
     d = _c(x).try_cast("double")
     return F.when(d.isNull() | F.isnan(d), F.lit("N/A")).otherwise(
-        F.format_string(f"%.{decimals}f%%", d * 100))
+        F.concat(fixed(d * 100, decimals), F.lit("%")))
 
 
 def truncate_text(x, n: int, ellipsis: str = "") -> Column:
@@ -76,17 +82,6 @@ def truncate_text(x, n: int, ellipsis: str = "") -> Column:
     return cut
 
 
-def parse_iso(x) -> Column:
-    """ISO-8601 text (with 'Z' or an offset) to a UTC timestamp; null when unparseable."""
-    s = F.trim(_c(x))
-    return F.coalesce(
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-    )
-
-
 ISO_SHAPE = r"^(\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?)(Z|[+-]\d{2}:\d{2})?$"
 
 
@@ -131,12 +126,3 @@ def age_text(ts, now) -> Column:
             .when(months < 12, _plural(months, "month"))
             .otherwise(_plural(years, "year")))
 
-
-def band(x, rules, default: str) -> Column:
-    """Threshold bands: ``rules`` is an ordered list of (predicate(Column) -> Column, label)."""
-    x = _c(x)
-    out = None
-    for pred, label in rules:
-        out = (F.when(pred(x), F.lit(label)) if out is None
-               else out.when(pred(x), F.lit(label)))
-    return out.otherwise(F.lit(default)) if out is not None else F.lit(default)

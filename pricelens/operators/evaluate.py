@@ -75,21 +75,20 @@ def class_report(df: DataFrame) -> DataFrame:
     return rows.unionByName(macro).unionByName(weighted)
 
 
-def roc_auc(df: DataFrame, buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC (ties count one half) = P(score_up > score_down) + P(tie) / 2.
 
     Rows are first grouped by distinct score (map-side combined), so a hot score is a
-    single row. Distinct scores are cut into ``buckets`` ranges by approximate
-    quantiles; negatives below each bucket come from a running sum over the bucket
+    single row. Distinct scores are cut into ``buckets`` ranges (as many as
+    shuffle partitions) by approximate quantiles; negatives below each bucket come from a running sum over the bucket
     totals (``buckets`` rows), negatives below each score inside its bucket from a
     window per bucket. Null when only one class is present.
     """
-    from pricelens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    # One row per distinct score, materialised once (shared checkpoint folder): the
-    # quantile cut, the bucket totals and the in-bucket sums all read it.
+    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # One row per distinct score; the planner reuses this exchange for the quantile cut,
+    # the bucket totals and the in-bucket sums.
     g = df.groupBy("score").agg(F.count_if(C("target") == 1).alias("pos"),
-                                F.count_if(C("target") == 0).alias("neg")).checkpoint(eager=True)
+                                F.count_if(C("target") == 0).alias("neg"))
     # Bucket boundaries: a bounded array of approximate quantiles, attached as a scalar
     # subquery.
     probs = [i / buckets for i in range(1, buckets)]

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.scalar import fmt_num, fmt_pct, truncate_text
+from pricelens.functions.scalar import fixed, fmt_num, fmt_pct, truncate_text
 
 C = F.col
 
@@ -48,7 +48,7 @@ def news_digest(flat: DataFrame, k: int = 6, width: int = 160) -> DataFrame:
 
 def returns_text(returns_long: DataFrame) -> DataFrame:
     """'1D: +0.4% | 1W: -1.2% | ...' in horizon order."""
-    part = F.format_string("%s: %+.1f%%", C("horizon"), C("ret_pct"))
+    part = F.concat(C("horizon"), F.lit(": "), fixed("ret_pct", 1, plus=True), F.lit("%"))
     g = returns_long.groupBy("ticker").agg(
         F.sort_array(F.collect_list(F.struct("horizon_order", part.alias("p")))).alias("xs"))
     return g.select("ticker", F.array_join(F.transform("xs", lambda x: x["p"]), " | ").alias("returns_text"))
@@ -59,18 +59,16 @@ def fmt_pct_smart(x) -> F.Column:
     d = x.try_cast("double")
     return (F.when(d.isNull() | F.isnan(d), F.lit("N/A"))
             .when(d == 0, F.lit("0.0%"))
-            .when(F.abs(d) >= 1, F.format_string("%.2f%%", d))
-            .otherwise(F.format_string("%.2f%%", d * 100)))
+            .otherwise(F.concat(fixed(F.when(F.abs(d) >= 1, d).otherwise(d * 100), 2), F.lit("%"))))
 
 
 def profile_format(profile: DataFrame) -> DataFrame:
     """Display strings of the profile numbers; 'N/A' where missing."""
     return profile.select(
         "ticker",
-        F.when(C("market_cap").isNull(), "N/A")
-        .otherwise(F.format_string("$%.2fB", C("market_cap") / 1e9)).alias("market_cap_text"),
+        F.concat(F.lit("$"), fixed(F.coalesce(C("market_cap"), F.lit(0.0)) / 1e9, 1), F.lit("B")).alias("market_cap_text"),
         fmt_num(C("trailing_pe")).alias("pe_text"),
-        fmt_pct_smart(C("revenue_growth")).alias("growth_text"),
+        fmt_pct(C("revenue_growth")).alias("growth_text"),
         fmt_pct(C("profit_margin")).alias("margin_text"))
 
 
@@ -95,9 +93,9 @@ def importance_lines(latest: DataFrame, imps: DataFrame) -> DataFrame:
     d = latest.withColumn("__imps", arr)
     vals = F.map_from_arrays(F.array(*[F.lit(c) for c in latest.columns if c != "ticker"]),
                              F.array(*[C(c).cast("double") for c in latest.columns if c != "ticker"]))
-    line = lambda x: F.format_string("  %d. %s: %.1f%% importance — current value: %.4f",
-                                     x["rank"], x["feature"], x["importance"] * 100,
-                                     F.element_at(C("__vals"), x["feature"]))
+    line = lambda x: F.concat(F.lit("  "), x["rank"].cast("string"), F.lit(". "), x["feature"], F.lit(": "),
+                              fixed(x["importance"] * 100, 1), F.lit("% importance — current value: "),
+                              fixed(F.element_at(C("__vals"), x["feature"]), 4))
     d = d.withColumn("__vals", vals)
     return d.select("ticker", F.array_join(F.transform("__imps", line), "\n").alias("importance_text"))
 

@@ -15,7 +15,7 @@ lacks to complete the shortest such key, and hits rank by (score, symbol). Rathe
 comparing every query with every quote, each quote emits its name and symbol prefixes
 (only up to the longest query's length; a prefix shared by name and symbol is emitted
 once, with the better score), prefixes no query equals are dropped by a semi-join
-(broadcast only under a measured size bound), the 3 best quotes are kept per prefix by
+(broadcast or shuffled, as the planner sees fit), the 3 best quotes are kept per prefix by
 a window whose row limit the planner also applies before the shuffle (so a prefix
 shared by a third of all quotes ships at most 3 rows per map task), and queries
 equi-join that table.
@@ -47,21 +47,12 @@ def looks_like_ticker(query) -> F.Column:
     return letters.rlike(r"^\p{L}+$") & (F.length(u) >= 1) & (F.length(u) <= 6)
 
 
-# Largest set of distinct query strings the search stage broadcasts (checked per call).
-SEARCH_BROADCAST_MAX_BYTES = 64 << 20
-
-
 def search_hits(quotes: DataFrame, qstrings: DataFrame, k: int = 3) -> DataFrame:
     """``quotes(symbol, name, kind)`` -> ``(p, rk, symbol, kind)``: the k best hits of every
     prefix p that equals some normalised query string ``qstrings.q``."""
     from pyspark.sql import Window
     qd = qstrings.select(C("q").alias("p")).where(F.length("p") >= 1).distinct()
-    st = qd.agg(F.count("*").alias("n"), F.sum(F.length("p")).alias("chars"),
-                F.max(F.length("p")).alias("maxq")).first()
-    if not st["n"]:
-        return quotes.sparkSession.createDataFrame(
-            [], "p string, symbol string, kind string, score int, rk int")
-    maxq = F.lit(int(st["maxq"]))
+    maxq = F.coalesce(qd.select(F.max(F.length("p"))).scalar(), F.lit(0))
     qt = quotes.select("symbol", "kind", F.lower(F.trim("name")).alias("nm"),
                        F.lower("symbol").alias("sy"))
     ln, ls = F.length("nm"), F.length("sy")
@@ -76,13 +67,8 @@ def search_hits(quotes: DataFrame, qstrings: DataFrame, k: int = 3) -> DataFrame
                    .where(~C("nm").startswith(C("p")))
                    .select("p", "symbol", "kind", (ls - C("i")).alias("score")))
     pre = on_name.unionByName(on_symbol)
-    # Keep only prefixes some query equals. The query strings are broadcast when their
-    # measured size is under the bound (a map-side filter, no shuffle of the prefixes);
-    # otherwise a shuffle semi-join, whose hot prefixes AQE splits.
-    if int(st["chars"]) + 48 * int(st["n"]) <= SEARCH_BROADCAST_MAX_BYTES:
-        pre = pre.join(F.broadcast(qd), "p", "left_semi")
-    else:
-        pre = pre.join(qd, "p", "left_semi")
+    # Keep only prefixes some query equals; the planner picks the join by the sides' sizes.
+    pre = pre.join(qd, "p", "left_semi")
     w = Window.partitionBy("p").orderBy("score", "symbol")
     return pre.withColumn("rk", F.row_number().over(w)).where(C("rk") <= k)
 
@@ -98,18 +84,18 @@ def resolve(queries: DataFrame, aliases: DataFrame, bars: DataFrame,
     """``queries(query_id, query)`` -> ``(query_id, query, ticker, stage)``."""
     q = queries.withColumn("q", normalize(C("query")))
     al = aliases.select(C("alias"), C("ticker").alias("t"))
-    direct = q.join(al, q["q"] == al["alias"], "left").select("query_id", C("t").alias("t1"))
+    # Every stage joins the distinct strings, so a repeated query id or string multiplies nothing.
+    qs = q.select("q", F.upper(F.trim("query")).alias("u")).where(C("q").isNotNull()).groupBy("q").agg(F.min("u").alias("u"))
     sfx = F.posexplode(F.array(*[F.lit(s) for s in SUFFIXES])).alias("sp", "suffix")
-    cand = (q.select("query_id", "q", sfx).where(C("q").endswith(C("suffix")))
-             .withColumn("stripped", F.trim(F.expr("left(q, length(q) - length(suffix))"))))
-    hit = cand.join(al, cand["stripped"] == al["alias"]).groupBy("query_id").agg(
-        F.min_by("t", "sp").alias("t2"))
+    cand = (qs.select("q", sfx).where(C("q").endswith(C("suffix")))
+              .withColumn("stripped", F.trim(F.expr("left(q, length(q) - length(suffix))"))))
+    hit = cand.join(al, cand["stripped"] == al["alias"]).groupBy("q").agg(F.min_by("t", "sp").alias("t2"))
     last = bars.select(F.max("ts")).scalar()
     recent = (bars.where(C("ts") >= last - F.expr(f"INTERVAL {int(probe_days)} DAYS"))
                   .select(C("ticker").alias("t3")).distinct())
-    lit = q.where(looks_like_ticker(C("query"))).withColumn("t3", F.upper(F.trim("query")))
-    lit = lit.join(recent, "t3", "left_semi").select("query_id", "t3")
-    out = q.join(direct, "query_id", "left").join(hit, "query_id", "left").join(lit, "query_id", "left")
+    lit = qs.where(looks_like_ticker(C("u"))).join(recent, C("u") == C("t3")).select("q", "t3")
+    out = (q.join(al.select(C("alias").alias("q"), C("t").alias("t1")), "q", "left")
+            .join(hit, "q", "left").join(lit, "q", "left"))
     if quotes is None:
         out = out.withColumn("t4", F.lit(None).cast("string"))
     else:

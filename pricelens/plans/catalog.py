@@ -583,12 +583,9 @@ def q_bars_with_profile(spark, sf):
 
 
 @register("profile_format", S.with_(S.PROFILE) + """
-SELECT ticker,
-  CASE WHEN market_cap IS NULL THEN 'N/A' ELSE printf('$%.2fB', market_cap / 1e9) END AS market_cap_text,
+SELECT ticker, printf('$%.1fB', coalesce(market_cap, 0) / 1e9) AS market_cap_text,
   CASE WHEN trailing_pe IS NULL THEN 'N/A' ELSE printf('%.2f', trailing_pe) END AS pe_text,
-  CASE WHEN revenue_growth IS NULL THEN 'N/A' WHEN revenue_growth = 0 THEN '0.0%'
-       WHEN abs(revenue_growth) >= 1 THEN printf('%.2f%%', revenue_growth)
-       ELSE printf('%.2f%%', revenue_growth * 100) END AS growth_text,
+  CASE WHEN revenue_growth IS NULL THEN 'N/A' ELSE printf('%.1f%%', revenue_growth * 100) END AS growth_text,
   CASE WHEN profit_margin IS NULL THEN 'N/A' ELSE printf('%.1f%%', profit_margin * 100) END AS margin_text
 FROM profile""")
 def q_profile_format(spark, sf):
@@ -628,6 +625,26 @@ def q_log_latest(spark, sf):
     return rnd(G.latest_entry(D.run_log(spark, sf)), {"accuracy": 8})
 
 
+@register("log_fallback", S.with_(S.RUN_LOG) + """,
+m AS (SELECT max(ts) AS t FROM events),
+l AS (SELECT retrained_at, accuracy FROM run_log ORDER BY retrained_at DESC, period DESC LIMIT 1)
+SELECT 'log' AS given, retrained_at, round(accuracy, 8) AS accuracy, 'log' AS source FROM l
+UNION ALL SELECT 'empty log', t, NULL, 'mtime' FROM m
+UNION ALL SELECT 'no log', t, NULL, 'mtime' FROM m
+UNION ALL SELECT 'nothing', NULL, NULL, 'missing'""")
+def q_log_fallback(spark, sf):
+    """Each link of the chain: a log, an empty one beside a model file, a model file, neither."""
+    log = D.run_log(spark, sf)
+    mtime = D.event_ticks(spark, sf).agg(F.max("ts").cast("timestamp_ntz").alias("mtime"))
+    cases = [("log", log, mtime), ("empty log", log.where("period is null"), mtime), ("no log", None, mtime),
+             ("nothing", log.where("period is null"), None)]
+    out = None
+    for given, lg, mt in cases:
+        one = G.latest_info(lg, mt).select(F.lit(given).alias("given"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rnd(out, {"accuracy": 8})
+
+
 @register("log_staleness", S.with_(S.RUN_LOG) + """
 SELECT period, retrained_at,
        floor((epoch((SELECT max(retrained_at) FROM run_log)) - epoch(retrained_at)) / 86400)::BIGINT AS age_days,
@@ -713,15 +730,20 @@ def q_skipped_tickers(spark, sf):
     return D.universe(spark, sf).join(loaded, "ticker", "left_anti").select("sector", "ticker")
 
 
-@register("rows_map")
+@register("rows_map", S.with_(S.BARS) + """
+SELECT sector, map_from_entries(list((ticker, n) ORDER BY ticker)) AS rows_per_ticker
+FROM (SELECT sector, ticker, count(*) AS n FROM bars GROUP BY ALL) GROUP BY sector""")
 def q_rows_map(spark, sf):
     """Per sector map ticker -> rows (at most the sector's tickers per map)."""
     g = D.bars(spark, sf).groupBy("sector", "ticker").agg(F.count("*").alias("n"))
-    return g.groupBy("sector").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "n")))
+    return g.groupBy("sector").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ticker", "n"))))
                                    .alias("rows_per_ticker"))
 
 
-@register("ticker_lists")
+@register("ticker_lists", S.with_(S.BARS) + """,
+loaded AS (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 1000)
+SELECT CASE WHEN l.ticker IS NULL THEN 'skipped' ELSE 'used' END AS status, list(n_name ORDER BY n_name) AS tickers
+FROM nation LEFT JOIN loaded l ON l.ticker = n_name GROUP BY status""")
 def q_ticker_lists(spark, sf):
     """Used / skipped ticker lists of the universe (one list per status)."""
     loaded = D.bars(spark, sf).groupBy("ticker").count().where(C("count") >= 1000)
@@ -737,16 +759,11 @@ from pricelens.functions.scalar import sanitize  # noqa: E402
 from pricelens.schema import FEATURES_7, FEATURES_10  # noqa: E402
 
 MODEL_ROUNDS = 100  # the reference: 100 stages, depth 3, learning rate 0.1
-_MODELS: dict = {}
 
 
 def fitted_model(spark, sf, rounds: int = MODEL_ROUNDS) -> B.SammeModel:
-    """Model trained on the embargo split's train part (memoised per input)."""
-    key = (sf, rounds)
-    if key not in _MODELS:
-        tr = split_frame(spark, sf).where(C("part") == "train")
-        _MODELS[key] = B.fit_samme(tr, FEATURES_7, rounds=rounds)
-    return _MODELS[key]
+    """Model trained on the embargo split's train part."""
+    return B.fit_samme(split_frame(spark, sf).where(C("part") == "train"), FEATURES_7, rounds=rounds)
 
 
 @register("boost_fit")
@@ -858,14 +875,14 @@ def q_train_run(spark, sf):
 def q_briefing_text(spark, sf):
     # One bar frame and one latest-feature frame feed every part, so the parts share
     # their scans and exchanges.
-    bars = D.bars(spark, sf)
+    bars, model = D.bars(spark, sf), fitted_model(spark, sf)
     latest = latest_features(spark, sf, bars)
     board = signal_board(bars)
-    scored = fitted_model(spark, sf).transform(latest).select("ticker", "direction", "confidence")
+    scored = model.transform(latest).select("ticker", "direction", "confidence")
     risk = M.risk_metrics(bars)
     rt = P.returns_text(M.period_returns(bars))
     lf = latest.select("ticker", *FEATURES_7)
-    it = P.importance_lines(lf, T.importance_table(spark, fitted_model(spark, sf)))
+    it = P.importance_lines(lf, T.importance_table(spark, model))
     fund = P.profile_format(D.profile(spark, sf))
     # news items are keyed by conversation id; the instrument with that nation key owns them
     nk = D.read_table(spark, sf, "nation", "n_nationkey", "n_name")
@@ -879,7 +896,7 @@ def q_analyse_queries(spark, sf):
     """The interactive flow for a whole table of user search strings: resolve each to an
     instrument, then attach that instrument's briefing (signals, model call, returns,
     risk, importances, fundamentals, news). Unresolved queries keep a null briefing."""
-    r = resolve(D.alias_queries(spark, sf), D.aliases(spark, sf), D.bars(spark, sf))
+    r = resolve(D.alias_queries(spark, sf), D.aliases(spark, sf), D.bars(spark, sf), quotes=D.quotes(spark, sf))
     b = q_briefing_text(spark, sf)
     return r.join(b, "ticker", "left").select("query_id", "query", "ticker", "stage",
                                               *[c for c in b.columns if c != "ticker"])

@@ -209,7 +209,7 @@ SEARCH_QUERIES = """aq AS (
   FROM part)"""
 
 NEWS = """news AS (
-  SELECT conv_id AS ticker, turn AS position, left(text, 40) AS title, role AS publisher,
+  SELECT conv_id AS ticker, turn AS position, split_part(text, chr(10), 1) AS title, role AS publisher,
          text AS summary FROM conversations)"""
 
 RUN_LOG = """run_log AS (

@@ -144,10 +144,10 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News items: ticker = conv_id, position = turn, publisher = role,
-    summary = text, title = first 40 characters of text."""
+    summary = text, title = the text's first line."""
     cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return cv.select(C("conv_id").alias("ticker"), C("turn").alias("position"),
-                     F.left(C("text"), F.lit(40)).alias("title"),
+                     F.split_part(C("text"), F.lit("\n"), F.lit(1)).alias("title"),
                      C("role").alias("publisher"), C("text").alias("summary"))
 
 
@@ -163,7 +163,7 @@ def news_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", "doc_id", "text", spread=True)
+    return read_table(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,21 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str,
-               spread: bool = False) -> DataFrame:
-    """Read ``name`` with only ``cols``.
-
-    ``spread``: for fact tables whose files come as one large row group, the scan
-    yields fewer input partitions than the cluster has cores and all rows land in one
-    task. Only in that case a round-robin repartition to the default parallelism is
-    added. A large input already has more partitions than cores and is left as is.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    if cols:
-        df = df.select(*cols)
-    if spread:
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            df = df.repartition(par)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Read ``name`` with only ``cols``; the scan's own splits are the input partitions."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return df.select(*cols) if cols else df
