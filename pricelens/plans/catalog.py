@@ -144,8 +144,9 @@ def _latest(d: DataFrame) -> DataFrame:
 
 
 def signal_board(bars: DataFrame) -> DataFrame:
-    """Technical state of every ticker at its newest bar, with the display bands."""
-    d = _latest(I.indicators_full(prepare(bars)))
+    """Technical state, at its newest bar, of every ticker with enough history (200 bars), with the display bands."""
+    from pricelens.operators.labels import min_history
+    d = _latest(I.indicators_full(min_history(prepare(bars))))
     band3 = lambda x, hi, lo, a, b, c: (F.when(C(x) > hi, a).when(C(x) < lo, b).otherwise(c))
     return d.select(
         "ticker", "sector", "ts", "close",
@@ -169,7 +170,7 @@ SELECT ticker, sector, ts, close, round(rsi, 4) AS rsi,
             ELSE 'NORMAL' END AS volume_band,
        CASE WHEN sma_50 > sma_200 THEN 'GOLDEN CROSS' ELSE 'DEATH CROSS' END AS trend,
        CASE WHEN stoch_k > 80 THEN 'OVERBOUGHT' WHEN stoch_k < 20 THEN 'OVERSOLD' ELSE 'NEUTRAL' END AS stoch_band
-FROM ind WHERE pos = n_rows - 1""")
+FROM ind WHERE pos = n_rows - 1 AND n_rows >= 200""")
 def q_signal_board(spark, sf):
     return signal_board(D.bars(spark, sf))
 
@@ -795,7 +796,7 @@ def q_model_roundtrip(spark, sf):
 
 def latest_features(spark, sf, bars: DataFrame | None = None) -> DataFrame:
     """Newest bar of each ticker with the 10 feature values, sanitised for scoring."""
-    d = _latest(I.indicators_core(prepare(D.bars(spark, sf) if bars is None else bars)))
+    d = _latest(I.indicators_core(L.min_history(prepare(D.bars(spark, sf) if bars is None else bars))))
     p = D.profile(spark, sf).select("ticker", C("trailing_pe").alias("pe_ratio"),
                                     "revenue_growth", "profit_margin")
     d = d.join(p, "ticker", "left")
@@ -865,8 +866,9 @@ def q_importance_text(spark, sf):
 
 @register("train_run")
 def q_train_run(spark, sf):
-    split = split_frame(spark, sf)
-    rpt = D.bars(spark, sf).groupBy("ticker").agg(F.count("*").alias("n_rows"))
+    bars = restrict_period(L.min_history(D.bars(spark, sf)), 10)
+    split = L.embargo_split(L.usable_rows(I.add_label(I.indicators_core(prepare(bars)), 30)))
+    rpt = bars.groupBy("ticker").agg(F.count("*").alias("n_rows"))
     model, rec = T.train_run(split, D.universe(spark, sf), rpt, rounds=MODEL_ROUNDS)
     return rec
 

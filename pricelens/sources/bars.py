@@ -75,17 +75,19 @@ def lineitem_bars(spark: SparkSession, sf_dir: str, level: str = "nation") -> Da
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Landed bars of all tickers, explicit schema (no inference), NaN mapped to null."""
-    r = spark.read.schema(BARS)
+    """Landed bars of all tickers, NaN mapped to null. Text formats are read with the schema; Parquet
+    carries its own types, and each column is cast (integer volumes, either timestamp kind)."""
+    r = spark.read
     if fmt == "csv":
-        df = r.option("header", "true").csv(path)
+        df = r.schema(BARS).option("header", "true").csv(path)
     elif fmt == "json":
-        df = r.json(path)
+        df = r.schema(BARS).json(path)
     else:
         df = r.parquet(path)
     num = ["open", "high", "low", "close", "volume"]
-    return df.select("ticker", "sector", "ts",
-                     *[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in num])
+    d = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in BARS.fields])
+    return d.select("ticker", "sector", "ts",
+                    *[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in num])
 
 
 def restrict_period(bars: DataFrame, years: int) -> DataFrame:

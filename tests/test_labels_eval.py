@@ -99,3 +99,21 @@ def test_confusion_and_report(spark):
     assert rep["macro avg"]["support"] == 300
     base = E.eval_metrics(E.always_up(d)).first()
     assert base["accuracy"] == pytest.approx(np.mean([r[2] for r in rows]))
+
+
+def test_short_histories_are_left_out(spark):
+    """The board shows no ticker of fewer than 200 bars."""
+    from frames import to_spark, walk
+    from pricelens.plans.catalog import signal_board
+    pdf = pd.concat([walk("LONG", 200, 1), walk("SHORT", 199, 2)])
+    assert [r["ticker"] for r in signal_board(to_spark(spark, pdf)).collect()] == ["LONG"]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_landed_bars_with_integer_volume(spark, tmpdir_path, kind):
+    from pricelens.sources.bars import read_bars
+    df = spark.sql(f"SELECT 'A' AS ticker, 'S' AS sector, CAST('2024-01-02 00:00:00' AS {kind}) AS ts, 1.0D AS open, 3.0D AS high, "
+                   "0.5D AS low, double('NaN') AS close, 12345678901L AS volume")
+    df.write.parquet(tmpdir_path + "/bars")
+    got = read_bars(spark, tmpdir_path + "/bars").first()
+    assert got["volume"] == 12345678901.0 and got["close"] is None and got["ts"].isoformat() == "2024-01-02T00:00:00"
