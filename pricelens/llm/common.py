@@ -6,7 +6,9 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,12 @@ from pyspark.sql import types as T
 from pricelens.session import ensure_checkpoint_dir
 
 
+#: Bytes of one Arrow batch between Spark and a worker, and of the texts that are worked on at a time.
+BATCH_BYTES, PART_BYTES = 8 << 20, 1 << 20
+#: Rows of one file of a small table.
+PART_ROWS = 20_000
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names, shared by driver and executors.
 
@@ -23,23 +31,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver did (a cluster gets it by --py-files)."""
+def prepare(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did (a cluster gets it by --py-files), and
+    batches of whole texts are kept small: Spark's default of 64 MB is held several times on both sides."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = ":".join(filter(None, [root, known.get("PYTHONPATH", "")]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors.
+
+    With an upper bound of its rows, it's written by one task for each ``PART_ROWS`` of them, so that small
+    tables don't become hundreds of files; more rows get more tasks.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // PART_ROWS)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    workers_find_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,9 +71,14 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
             "boolean": pa.bool_(), "binary": pa.binary()}[kind.simpleString()]
 
 
-def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows and about ``PART_BYTES`` of text (a longer text is a part of its own)."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(np.cumsum(size[at:at + rows]), PART_BYTES, side="right"))
+        yield batch.slice(at, max(1, fits))
+        at += max(1, fits)
 
 
 def annotate(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable], added: str,
@@ -72,6 +91,7 @@ def annotate(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
     Rows are independent, so a lost task is simply run again.
     """
     fields = T.StructType.fromDDL(added)
+    prepare(df.sparkSession)
     kept = list(dict.fromkeys(keep))
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])]).alias("row"))
     schema = T.StructType([T.StructField("row", T.StructType([packed.schema["row"].dataType[c] for c in kept])), *fields])
@@ -80,7 +100,7 @@ def annotate(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in slices(batch, rows):
+            for part in slices(batch, rows, batch.column(0).field(text)):
                 row = part.column(0)
                 made = fn(utf8(row.field(text)))
                 out = pa.StructArray.from_arrays([row.field(c) for c in kept], kept)

@@ -27,8 +27,9 @@ def grams(t: Texts, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     """Blocks of features: buckets (offset by block), and the range of each text in them."""
     one, two = word_grams(h, BITS)
     chars = char_grams(t, GRAM, BITS)
-    return [(one, t.first_word, t.last_word), (two + (1 << BITS), t.first_word, np.minimum(t.last_word - 1, len(two))),
-            (chars + (2 << BITS), t.starts, np.minimum(t.ends - GRAM + 1, len(chars)))]
+    found = [(one, t.first_word, t.last_word), (two + (1 << BITS), t.first_word, t.last_word - 1),
+             (chars + (2 << BITS), t.starts, t.ends - GRAM + 1)]
+    return [(idx, np.minimum(a, len(idx)), np.minimum(b, len(idx))) for idx, a, b in found]
 
 
 WIDTH = 3 << BITS
@@ -80,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 64):
+            for part in slices(batch, 64, batch.column(2)):
                 made = rows_of([b or b"" for b in utf8(part.column(2))])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1).cast(pa.int32()), pa.array([c.astype("<i4").tobytes() for c, _ in made], pa.binary()),

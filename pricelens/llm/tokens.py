@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, one_thread, scratch, slices, stored, table, utf8
+from .common import one_thread, prepare, scratch, slices, stored, table, utf8
 
 LIMIT = 1024
 #: Entries of one worker's table of pieces; it starts anew when it is full, which costs time and changes no result.
@@ -115,7 +115,7 @@ def counts(misses: DataFrame, path: str) -> DataFrame:
     def run(batches):
         ids_of = encode(path)
         for batch in batches:
-            for part in slices(batch, 256):
+            for part in slices(batch, 256, batch.column(1)):
                 texts = utf8(part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(ids_of((b or b"").decode())) // 4 for b in texts], pa.int64())], ["digest", "n_tokens"])
@@ -136,6 +136,7 @@ def cached(docs: DataFrame, path: str, cache: str, keep: list[str], text: str =
     a digest twice with the same count; reading takes one. The cache folder may be missing at first.
     """
     spark, version = docs.sparkSession, digest_of(path)
+    prepare(spark)
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.octet_length(content).cast("long").alias("n_bytes"),
                         F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("text"))

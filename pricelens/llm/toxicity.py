@@ -80,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 64):
+            for part in slices(batch, 64, batch.column(2)):
                 t, idx = buckets([b or b"" for b in utf8(part.column(2))])
                 made = [np.unique(idx[a:b], return_counts=True) for a, b in zip(t.first_word, t.last_word, strict=True)]
                 yield pa.RecordBatch.from_arrays(
