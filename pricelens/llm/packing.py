@@ -7,8 +7,10 @@ sequence, offset). Ranks within a length come from a salted, deterministic two-l
 length shared by a third of all pieces isn't one group, and a re-run task finds the same ranks.
 
 Scheme: large lengths are dealt into groups of equal cardinality and rounded up to their group's
-largest; configurations of these few sizes are optimised by column generation over a knapsack;
-actual pieces then take the configurations' places, and small pieces go best-fit into the room left.
+largest (no more distinct lengths than groups: each is its own); configurations of these few sizes are
+optimised by column generation over a knapsack; actual pieces then take the configurations' places, the
+last one of each the longest that the actual ones before it leave room for. What
+rounding the counts down leaves over, and the small pieces, go best-fit into the room left.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, utf8
+from .common import prepare, slices, stored, utf8
 from .tokens import encode
 
 CAPACITY = 2048
-#: Lengths above this are large; groups of large lengths; pieces in one salt group of a length.
-LARGE, GROUPS, SALTED = 256, 24, 2_000
+#: Lengths above this are large; groups of large lengths; rounds of column generation; pieces in one salt group of a length.
+LARGE, GROUPS, ROUNDS, SALTED = 256, 64, 256, 2_000
 
 
 def pieces(docs: DataFrame, path: str, keep: list[str], text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -37,13 +39,14 @@ def pieces(docs: DataFrame, path: str, keep: list[str], text: str = "text", capa
 
     Null texts are empty; an empty text has the final 0 alone.
     """
+    prepare(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([packed.schema["row"], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long")])
 
     def run(batches):
         ids_of = encode(path)
         for batch in batches:
-            for part in slices(batch, 256):
+            for part in slices(batch, 256, batch.column(1)):
                 take, made = [], []
                 for k, b in enumerate(utf8(part.column(1))):
                     ids = ids_of((b or b"").decode()) + b"\0\0\0\0"
@@ -61,27 +64,29 @@ def pieces(docs: DataFrame, path: str, keep: list[str], text: str = "text", capa
 
 def knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Most valuable multiset of sizes within the capacity."""
+    order = np.argsort(sizes)
+    size, worth = sizes[order], value[order]
+    upto = np.searchsorted(size, np.arange(capacity + 1), side="right")  # sizes that fit
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
-        fits = np.flatnonzero(sizes <= c)
-        if len(fits):
-            v = best[c - sizes[fits]] + value[fits]
-            k = int(v.argmax())
-            if v[k] > best[c] + 1e-12:
-                best[c], pick[c] = v[k], fits[k]
+    for c in range(int(size[0]), capacity + 1):
+        v = best[c - size[:upto[c]]] + worth[:upto[c]]
+        k = v.argmax()
+        if v[k] > best[c - 1] + 1e-12:
+            best[c], pick[c] = v[k], k
+        else:
+            best[c] = best[c - 1]
     out, c = np.zeros(len(sizes), int), capacity
     while c > 0:
         if pick[c] < 0:
             c -= 1
         else:
-            out[pick[c]] += 1
-            c -= sizes[pick[c]]
+            out[order[pick[c]]] += 1
+            c -= size[pick[c]]
     return float(best[capacity]), out
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 60) -> list[tuple[np.ndarray, int]]:
-    """Configurations of a few sizes and how often each is used, so that together they hold the demand or more.
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    """Configurations of a few sizes and how often each is used, in whole numbers, within the demand.
 
     Column generation: the dual prices of a basis ask the knapsack for a better configuration until there is none.
     """
@@ -105,27 +110,30 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     left, found = demand.copy(), []
     for k in np.argsort(-x):
         column = basis[:, k].astype(int)
-        n = int(x[k])
-        if n:
+        n = min([int(x[k] + 1e-6), *(left[column > 0] // column[column > 0])])
+        if n > 0:
             found.append((column, n))
             left = left - column * n
-    return found + [(c, n) for c, n in fill(sizes, np.maximum(left, 0), capacity)]
-
-
-def fill(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """What rounding down left over: the largest first, each configuration as often as its pieces last."""
-    found, left = [], left.copy()
-    while left.sum():
-        room, column = capacity, np.zeros(len(sizes), int)
-        for k in np.argsort(-sizes):
-            column[k] = min(left[k], room // sizes[k])
-            room -= column[k] * sizes[k]
-        n = int(min(left[k] // column[k] for k in range(len(sizes)) if column[k]))
-        found.append((column, n))
-        left = left - column * n
     return found
 
 
+def grouped(big: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
+    """(length, pieces), the largest first, dealt into groups of equal cardinality; in a group, the largest comes last."""
+    share = -(-sum(n for _, n in big) // groups)
+    if len(big) <= groups:
+        return [[b] for b in big]
+    by_top: dict[int, list[tuple[int, int]]] = {}
+    got, top = 0, None
+    for x, n in big:
+        while n:
+            if got % share == 0:
+                top = x
+            now = min(n, share - got % share)
+            by_top.setdefault(top, []).append((x, now))
+            n, got = n - now, got + now
+    return [g[::-1] for g in by_top.values()]
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: int = LARGE, groups: int = GROUPS) -> np.ndarray:
     """Rows (length, first rank, ranks, first sequence, offset): rank first + k of that length goes to sequence first + k.
 
@@ -148,58 +156,57 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: int = LARGE
                 room[left] = []
             room[left].append((first, n))
 
-    big = sorted((x for x in histogram if large < x <= capacity and histogram[x]), reverse=True)
-    total = sum(histogram[x] for x in big)
-    if total:
-        members: list[list[tuple[int, int]]] = []  # of each group: (length, pieces), the largest first
-        share, got = -(-total // groups), 0
-        for x in big:
-            n = histogram[x]
-            while n:
-                k = got // share
-                while len(members) <= k:
-                    members.append([])
-                now = min(n, (k + 1) * share - got)
-                members[k].append((x, now))
-                n, got = n - now, got + now
-        members = [g for g in members if g]
-        merged: dict[int, list[tuple[int, int]]] = {}
-        for g in members:  # groups that round up to the same size are one
-            merged.setdefault(g[0][0], []).extend(g)
-        sizes = np.array(sorted(merged, reverse=True))
-        pool = [merged[s][::-1] for s in sizes]  # taken from the end: the largest first
-        demand = np.array([sum(n for _, n in g) for g in pool])
-        for column, times in configurations(sizes, demand, capacity):
+    rest = {x: n for x, n in histogram.items() if n}
+    if rest.get(capacity):
+        put(capacity, rest[capacity], sequences, 0)
+        sequences += rest.pop(capacity)
+    big = sorted((x for x in rest if x > large), reverse=True)
+    if big:
+        pools = grouped([(x, rest.pop(x)) for x in big], groups)
+        sizes = np.array([p[-1][0] for p in pools])  # the largest is at the end, and taken first
+        there: dict[int, int] = {}
+        for x, n in (y for p in pools for y in p):
+            there[x] = there.get(x, 0) + n
+        lengths = sorted(there)
+
+        def take(x: int, n: int) -> int:
+            now = min(n, there[x])
+            there[x] -= now
+            if not there[x]:
+                lengths.remove(x)
+            return now
+
+        for column, times in configurations(sizes, np.array([sum(n for _, n in p) for p in pools]), capacity):
+            slots = np.repeat(np.arange(len(column)), column)
             spans = [(sequences, times, 0)]  # first, number, filled
-            for k in np.flatnonzero(column):
-                for _ in range(column[k]):
-                    after = []
-                    for first, n, filled in spans:
-                        while n and pool[k]:
-                            x, there = pool[k].pop()
-                            now = min(n, there)
-                            put(x, now, first, filled)
-                            after.append((first, now, filled + x))
-                            if there > now:
-                                pool[k].append((x, there - now))
-                            first, n = first + now, n - now
-                        if n:
+            for j, k in enumerate(slots):
+                after = []
+                for first, n, filled in spans:
+                    while n:
+                        # in the last place, the longest piece that the actual ones before it leave room for
+                        upto = capacity - filled if j == len(slots) - 1 else int(sizes[k])
+                        at = bisect.bisect_right(lengths, upto) - 1
+                        if at < 0:
                             after.append((first, n, filled))
-                    spans = after
-            used = 0
+                            break
+                        x = lengths[at]
+                        now = take(x, n)
+                        put(x, now, first, filled)
+                        after.append((first, now, filled + x))
+                        first, n = first + now, n - now
+                spans = after
+            empty = min((first for first, _, filled in spans if not filled), default=sequences + times)
             for first, n, filled in spans:
                 if filled:
                     free(capacity - filled, first, n)
-                    used = max(used, first + n - sequences)
-            sequences += used if all(f for *_, f in spans) else times
-    for x in sorted((x for x in histogram if x <= large and histogram[x]), reverse=True):
-        n = histogram[x]
+            sequences = empty if all(first < empty for first, _, filled in spans if filled) else sequences + times
+        rest |= {x: n for x, n in there.items() if n}
+    for x in sorted(rest, reverse=True):
+        n = rest[x]
         while n:
             k = bisect.bisect_left(levels, x)
             if k == len(levels):
-                per = capacity // x
-                whole = n // per
-                new = max(1, whole)
+                new = max(1, n // (capacity // x))
                 free(capacity, sequences, new)
                 sequences += new
                 continue
