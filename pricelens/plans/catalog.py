@@ -732,25 +732,26 @@ def q_skipped_tickers(spark, sf):
 
 
 @register("rows_map", S.with_(S.BARS) + """
-SELECT sector, map_from_entries(list((ticker, n) ORDER BY ticker)) AS rows_per_ticker
+SELECT sector, count(*) AS tickers, string_agg(ticker || '=' || n, ',' ORDER BY ticker) AS rows_per_ticker
 FROM (SELECT sector, ticker, count(*) AS n FROM bars GROUP BY ALL) GROUP BY sector""")
 def q_rows_map(spark, sf):
-    """Per sector map ticker -> rows (at most the sector's tickers per map)."""
+    """Per sector map ticker -> rows (at most the sector's tickers per map), shown as text."""
     g = D.bars(spark, sf).groupBy("sector", "ticker").agg(F.count("*").alias("n"))
-    return g.groupBy("sector").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ticker", "n"))))
-                                   .alias("rows_per_ticker"))
+    m = g.groupBy("sector").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ticker", "n")))).alias("m"))
+    shown = F.transform(F.map_keys("m"), lambda t: F.concat(t, F.lit("="), F.element_at(C("m"), t).cast("string")))
+    return m.select("sector", F.size("m").cast("long").alias("tickers"), F.array_join(shown, ",").alias("rows_per_ticker"))
 
 
 @register("ticker_lists", S.with_(S.BARS) + """,
 loaded AS (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 1000)
-SELECT CASE WHEN l.ticker IS NULL THEN 'skipped' ELSE 'used' END AS status, list(n_name ORDER BY n_name) AS tickers
+SELECT CASE WHEN l.ticker IS NULL THEN 'skipped' ELSE 'used' END AS status, string_agg(n_name, ',' ORDER BY n_name) AS tickers
 FROM nation LEFT JOIN loaded l ON l.ticker = n_name GROUP BY status""")
 def q_ticker_lists(spark, sf):
-    """Used / skipped ticker lists of the universe (one list per status)."""
+    """Used / skipped ticker lists of the universe (one list per status, shown as text)."""
     loaded = D.bars(spark, sf).groupBy("ticker").count().where(C("count") >= 1000)
     u = D.universe(spark, sf).join(loaded.select("ticker", F.lit("used").alias("status")), "ticker", "left")
     u = u.withColumn("status", F.coalesce("status", F.lit("skipped")))
-    return u.groupBy("status").agg(F.sort_array(F.collect_list("ticker")).alias("tickers"))
+    return u.groupBy("status").agg(F.array_join(F.sort_array(F.collect_list("ticker")), ",").alias("tickers"))
 
 
 # --------------------------------------------------------------------------- model
