@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, stored, utf8
+from .common import prepare, slices, stored, utf8
 from .features import Texts, U, mixed
 
 SHINGLE, THRESHOLD = 5, 85
@@ -83,7 +83,7 @@ def listed(rows: np.ndarray) -> pa.Array:
 
 def _sign(batches):
     for batch in batches:
-        for part in slices(batch, 128):
+        for part in slices(batch, 128, batch.column(1)):
             keys, sets = shingles(utf8(part.column(1)))
             has = [k for k, s in enumerate(sets) if len(s)]
             m = minima([sets[k] for k in has]) if has else np.zeros((0, MINIMA), np.uint32)
@@ -97,7 +97,7 @@ def _sign(batches):
 
 def _sets(batches):
     for batch in batches:
-        for part in slices(batch, 128):
+        for part in slices(batch, 128, batch.column(1)):
             _, sets = shingles(utf8(part.column(1)))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = np.concatenate([*sets, np.zeros(0, U)]).view(np.int64)
@@ -121,10 +121,10 @@ def sizes_allow(m, n):
     return F.least(m, n) * 100 >= F.greatest(m, n) * THRESHOLD
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, rows: int | None = None) -> DataFrame:
     """Distinct pairs (a, b) that sizes and bits allow to reach the threshold, with ``n_a``, ``n_b``."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = stored(pairs.select("a", "b").distinct(), "pairs").join(side("a"), "a").join(side("b"), "b")
+    both = stored(pairs.select("a", "b").distinct(), "pairs", rows).join(side("a"), "a").join(side("b"), "b")
     return both.where(sizes_allow(F.col("n_a"), F.col("n_b"))).where(similarity("bits_a", "bits_b") >= THRESHOLD / 100 - MARGIN).select("a", "b", "n_a", "n_b")
 
 
@@ -147,7 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared folder; a node's least neighbour is found by a map-side combined
     aggregate, so a hub with very many neighbours isn't gathered anywhere.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    rows = 2 * edges.count()
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges", rows)
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -155,13 +156,13 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = now.union(now.select("v", "u"))
-        least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least", rows)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u != v").distinct(), "edges")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = stored(large.where("u != v").distinct(), "edges", rows)
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least", rows)
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
-        now = stored(small.distinct(), "edges")
+        now = stored(small.distinct(), "edges", rows)
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return best.select("bucket", (-F.col("best.less")).alias("hub"))
 
 
-def beyond_hub(star: DataFrame) -> DataFrame:
+def beyond_hub(star: DataFrame, rows: int | None = None) -> DataFrame:
     """Candidate pairs (a, b) among the members of large unsettled buckets, by what they have outside their hub.
 
     ``star``: hub, rep, n, a (shared with the hub), comp, linked, rest (shingles outside the hub).
@@ -186,11 +187,11 @@ def beyond_hub(star: DataFrame) -> DataFrame:
     # the others share a shingle of the prefix: all of the rest but as many as they must have in common, less one, the rarest first
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * t - F.col("a") - 1e-6))
     token = star.select("hub", "rep", "comp", (F.size("rest") - need + 1).alias("prefix"), F.size("rest").alias("all"), F.explode("rest").alias("token"))
-    often = stored(token.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1"), "tokens")
+    often = stored(token.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1"), "tokens", rows)
     known = token.join(often, ["hub", "token"])
     w = W.partitionBy("hub", "rep")
     known = known.withColumn("at", F.row_number().over(w.orderBy("df", "token")) + F.col("all") - F.count("*").over(w))
-    known = stored(known.where("at <= prefix").select("hub", "token", "rep", "comp"), "prefix")
+    known = stored(known.where("at <= prefix").select("hub", "token", "rep", "comp"), "prefix", rows)
     meet = known.alias("l").join(known.alias("r"), ["hub", "token"]).where("l.rep < r.rep and l.comp != r.comp")
     pairs = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).alias("p")
     return free.select(pairs("x", "rep")).union(meet.select(pairs("l.rep", "r.rep"))).select("p.a", "p.b")
@@ -202,6 +203,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     Without words or text: no shingles, a component of its own. A row with a null id links with nothing and
     has a null component. Rows that repeat an id are one document (the text with the least digest stands for it).
     """
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = stored(rows.mapInArrow(_sign, "id long, key binary, n long, bands array<long>, bits array<long>"), "signed")
     named = signed.where("id is not null and key is not null")
@@ -214,33 +216,35 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         classes = by_key
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(banded.join(shared, "bucket"), "members")
-    needed = members.select("rep").distinct()
-    sets = rows.where("id is not null").join(needed.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_sets, "id long, s array<long>")
+    members = stored(banded.join(stored(shared, "shared"), "bucket"), "members")
+    many_rows = members.count()
+    needed = stored(members.select("rep").distinct(), "needed", many_rows)
+    # The ids grow with the corpus: texts meet them by a sorted shuffle at every size, never by a broadcast.
+    wanted = needed.select(F.col("rep").alias("id")).hint("merge")
     if repeated:
         keyed = rows.join(first, "id").mapInArrow(_keyed, "id long, key binary, own binary, s array<long>").where("key = own")
-        sets = keyed.join(needed.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "s")
+        sets = keyed.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", "s")
     else:
-        sets = sets
+        sets = rows.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, s array<long>")
     sets = stored(sets, "sets")
-    hubs = stored(hub_pairs(members), "hubs")
+    hubs = stored(hub_pairs(members), "hubs", many_rows)
     in_bucket = members.join(hubs, "bucket")
-    star = stored(in_bucket.where("rep != hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("size").alias("size")), "star")
-    found = stored(confirmed(likely(star, classes), sets), "links")
+    star = in_bucket.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    found = stored(confirmed(likely(star, classes, many_rows), sets), "links", many_rows)
     root = components(found)
     root = root.union(root.select(F.col("root").alias("node"), "root").distinct())
-    comps = stored(members.select("rep").distinct().join(root.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp")), "comps")
-    placed = stored(in_bucket.join(comps, "rep"), "placed")
-    open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("bucket")
-    left = stored(placed.where("rep != hub and size > 2").join(open_buckets, "bucket", "left_semi"), "left")
+    comps = stored(needed.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp")), "comps", many_rows)
+    placed = stored(in_bucket.join(comps, "rep"), "placed", many_rows)
+    open_buckets = stored(placed.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("bucket"), "open", many_rows)
+    left = stored(placed.where("rep != hub and size > 2").join(open_buckets, "bucket", "left_semi"), "left", many_rows)
     few = left.where(F.col("size") <= SMALL).select("bucket", "rep", "comp")
     few = few.alias("l").join(few.alias("r"), "bucket").where("l.rep < r.rep and l.comp != r.comp").select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
     many = left.where(F.col("size") > SMALL).select(F.col("hub").alias("a"), F.col("rep").alias("b"), "comp").distinct()
     n = classes.select(F.col("rep").alias("b"), "n")
     many = with_sets(many, sets).join(n, "b").join(classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a")
     many = stored(many.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "n", F.col("o").alias("a"), "comp",
-                              links(F.col("o"), F.col("n"), F.col("n_a")).alias("linked"), F.array_except("s_b", "s_a").alias("rest")), "around")
-    more = stored(confirmed(likely(few.union(beyond_hub(many)), classes), sets), "links")
+                              links(F.col("o"), F.col("n"), F.col("n_a")).alias("linked"), F.array_except("s_b", "s_a").alias("rest")), "around", many_rows)
+    more = stored(confirmed(likely(few.union(beyond_hub(many, many_rows)), classes, many_rows), sets), "links", many_rows)
     if more.limit(1).count():
         root = components(found.union(more))
         root = root.union(root.select(F.col("root").alias("node"), "root").distinct())
@@ -252,7 +256,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
 def _keyed(batches):
     for batch in batches:
-        for part in slices(batch, 128):
+        for part in slices(batch, 128, batch.column(1)):
             keys, sets = shingles(utf8(part.column(1)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                                              ["id", "key", "own", "s"])
