@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import decontaminate, minhash, packing, secrets as secret_scan, quality as quality_rules
-from .common import flat, table
+from .common import flat, stored, table
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,13 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; of rows that repeat its id, one."""
-    first = minhash.near_copies(docs).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    groups = minhash.near_copies(docs)
+    ids = stored(groups.where("id is not null").groupBy("id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows")), "groups")
+    kept = docs.join(ids.where("id != first").select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_anti")
+    again = ids.where("rows > 1").select(F.col("id").alias("doc_id"))
+    if again.limit(1).count():  # few rows: only these are compared by their ids
+        kept = kept.join(again, "doc_id", "left_anti").union(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(docs.columns)
 
 
 def contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
