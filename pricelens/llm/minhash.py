@@ -1,9 +1,9 @@
 """Near-copy groups by b-bit MinHash, confirmed on full shingle sets.
 
 1. Exact copies (equal word sequences) collapse into one class, kept under its smallest doc_id.
-2. Each class gets 192 minima; six in a row make one of 32 band keys, and the low 4 bits of all are
-   packed into twelve 64-bit words. Classes that share a band key form a bucket. Two sets with
-   similarity 0.85 share no bucket with a chance of 3 in 10 million, less above it.
+2. Each class gets 192 minima; rows of them make band keys (``BANDS``), and the low 4 bits of all are
+   packed into twelve 64-bit words. Classes that share a band key form a bucket. Two sets with the
+   threshold's similarity share no bucket with a chance of 3 in 10 million, less above it.
 3. No bucket emits all its pairs. Its hub (the class that meets most others) is compared with each
    member: the bits are counted, corrected for chance agreement, and what may reach the threshold is
    confirmed on the full sets. Connected components of these links settle most buckets.
@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from .common import prepare, slices, stored, utf8
 from .features import Texts, U, mixed
 
+#: Words of a shingle, and the threshold in hundredths that op9's contract fixes.
 SHINGLE, THRESHOLD = 5, 85
-BANDS, ROWS, BITS = 32, 6, 4
-MINIMA = BANDS * ROWS
+MINIMA, BITS = 192, 4
 WORDS = MINIMA * BITS // 64
-#: A bucket this small lists its pairs. An estimate so far below the threshold (six standard deviations) rules a pair out.
-SMALL, MARGIN = 12, 0.16
+#: Bands and rows by threshold: a pair at 0.85 shares none of 32 x 6 with a chance of 2.6e-7, one at 0.8 none of 38 x 5 with 2.8e-7.
+BANDS = {85: (32, 6), 80: (38, 5)}
+#: A bucket this small lists its pairs.
+SMALL = 12
 
 _random = np.random.default_rng(20240229)
 A = (_random.integers(0, 2**31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -64,10 +66,10 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat(x * a + b, at) for a, b in zip(A, B, strict=True)], 1)
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    out = np.repeat(np.arange(1, BANDS + 1, dtype=U)[None, :], len(m), 0)
-    for k in range(ROWS):
-        out = mixed(out * U(0x9E3779B97F4A7C15) + m[:, k::ROWS].astype(U))
+def band_keys(m: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    out = np.repeat(np.arange(1, bands + 1, dtype=U)[None, :], len(m), 0)
+    for k in range(rows):
+        out = mixed(out * U(0x9E3779B97F4A7C15) + m[:, k:bands * rows:rows].astype(U))
     return out.view(np.int64)
 
 
@@ -81,18 +83,21 @@ def listed(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
 
 
-def _sign(batches):
-    for batch in batches:
-        for part in slices(batch, 128, batch.column(1)):
-            keys, sets = shingles(utf8(part.column(1)))
-            has = [k for k, s in enumerate(sets) if len(s)]
-            m = minima([sets[k] for k in has]) if has else np.zeros((0, MINIMA), np.uint32)
-            at = np.full(len(sets), -1)
-            at[has] = np.arange(len(has))
-            index = pa.array(at, pa.int32(), mask=at < 0)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                 listed(band_keys(m)).take(index), listed(packed(m)).take(index)], ["id", "key", "n", "bands", "bits"])
+def _sign(bands: int, rows: int):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 128, batch.column(1)):
+                keys, sets = shingles(utf8(part.column(1)))
+                has = [k for k, s in enumerate(sets) if len(s)]
+                m = minima([sets[k] for k in has]) if has else np.zeros((0, MINIMA), np.uint32)
+                at = np.full(len(sets), -1)
+                at[has] = np.arange(len(has))
+                index = pa.array(at, pa.int32(), mask=at < 0)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                     listed(band_keys(m, bands, rows)).take(index), listed(packed(m)).take(index)], ["id", "key", "n", "bands", "bits"])
+
+    return run
 
 
 def _sets(batches):
@@ -117,15 +122,22 @@ def similarity(x: str, y: str):
     return (1 - unequal / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
-def sizes_allow(m, n):
-    return F.least(m, n) * 100 >= F.greatest(m, n) * THRESHOLD
+def margin(threshold: int) -> float:
+    """Six standard deviations of the estimate at the threshold: one so far below it rules a pair out."""
+    chance = 2.0**-BITS
+    p = threshold / 100 * (1 - chance) + chance
+    return 6 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
+
+
+def sizes_allow(m, n, threshold: int):
+    return F.least(m, n) * 100 >= F.greatest(m, n) * threshold
 
 
-def likely(pairs: DataFrame, classes: DataFrame, rows: int | None = None) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, threshold: int, rows: int | None = None) -> DataFrame:
     """Distinct pairs (a, b) that sizes and bits allow to reach the threshold, with ``n_a``, ``n_b``."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     both = stored(pairs.select("a", "b").distinct(), "pairs", rows).join(side("a"), "a").join(side("b"), "b")
-    return both.where(sizes_allow(F.col("n_a"), F.col("n_b"))).where(similarity("bits_a", "bits_b") >= THRESHOLD / 100 - MARGIN).select("a", "b", "n_a", "n_b")
+    return both.where(sizes_allow(F.col("n_a"), F.col("n_b"), threshold)).where(similarity("bits_a", "bits_b") >= threshold / 100 - margin(threshold)).select("a", "b", "n_a", "n_b")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -133,12 +145,12 @@ def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
 
 
-def links(o, m, n):
-    return o * 100 >= (m + n - o) * THRESHOLD
+def links(o, m, n, threshold: int):
+    return o * 100 >= (m + n - o) * threshold
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return with_sets(pairs, sets).where(links(F.col("o"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    return with_sets(pairs, sets).where(links(F.col("o"), F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,12 +184,12 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return best.select("bucket", (-F.col("best.less")).alias("hub"))
 
 
-def beyond_hub(star: DataFrame, rows: int | None = None) -> DataFrame:
+def beyond_hub(star: DataFrame, threshold: int, rows: int | None = None) -> DataFrame:
     """Candidate pairs (a, b) among the members of large unsettled buckets, by what they have outside their hub.
 
     ``star``: hub, rep, n, a (shared with the hub), comp, linked, rest (shingles outside the hub).
     """
-    t = THRESHOLD / 100
+    t = threshold / 100
     c = t / (1 + t)
     # free pairs: c (|x| + |y|) <= min(a(x), a(y)); x isn't linked to the hub, y has one of the sizes that x allows
     able = star.where(F.col("a") >= t * F.col("n") - 1e-6).select("hub", "rep", "n", "a", "comp", "linked")
@@ -197,15 +209,15 @@ def beyond_hub(star: DataFrame, rows: int | None = None) -> DataFrame:
     return free.select(pairs("x", "rep")).union(meet.select(pairs("l.rep", "r.rep"))).select("p.a", "p.b")
 
 
-def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for each row of ``docs``.
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of ``docs``, linked at ``threshold`` hundredths (a key of ``BANDS``).
 
     Without words or text: no shingles, a component of its own. A row with a null id links with nothing and
     has a null component. Rows that repeat an id are one document (the text with the least digest stands for it).
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    signed = stored(rows.mapInArrow(_sign, "id long, key binary, n long, bands array<long>, bits array<long>"), "signed")
+    signed = stored(rows.mapInArrow(_sign(*BANDS[threshold]), "id long, key binary, n long, bands array<long>, bits array<long>"), "signed")
     named = signed.where("id is not null and key is not null")
     by_key = stored(named.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     repeated = bool(signed.groupBy("id").agg(F.min("key").alias("k"), F.max("key").alias("m")).where("id is not null and k != m").limit(1).count())
@@ -230,7 +242,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     hubs = stored(hub_pairs(members), "hubs", many_rows)
     in_bucket = members.join(hubs, "bucket")
     star = in_bucket.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    found = stored(confirmed(likely(star, classes, many_rows), sets), "links", many_rows)
+    found = stored(confirmed(likely(star, classes, threshold, many_rows), sets, threshold), "links", many_rows)
     root = components(found)
     root = root.union(root.select(F.col("root").alias("node"), "root").distinct())
     comps = stored(needed.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp")), "comps", many_rows)
@@ -243,8 +255,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     n = classes.select(F.col("rep").alias("b"), "n")
     many = with_sets(many, sets).join(n, "b").join(classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a")
     many = stored(many.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "n", F.col("o").alias("a"), "comp",
-                              links(F.col("o"), F.col("n"), F.col("n_a")).alias("linked"), F.array_except("s_b", "s_a").alias("rest")), "around", many_rows)
-    more = stored(confirmed(likely(few.union(beyond_hub(many, many_rows)), classes, many_rows), sets), "links", many_rows)
+                              links(F.col("o"), F.col("n"), F.col("n_a"), threshold).alias("linked"), F.array_except("s_b", "s_a").alias("rest")), "around", many_rows)
+    more = stored(confirmed(likely(few.union(beyond_hub(many, threshold, many_rows)), classes, threshold, many_rows), sets, threshold), "links", many_rows)
     if more.limit(1).count():
         root = components(found.union(more))
         root = root.union(root.select(F.col("root").alias("node"), "root").distinct())
@@ -263,7 +275,7 @@ def _keyed(batches):
 
 
 def op9_minhash(docs: DataFrame) -> DataFrame:
-    out = near_copies(docs)
+    out = near_copies(docs, threshold=THRESHOLD)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 

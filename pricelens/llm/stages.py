@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from . import decontaminate, minhash, packing, secrets as secret_scan, quality as quality_rules
 from .common import flat, stored, table
 
+#: Near copies share this many hundredths of their word 5-shingles or more (op9's contract has 85).
+NEAR = 80
+
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the model reject go. The model is trained on the labelled ones among ``docs``."""
@@ -21,7 +24,7 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; of rows that repeat its id, one."""
-    groups = minhash.near_copies(docs)
+    groups = minhash.near_copies(docs, threshold=NEAR)
     ids = stored(groups.where("id is not null").groupBy("id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows")), "groups")
     kept = docs.join(ids.where("id != first").select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_anti")
     again = ids.where("rows > 1").select(F.col("id").alias("doc_id"))
