@@ -1,7 +1,6 @@
 """License scans: ordered signature rules gated by keywords, in built-in functions only.
 
-A text in which no rule's keyword stands at the beginning of a word isn't searched. Another one is
-lower-cased (A-Z), and a rule's pattern is tried where the text holds the rule's own keyword. Detections that lie inside another one of the same or a higher priority
+A text without any rule's keyword isn't searched. Another one is lower-cased (A-Z), and a rule's pattern is tried where the text holds the rule's own keyword. Detections that lie inside another one of the same or a higher priority
 go, and a general notice goes where a named license overlaps it. Fixed phrases are found beside that,
 by their words, and always stay.
 """
@@ -14,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import rules
+from .license_rules import gate_words, rules
 from .positions import where_found
 
 #: Phrases and labels.
@@ -100,7 +99,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), body.alias("text"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    gate = f"(?<![A-Za-z])(?i:{any_word(sorted({w for _, _, w, _ in rules()}, key=lambda w: (len(w), w)))})"
+    begin, inside = (any_word(sorted(ws, key=lambda w: (len(w), w))) for ws in gate_words())
+    gate = f"(?i:(?<![A-Za-z]){begin}|{inside})"
     out = out.select("row", n_words(F.col("text")).alias("n_words"), F.array(*[word_starts(F.col("text"), p) for p, _ in PHRASES]).alias("starts"),
                      F.when(F.col("text").rlike(gate), F.translate("text", upper, lower)).alias("low"))
     out = out.withColumn("found", F.when(F.col("low").isNotNull(), detections(F.col("low"))).otherwise(F.array().cast(FOUND)))
