@@ -163,10 +163,19 @@ GENERAL = [
 ]
 
 
+#: What stands before identifiers, on their line.
+TAG = "spdx-license-identifier"
+
+
+def identifier(spdx: str) -> str:
+    """A pattern for an identifier inside a tag's line."""
+    return rf"(?<![a-z0-9.+-])(?:{spdx})(?![.+-]*[a-z0-9])"
+
+
 def rules() -> list[tuple[str, int, str, str]]:
-    """All rules, in a fixed order: identifiers, addresses, names, wordings, general notices."""
-    out = [(label, 3, "spdx-license-identifier", rf"(?<=spdx-license-identifier:[^\n]{{0,100}})(?<![a-z0-9.+-])(?:{spdx})(?![.+-]*[a-z0-9])")
-           for label, spdx, *_ in LICENSES]
+    """All rules, in a fixed order: identifiers, addresses, names, wordings, general notices. An identifier counts
+    anywhere after the tag on its line; Java has no such look behind, so the scan looks inside the lines instead."""
+    out = [(label, 3, TAG, rf"(?<={TAG}:[^\n]*){identifier(spdx)}") for label, spdx, *_ in LICENSES]
     out += [(label, 3, address.split("/")[0].replace("\\", "").split("(")[0].split("|")[0], address) for label, *_, address in LICENSES if address]
     out += [(label, 2, keyword, rf"(?<![a-z0-9])(?:{name})(?![a-z0-9])") for label, _, keyword, name, _ in LICENSES]
     out += [(label, 2, keyword, rf"(?<![a-z0-9])(?:{name})(?![a-z0-9])") for label, keyword, name in SHORT]

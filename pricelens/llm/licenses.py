@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import gate_words, rules
+from .license_rules import LICENSES, TAG, gate_words, identifier, rules
 from .positions import where_found
 
 #: Phrases and labels.
@@ -67,13 +67,21 @@ def word_starts(text: Column, phrase: str) -> Column:
 
 def detections(low: Column) -> Column:
     """(start, end, priority, label) of every rule's matches, by start, longer and stronger first."""
-    table = F.from_json(F.lit(json.dumps([dict(zip(("label", "priority", "word", "pattern"), r, strict=True)) for r in rules()])),
-                        "array<struct<label:string,priority:int,word:string,pattern:string>>")
-    used = F.filter(table, lambda r: F.contains(low, r.word))
-    used = F.filter(used, lambda r: F.regexp_like(low, r.pattern))
-    each = F.transform(used, lambda r: F.transform(where_found(low, r.pattern), lambda m: F.struct(
-        m.start.alias("start"), (-m.end).alias("to"), (-r.priority).alias("rank"), r.label.alias("label"))))
-    return F.transform(F.array_sort(F.flatten(each)), lambda d: F.struct(d.start.alias("start"), (-d.to).alias("end"), (-d.rank).alias("priority"), d.label.alias("label")))
+    def listed(some: list[tuple]) -> Column:
+        return F.from_json(F.lit(json.dumps([dict(zip(("label", "priority", "word", "pattern"), r, strict=True)) for r in some])),
+                           "array<struct<label:string,priority:int,word:string,pattern:string>>")
+
+    def matches(text: Column, some: Column, at: Column) -> Column:
+        used = F.filter(some, lambda r: F.contains(text, r.word))
+        used = F.filter(used, lambda r: F.regexp_like(text, r.pattern))
+        return F.flatten(F.transform(used, lambda r: F.transform(where_found(text, r.pattern), lambda m: F.struct(
+            (at + m.start).alias("start"), (-at - m.end).alias("to"), (-r.priority).alias("rank"), r.label.alias("label")))))
+
+    ids = listed([(label, 3, "", identifier(spdx)) for label, spdx, *_ in LICENSES])
+    lines = F.when(F.contains(low, F.lit(TAG)), where_found(low, F.lit(f"{TAG}:[^\\n]*"))).otherwise(F.array().cast("array<struct<start:int,end:int,inner:int>>"))
+    tagged = F.transform(lines, lambda x: matches(F.substring(low, x.start + len(TAG) + 2, x.end - x.start - len(TAG) - 1), ids, x.start + len(TAG) + 1))
+    each = F.concat(F.flatten(tagged), matches(low, listed([r for r in rules() if r[2] != TAG]), F.lit(0)))
+    return F.transform(F.array_sort(each), lambda d: F.struct(d.start.alias("start"), (-d.to).alias("end"), (-d.rank).alias("priority"), d.label.alias("label")))
 
 
 def outermost(found: Column) -> Column:

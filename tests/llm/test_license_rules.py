@@ -64,3 +64,16 @@ def test_no_detection_is_lost_by_a_keyword(spark, monkeypatch):
 
 def test_keywords_are_one_word():
     assert not [w for _, _, w, _ in rules() if not w or regex.search(r"\s", w)]
+
+
+def test_identifiers_of_a_long_expression(spark):
+    """Licenses count however far behind the tag they stand, on its line only."""
+    ids = ["apache-2.0", "mpl-2.0", "bsd-3-clause", "zlib", "isc", "epl-2.0", "gpl-3.0", "x11"]
+    line = "É😀 // SPDX-License-Identifier: (" + " OR ".join(x.upper() for x in ids) + ") AND LicenseRef-" + "z" * 400 + " AND (BSL-1.0 OR Unlicense) spdx-license-identifier: ecl-2.0"
+    texts = [line + "\nzlib curl", line + "\r\nSPDX-License-Identifier:MIT", "SPDX-License-Identifier:", "SPDX-License-Identifier:\nMIT", "SPDX-License-Identifier: MITx MIT-1 not-MIT"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.op6_license_scan(d).collect()}
+    want = {*ids, "bsl-1.0", "unlicense", "ecl-2.0"}
+    assert [set(got[i][5].split(",")) for i in range(5)] == [want, want | {"mit"}, {""}, {""}, {""}]
+    assert [got[i][6] for i in range(5)] == [1.0, 1.0, 0.0, 0.0, 0.0]
+    assert all(got[i] == brute.license_row(t) for i, t in enumerate(texts))
