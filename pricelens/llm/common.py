@@ -111,6 +111,21 @@ def annotate(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
     return packed.mapInArrow(run, schema)
 
 
+def shared_prefix(a: bytes, i: int, b: bytes, j: int) -> int:
+    """How many bytes of ``a`` from i on and ``b`` from j on are the same, by slices of doubling size."""
+    n, most, step = 0, min(len(a) - i, len(b) - j), 8
+    while n < most:
+        size = min(step, most - n)
+        if a[i + n:i + n + size] == b[j + n:j + n + size]:
+            n, step = n + size, 2 * step
+        elif size == 1:
+            break
+        else:
+            step = size // 2
+            most = n + size
+    return n
+
+
 def flat(df: DataFrame, keep: list[str], rest: list[str]) -> DataFrame:
     """The columns ``keep`` out of ``row``, then ``rest``."""
     return df.select(*[F.col("row")[c].alias(c) for c in keep], *rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, main_text, minhash, packing, quality, secrets, tokens, toxicity, warc
+from . import decontaminate, exact_dedup, licenses, main_text, manifest, minhash, packing, prefix_trie, quality, secrets, tokens, toxicity, warc
 from .common import table
 
 
@@ -42,6 +42,18 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.op10_best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.op11_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return manifest.op12_merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.op13_exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_html_extraction": op2_html_extraction,
@@ -53,5 +65,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_exact_dedup": op13_exact_dedup,
 }
-ORACLE = {"op3_decontaminate": decontaminate.SQL, "op8_warc": warc.SQL, "op9_minhash": minhash.SQL}
+ORACLE = {"op3_decontaminate": decontaminate.SQL, "op8_warc": warc.SQL, "op9_minhash": minhash.SQL,
+          "op11_prefix_trie": prefix_trie.SQL, "op12_merkle_manifest": manifest.SQL, "op13_exact_dedup": exact_dedup.SQL}

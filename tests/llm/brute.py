@@ -130,7 +130,7 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def near(rows):
+def near(rows, threshold=85):
     """id -> (size of the set, smallest id reachable) by comparing all pairs."""
     sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
 
@@ -142,7 +142,7 @@ def near(rows):
     ids = sorted(sets)
     for k, i in enumerate(ids):
         for j in ids[k + 1:]:
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     return {i: (len(sets[i]), top(i)) for i in ids}

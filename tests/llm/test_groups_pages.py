@@ -81,7 +81,7 @@ def test_near_copies_edges(spark, groups):
     assert len(got) == 82 and [r.component_id for r in got if r.id is None] == [None]
     want = brute.near(groups[:40])
     assert {(r.id, r.component_id) for r in got if r.id is not None} == {(i, c) for i, (_, c) in want.items()}
-    kept = stages.near_copies(spark, odd, SF)
+    kept, want = stages.near_copies(spark, odd, SF), brute.near(groups[:40], 80)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*{c for _, c in want.values()}, None], key=str)
 
 
@@ -266,7 +266,7 @@ def test_pipeline(spark):
     got = sorted(tuple(r)[:5] for r in corpus_pipeline.run(spark, SF).collect())
     docs = table(spark, SF, "documents")
     rows = sorted((r.doc_id, r.text) for r in stages.quality(spark, docs, SF).collect())
-    near = brute.near(rows)
+    near = brute.near(rows, 80)
     rows = [(i, t) for i, t in rows if near[i][1] == i]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     rows = [(i, brute.masked(t)) for i, t in rows if not brute.leaks(t, items)[4]]
