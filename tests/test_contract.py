@@ -3,8 +3,8 @@
 import duckdb
 import pytest
 
-from conftest import SF001
 import __spark_entry__ as E
+from frames import SF001
 from pricelens.plans import catalog
 from pricelens.plans.check import TABLES, compare
 
