@@ -83,15 +83,16 @@ class Trie:
         return node
 
     def items(self, node: Node | None = None, prefix: bytes = b""):
-        """(key, value) of every terminal below."""
-        stack = [(node or self.root, prefix)]
+        """(key, value) of every terminal below; one path of bytes is kept, whatever the depth."""
+        path, stack = bytearray(prefix), [(node or self.root, len(prefix))]
         while stack:
-            node, prefix = stack.pop()
-            key = prefix + node.label
+            node, depth = stack.pop()
+            del path[depth:]
+            path += node.label
             if node.value is not None:
-                yield key, node.value
+                yield bytes(path), node.value
             if node.kids:
-                stack += [(kid, key) for kid in node.kids.values() if kid is not Trie.gone]
+                stack += [(kid, len(path)) for kid in node.kids.values() if kid is not Trie.gone]
 
     def give_up(self):
         """Cut off the subtree with the most bytes at the highest branch, and yield its (key, value) pairs.
@@ -175,14 +176,17 @@ def _local(limit: int):
 MERGED = "length long, digest binary, text binary, least long, rows long, shares array<long>, settled boolean"
 
 
-def _merge(limit: int):
-    """Rows of ``MERGED`` in one trie: settled ones are complete for this task, the others were given up."""
+def _merge(limit: int, texts: bool):
+    """Rows of ``MERGED`` in one trie: settled ones are complete for this task, the others were given up.
+
+    Texts of settled rows go along only if asked for.
+    """
     names = [f.split()[0] for f in MERGED.split(", ")]
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
     def packed(pairs, settled):
         rows, size = [], 0
         for key, (digest, least, n, shares) in pairs:
-            rows.append((len(key), digest, key, least, n, shares, settled))
+            rows.append((len(key), digest, key if texts or not settled else None, least, n, shares, settled))
             size += len(key)
             if size > 1 << 20 or len(rows) == 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -228,7 +232,7 @@ def merged(shares: DataFrame, *salt: str) -> DataFrame:
         parts = max(floor, -(-(size or 0) // PART)) << min(len(rounds), 8)
         seed = F.lit(len(rounds))  # another round deals them otherwise
         dealt = left.repartition(parts, "length", "digest", seed, *salt)
-        done = stored(dealt.select("digest", "text", "least", "rows", "shares").mapInArrow(_merge(TRIE_BYTES), MERGED), "tries")
+        done = stored(dealt.select("digest", "text", "least", "rows", "shares").mapInArrow(_merge(TRIE_BYTES, bool(salt)), MERGED), "tries")
         rounds.append(done.where("settled").drop("settled"))
         left = done.where("not settled").drop("settled")
         if salt:  # a first round only: what was given up is settled by the next
