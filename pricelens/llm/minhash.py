@@ -8,11 +8,18 @@
    member: the bits are counted, corrected for chance agreement, and what may reach the threshold is
    confirmed on the full sets. Connected components of these links settle most buckets.
 4. What is left are pairs of one bucket in different components. A bucket of at most ``SMALL`` members
-   lists them. In a larger one, let a(x) be what x shares with the hub. A link x-y needs
-   c (|x| + |y|) common shingles, c = t / (1 + t), of which at most min(a(x), a(y)) lie in the hub; so
-   unless that many do ("free" pairs, which differ in size and are found by equal sizes), x and y share
-   shingles outside the hub, and a prefix of the rarest of them (as in prefix-filter joins) finds every
-   such pair. Members with edits of their own have nothing in common there, and give no pairs.
+   lists them. Larger ones that have members in common through their hubs are one family, in which every
+   class is one row. Let C be any set of shingles (here those that most of a few members hold) and D(x)
+   what x and C don't share. Then x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, and are
+   linked if that is at most k (|x| + |y|), k = (1 - t) / (1 + t). With f(x) = |D(x)| - k |x|:
+   a. f(x) + f(y) <= 0 links x and y whatever they share, so whoever is linked to anybody this way is
+      linked to the member of the least f. These links are a star.
+   b. All others must have (f(x) + f(y)) / 2 or more of D in common. Only shingles that two components
+      have count; members that can't reach it with these give nothing, the others meet at a prefix of
+      their rarest ones, a pair at the first that it has in common.
+   c. Where many meet at one shingle, they are a family of the next round, with a C of its own that holds
+      this shingle: no more than half of the family before have it, so families shrink until they are
+      small, or settled by their stars.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,8 +41,10 @@ MINIMA, BITS = 192, 4
 WORDS = MINIMA * BITS // 64
 #: Bands and rows by threshold: a pair at 0.85 shares none of 32 x 6 with a chance of 2.6e-7, one at 0.8 none of 38 x 5 with 2.8e-7.
 BANDS = {85: (32, 6), 80: (38, 5)}
-#: A bucket this small lists its pairs.
+#: A bucket or family this small lists its pairs.
 SMALL = 12
+#: Members whose majority is a family's reference set (any set would do), and members that one task meets of a family at a time.
+REFERENCE, MEET = 31, 500
 
 _random = np.random.default_rng(20240229)
 A = (_random.integers(0, 2**31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -184,29 +193,150 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return best.select("bucket", (-F.col("best.less")).alias("hub"))
 
 
-def beyond_hub(star: DataFrame, threshold: int, rows: int | None = None) -> DataFrame:
-    """Candidate pairs (a, b) among the members of large unsettled buckets, by what they have outside their hub.
+def attached(rows: DataFrame, info: DataFrame, parts: Column) -> DataFrame:
+    """``rows`` (family, rep, ...) with the other columns of ``info`` (one row a family); a family is dealt to ``parts`` tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), parts))
+    spread = info.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return salted.join(spread.drop(*[c for c in rows.columns if c != "family"]), ["family", "salt"]).drop("salt")
 
-    ``star``: hub, rep, n, a (shared with the hub), comp, linked, rest (shingles outside the hub).
+
+def several() -> Column:
+    """Parts of a family whose size isn't at hand."""
+    return F.lit(32).cast("long")
+
+
+def by_size() -> Column:
+    return F.floor(F.col("n") / MEET) + 1
+
+
+def opened(rows: DataFrame) -> DataFrame:
+    """The rows (family, rep, comp, ...) of families that aren't in one component yet, with the family's size ``n``."""
+    sizes = rows.groupBy("family").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    return attached(rows, sizes.where("c != d").select("family", "n"), several())
+
+
+def referred(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``rows`` (family, of, rep, from, comp, n) with ``d``, what a class and its family's reference set don't share, and ``f``.
+
+    ``sets`` (of, rep, s, own, size): what of a class is compared (from place ``from`` on), how many of its shingles
+    differ from everybody's in any case, and how many it has. With ``far`` the ones that aren't compared or not shared,
+    and t hundredths, ``f`` is (100 + t) far - (100 - t) size; x and y are linked if f(x) + f(y) <= 2 (100 + t) |d(x) & d(y)|.
+    A shingle that x lacks stands in ``d`` with its bits turned.
+    """
+    left = F.slice("s", F.col("from"), F.greatest(F.lit(0), F.size("s") - F.col("from") + 1))
+    some = rows.withColumn("at", F.row_number().over(W.partitionBy("family").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("at") <= REFERENCE)
+    held = some.join(sets, ["of", "rep"]).select("family", "n", F.explode(left).alias("token")).groupBy("family", "n", "token").agg(F.count("*").alias("by"))
+    core = held.where(F.col("by") * 2 > F.least(F.col("n"), F.lit(REFERENCE))).groupBy("family").agg(F.collect_list("token").alias("core"))
+    core = rows.select("family", "n").distinct().join(core, "family", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    both = attached(rows, stored(core, "cores"), by_size()).join(sets, ["of", "rep"]).withColumn("s", left)
+    both = both.withColumn("d", F.concat(F.array_except("s", "core"), F.transform(F.array_except("core", "s"), F.bitwise_not)))
+    both = both.withColumn("far", F.size("d") + F.col("own") + F.col("from") - 1)
+    f = (100 + threshold) * F.col("far") - (100 - threshold) * F.col("size")
+    return both.select("family", "rep", "comp", "n", "d", "far", "size", f.cast("long").alias("f"))
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of members to the one of the least ``f``, wherever the two sums alone link them."""
+    lead = rows.groupBy("family", "n").agg(F.min(F.struct("f", "rep", "comp")).alias("lead"))
+    linked = attached(rows, lead, by_size()).where((F.col("f") + F.col("lead.f") <= 0) & (F.col("comp") != F.col("lead.comp")))
+    return linked.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+
+
+def common(rows: DataFrame) -> DataFrame:
+    """(family, rep, token, ...): of ``d`` what members of two components have, ``at`` its place from the rarest on, of ``have``."""
+    token = rows.select("family", "rep", "comp", "f", "far", "size", F.explode("d").alias("token"))
+    often = token.groupBy("family", "token").agg(F.count("*").alias("df"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    often = stored(often.where("c != d").select("family", "token", "df"), "tokens")  # the others link nothing new
+    w = W.partitionBy("family", "rep")
+    known = token.join(often, ["family", "token"]).withColumns({"at": F.row_number().over(w.orderBy("df", "token")), "have": F.count("*").over(w)})
+    return known.withColumn("own", (F.col("far") - F.col("have")).cast("int")).drop("far")
+
+
+def meetings(known: DataFrame, threshold: int) -> DataFrame:
+    """(family, token, df, rep, comp, f, at, reach, low, high): the prefixes at which members must meet to be linked.
+
+    Of a pair, the one of the smaller f looks through its ``low`` prefix, the other through its ``high`` one. A pair
+    is looked for at the first shingle that it has in common, so what lies before counts for nothing there: nobody
+    with an f beyond ``reach`` can be linked to this member from this shingle on.
     """
-    t = threshold / 100
-    c = t / (1 + t)
-    # free pairs: c (|x| + |y|) <= min(a(x), a(y)); x isn't linked to the hub, y has one of the sizes that x allows
-    able = star.where(F.col("a") >= t * F.col("n") - 1e-6).select("hub", "rep", "n", "a", "comp", "linked")
-    x = able.where("not linked").select("hub", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("a").alias("ax"), F.col("comp").alias("cx"),
-                                        F.explode(F.sequence(F.ceil(F.col("n") * t - 1e-6), F.greatest(F.ceil(F.col("n") * t - 1e-6), F.floor(F.col("a") / c - F.col("n") + 1e-6)))).alias("n"))
-    free = x.join(able, ["hub", "n"]).where((F.col("comp") != F.col("cx")) & ((F.col("nx") + F.col("n")) * c <= F.least("a", "ax") + 1e-6))
-    # the others share a shingle of the prefix: all of the rest but as many as they must have in common, less one, the rarest first
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * t - F.col("a") - 1e-6))
-    token = star.select("hub", "rep", "comp", (F.size("rest") - need + 1).alias("prefix"), F.size("rest").alias("all"), F.explode("rest").alias("token"))
-    often = stored(token.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1"), "tokens", rows)
-    known = token.join(often, ["hub", "token"])
-    w = W.partitionBy("hub", "rep")
-    known = known.withColumn("at", F.row_number().over(w.orderBy("df", "token")) + F.col("all") - F.count("*").over(w))
-    known = stored(known.where("at <= prefix").select("hub", "token", "rep", "comp"), "prefix", rows)
-    meet = known.alias("l").join(known.alias("r"), ["hub", "token"]).where("l.rep < r.rep and l.comp != r.comp")
-    pairs = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).alias("p")
-    return free.select(pairs("x", "rep")).union(meet.select(pairs("l.rep", "r.rep"))).select("p.a", "p.b")
+    one = 100 + threshold
+    reach = lambda left: 2 * one * left - F.col("f")
+    bounds = known.where("at = 1").groupBy("family").agg(F.max(reach(F.col("have"))).alias("most"), F.min("f").alias("least"))
+    able = attached(known.withColumn("reach", reach(F.col("have") - F.col("at") + 1)), bounds, several()).where("f <= most and least <= reach")
+    low = F.greatest(F.lit(1), F.ceil(F.col("f") / one))
+    high = F.greatest(F.lit(1), F.ceil((F.col("f") + F.greatest(F.col("least"), 1 - F.col("f"))) / (2 * one)))
+    able = able.withColumns({"low": F.col("at") <= F.col("have") - low + 1, "high": (F.col("f") > 0) & (F.col("at") <= F.col("have") - high + 1)})
+    able = stored(able.where("low or high").select("family", "token", "df", "rep", "comp", "f", "at", "reach", "low", "high"), "able")
+    # the same bounds once more among those who meet: the other side's least f and farthest reach
+    side = lambda of, f, c: f(F.when(F.col(of), F.col(c)))
+    ends = able.groupBy("family", "token").agg(side("low", F.min, "f").alias("lf"), side("low", F.max, "reach").alias("lr"),
+                                               side("high", F.min, "f").alias("hf"), side("high", F.max, "reach").alias("hr"))
+    able = able.join(ends.where("lr is not null and hr is not null"), ["family", "token"])
+    able = able.withColumns({"low": F.expr("low and f <= hr and hf <= reach"), "high": F.expr("high and f <= lr and lf <= reach")})
+    return able.where("low or high").drop("lf", "lr", "hf", "hr")
+
+
+def met(at: DataFrame) -> DataFrame:
+    """(family, token, pairs) where members of different components meet; of tokens at which the same members meet, the first in their order."""
+    both = at.groupBy("family", "token", "df").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("d"), F.count_if("low").alias("low"),
+                                             F.count_if("high").alias("high"), F.sum(F.xxhash64("rep", "low", "high").cast("decimal(38,0)")).alias("mark"))
+    both = both.where("c != d and n > 1").withColumn("pairs", F.col("low") * F.col("high")).where("pairs > 0")
+    return both.groupBy("family", "n", "pairs", "mark").agg(F.min(F.struct("df", "token"))["token"].alias("token")).select("family", "token", "pairs")
+
+
+def meeting_pairs(at: DataFrame) -> DataFrame:
+    """The pairs (a, b) that meet, the low one's f first, and that have enough in common at best."""
+    keys = ["family", "token"]
+    both = at.where("low").alias("l").join(at.where("high").alias("r"), keys).where("l.f <= r.f and l.rep != r.rep and l.comp != r.comp")
+    both = both.where("l.f + r.f > 0 and l.f <= r.reach and r.f <= l.reach")
+    return both.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
+
+
+def listed_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of small buckets that lie in different components."""
+    both = rows.alias("l").join(rows.alias("r"), "bucket").where("l.rep < r.rep and l.comp != r.comp")
+    return both.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+
+
+def placed_in(needed: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the links, and (rep, comp) for all of ``needed``."""
+    root = components(links)
+    root = root.union(root.select(F.col("root").alias("node"), "root").distinct())
+    return root, stored(needed.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp")), "comps")
+
+
+def family_links(rows: DataFrame, needed: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``links`` and those that the families ``rows`` (family, rep) lack to be settled.
+
+    Families of a later round compare no more than what the members had in common with others before.
+    """
+    _, comps = placed_in(needed, links)
+    rows = rows.select("family", F.lit(0).cast("long").alias("of"), "rep", F.lit(1).alias("from"))
+    marks = sets.select(F.lit(0).cast("long").alias("of"), F.col("id").alias("rep"), "s", F.lit(0).alias("own"), F.size("s").alias("size"))
+    while True:
+        now = stored(opened(rows.join(comps, "rep")), "families")
+        if not now.limit(1).count():
+            return links
+        now = stored(referred(now, marks, threshold), "referred")
+        star = stored(stars(now), "stars")
+        if star.limit(1).count():
+            links = links.union(star)
+            _, comps = placed_in(needed, links)
+            now = opened(now.drop("comp", "n").join(comps, "rep"))
+        known = stored(common(now), "common")
+        at = stored(meetings(known, threshold), "meetings")
+        places = stored(met(at), "places")
+        few = meeting_pairs(at.join(places.where(F.col("pairs") <= SMALL * (SMALL - 1) // 2), ["family", "token"]))
+        more = stored(confirmed(likely(few, classes, threshold), sets, threshold), "links")
+        if more.limit(1).count():
+            links = links.union(more)
+            _, comps = placed_in(needed, links)
+        many = at.join(places.where(F.col("pairs") > SMALL * (SMALL - 1) // 2), ["family", "token"])
+        rows = stored(many.select(F.xxhash64("family", "token").alias("family"), F.col("family").alias("of"), "rep", F.col("at").alias("from")), "meet")
+        wanted = rows.select("of", "rep").distinct()
+        marks = known.withColumnRenamed("family", "of").join(wanted, ["of", "rep"], "left_semi").groupBy("of", "rep").agg(
+            F.array_sort(F.collect_list(F.struct("at", "token")))["token"].alias("s"), F.first("own").alias("own"), F.first("size").alias("size"))
+        marks = stored(marks, "marks")
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -219,13 +349,11 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", thresho
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = stored(rows.mapInArrow(_sign(*BANDS[threshold]), "id long, key binary, n long, bands array<long>, bits array<long>"), "signed")
     named = signed.where("id is not null and key is not null")
-    by_key = stored(named.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     repeated = bool(signed.groupBy("id").agg(F.min("key").alias("k"), F.max("key").alias("m")).where("id is not null and k != m").limit(1).count())
-    if repeated:
-        first = named.groupBy("id").agg(F.min("key").alias("key"))
-        classes = stored(by_key.join(first.select(F.col("id").alias("rep"), "key"), ["rep", "key"]), "classes")
-    else:
-        classes = by_key
+    if repeated:  # only the text that stands for an id makes a class
+        first = stored(named.groupBy("id").agg(F.min("key").alias("key")), "first")
+        named = named.join(first, ["id", "key"])
+    classes = stored(named.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(banded.join(stored(shared, "shared"), "bucket"), "members")
@@ -243,26 +371,23 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", thresho
     in_bucket = members.join(hubs, "bucket")
     star = in_bucket.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     found = stored(confirmed(likely(star, classes, threshold, many_rows), sets, threshold), "links", many_rows)
-    root = components(found)
-    root = root.union(root.select(F.col("root").alias("node"), "root").distinct())
-    comps = stored(needed.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp")), "comps", many_rows)
+    _, comps = placed_in(needed, found)
     placed = stored(in_bucket.join(comps, "rep"), "placed", many_rows)
     open_buckets = stored(placed.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("bucket"), "open", many_rows)
-    left = stored(placed.where("rep != hub and size > 2").join(open_buckets, "bucket", "left_semi"), "left", many_rows)
-    few = left.where(F.col("size") <= SMALL).select("bucket", "rep", "comp")
-    few = few.alias("l").join(few.alias("r"), "bucket").where("l.rep < r.rep and l.comp != r.comp").select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-    many = left.where(F.col("size") > SMALL).select(F.col("hub").alias("a"), F.col("rep").alias("b"), "comp").distinct()
-    n = classes.select(F.col("rep").alias("b"), "n")
-    many = with_sets(many, sets).join(n, "b").join(classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a")
-    many = stored(many.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "n", F.col("o").alias("a"), "comp",
-                              links(F.col("o"), F.col("n"), F.col("n_a"), threshold).alias("linked"), F.array_except("s_b", "s_a").alias("rest")), "around", many_rows)
-    more = stored(confirmed(likely(few.union(beyond_hub(many, threshold, many_rows)), classes, threshold, many_rows), sets, threshold), "links", many_rows)
-    if more.limit(1).count():
-        root = components(found.union(more))
-        root = root.union(root.select(F.col("root").alias("node"), "root").distinct())
-    of_key = by_key.select("key", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
-    of_key = stored(of_key, "components")
-    out = signed.select("id", "key", "n").join(of_key, "key", "left")
+    left = stored(placed.where("size > 2").join(open_buckets, "bucket", "left_semi"), "left", many_rows)
+    few = listed_pairs(left.where((F.col("size") <= SMALL) & (F.col("rep") != F.col("hub"))).select("bucket", "rep", "comp"))
+    found = found.union(stored(confirmed(likely(few, classes, threshold, many_rows), sets, threshold), "links"))
+    around = stored(left.where((F.col("size") > SMALL) & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "around", many_rows)
+    if around.limit(1).count():
+        met_by = components(around)
+        rows = stored(met_by.union(met_by.select("root", "root").distinct()).toDF("rep", "family").select("family", "rep"), "rows")
+        found = family_links(rows, needed, found, classes, sets, threshold)
+    root, _ = placed_in(needed, found)
+    of_key = stored(classes.select("key", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component")), "components")
+    out = signed.select("id", "key", "n")
+    if repeated:  # an id's rows share the component of the text that stands for it
+        out = out.drop("key").join(first, "id", "left")
+    out = out.join(of_key, "key", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 

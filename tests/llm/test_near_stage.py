@@ -59,3 +59,50 @@ def test_near_copies_at_0_8(spark, groups, monkeypatch):  # noqa: F811
     for small in (minhash.SMALL, 2):
         monkeypatch.setattr(minhash, "SMALL", small)
         assert {r.id: r.component_id for r in minhash.near_copies(d, threshold=80).collect()} == want
+
+
+def family(kind, n):
+    """Members with own edits (most pairs below the threshold), or one passage in texts that are else their own."""
+    rng, base = random.Random(n), [f"w{k}" for k in range(100)]
+    if kind == "edits":
+        rows = []
+        for _ in range(n):
+            w = list(base)
+            for k in rng.sample(range(100), rng.randint(2, 4)):
+                w[k] = f"x{rng.randrange(10**9)}"
+            rows.append(w)
+        return rows
+    return [base[:60] + [f"x{rng.randrange(10**9)}" for _ in range(rng.randint(5, 40))] for _ in range(n)]
+
+
+@pytest.mark.parametrize(("kind", "threshold"), [("edits", 80), ("edits", 85), ("passage", 80)])
+def test_candidates_grow_with_the_family_not_its_square(spark, monkeypatch, kind, threshold):
+    """Twice the members: no more than 2.3 times the pairs and the exploded shingles, and the right links."""
+    made = {}
+
+    def counted(name, size):
+        plain = getattr(minhash, name)
+
+        def run(*args, **kw):
+            out = plain(*args, **kw)
+            made[name] = made.get(name, 0) + size(out)
+            return out
+
+        monkeypatch.setattr(minhash, name, run)
+
+    counted("listed_pairs", lambda d: d.count())
+    counted("meeting_pairs", lambda d: d.count())
+    counted("likely", lambda d: d.count())
+    counted("meetings", lambda d: d.count())
+    counted("referred", lambda d: d.selectExpr("sum(size(d))").first()[0] or 0)
+    sizes = []
+    for n in (400, 800):
+        made.clear()
+        rows = [(k, " ".join(w)) for k, w in enumerate(family(kind, n))]
+        got = {r.id: r.component_id for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+        assert got == near(rows, threshold)[0]
+        sizes.append(dict(made))
+    small, large = sizes
+    assert large.get("referred", 0) <= 2.3 * max(small.get("referred", 0), 2000), sizes
+    pairs = [sum(n for name, n in x.items() if name != "referred") for x in sizes]
+    assert pairs[1] <= 2.3 * pairs[0], sizes
