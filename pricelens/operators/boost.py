@@ -6,10 +6,11 @@ the weighted training error is read from the leaves on the driver (a tree of dep
 3 has at most 8 leaves) instead of from another pass over the data. The stage
 weight is ``alpha = lr * ln((1 - err) / err)``; misclassified rows get their weight
 multiplied by ``exp(alpha)``, and the new total is known in closed form, so
-normalising costs no pass either. A row's weight after m rounds is a closed form of the
-stages so far (the product of ``exp(alpha)`` over the stages that miss it), a plain column
-over the frame's one stored copy. So lineage never grows, nothing is rewritten, and a
-lost executor recomputes its part from that copy, which is removed after the fit.
+normalising costs no pass either. The exponent of a row's weight is the sum of the alphas
+of the stages that miss it. Every ``FOLD`` rounds it becomes a column of the cached rows, so the
+expression of a round's weights holds no more than ``FOLD`` trees and round 100 costs what
+round 10 does. A lost executor recomputes its rows from the stored copy through the
+folds, one pass with each stage evaluated once; the copy is removed after the fit.
 
 That copy is dealt out by a hash of the row's own values and sorted within each part
 (and kept in executor storage while the fit runs), into a number of parts that doesn't
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from pricelens.session import ensure_checkpoint_dir, remove_folder, shared_folder
 
 C = F.col
+#: Rounds after which the exponents become a column.
+FOLD = 8
 
 
 def tree_spec(tree: DecisionTreeClassificationModel):
@@ -204,7 +207,7 @@ def _fit_stored(stored: DataFrame, feats: list[str], rounds: int, learning_rate:
     if n == 0:
         raise ValueError("no training rows")
     d = base.withColumn("__w", F.lit(1.0 / n))
-    exponent, scale = F.lit(0.0), 1.0 / n
+    exponent, scale, open_trees = F.lit(0.0), 1.0 / n, 0
     trees, alphas = [], []
     for m in range(rounds):
         dt = DecisionTreeClassifier(featuresCol="__features", labelCol="__label", weightCol="__w",
@@ -229,7 +232,12 @@ def _fit_stored(stored: DataFrame, feats: list[str], rounds: int, learning_rate:
         if m == rounds - 1:
             break
         scale /= (1.0 - err) + err * math.exp(alpha)
-        exponent = exponent + F.lit(alpha) * missed(spec, feats)
+        exponent, open_trees = exponent + F.lit(alpha) * missed(spec, feats), open_trees + 1
+        if open_trees == FOLD:
+            folded = base.withColumn("__e", exponent).persist(StorageLevel.MEMORY_AND_DISK)
+            folded.count()
+            base.unpersist()
+            base, exponent, open_trees = folded, C("__e"), 0
         d = base.withColumn("__w", F.exp(exponent) * F.lit(scale))
     base.unpersist()
     return SammeModel.from_trees(feats, trees, alphas)

@@ -81,7 +81,8 @@ def search_pick(hits: DataFrame) -> DataFrame:
 
 def resolve(queries: DataFrame, aliases: DataFrame, bars: DataFrame,
             probe_days: int = 5, quotes: DataFrame | None = None) -> DataFrame:
-    """``queries(query_id, query)`` -> ``(query_id, query, ticker, stage)``."""
+    """``queries(query_id, query)`` -> ``(query_id, query, ticker, stage)``. For the probe, ``bars`` may be
+    the bars or any table of their newest dates (ticker, ts), such as the one beside a bar store."""
     q = queries.withColumn("q", normalize(C("query")))
     al = aliases.select(C("alias"), C("ticker").alias("t"))
     # Every stage joins the distinct strings, so a repeated query id or string multiplies nothing.
@@ -106,3 +107,81 @@ def resolve(queries: DataFrame, aliases: DataFrame, bars: DataFrame,
         "query_id", "query", F.coalesce("t1", "t2", "t3", "t4").alias("ticker"),
         F.when(C("t1").isNotNull(), "alias").when(C("t2").isNotNull(), "suffix")
         .when(C("t3").isNotNull(), "literal").when(C("t4").isNotNull(), "search").alias("stage"))
+
+
+# ----------------------------------------------------------------- fuzzy search
+#: Edits that a query word of at least so many letters may have: (letters, edits), fixed values.
+EDITS = [(6, 2), (3, 1)]
+
+
+def allowed_edits(word) -> F.Column:
+    out = F.lit(0)
+    for letters, edits in reversed(EDITS):
+        out = F.when(F.length(word) >= letters, edits).otherwise(out)
+    return out
+
+
+def words_of(text) -> F.Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: F.length(w) > 0))
+
+
+def deletions(word, depth) -> F.Column:
+    """The word and all that is left of it when up to ``depth`` (0 to 2) letters are taken out."""
+    def without(w):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
+                           lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    one = without(word)
+    two = F.flatten(F.transform(one, without))
+    return F.array_distinct(F.concat(F.array(word), F.when(depth >= 1, one).otherwise(F.array(word)), F.when(depth >= 2, two).otherwise(F.array(word))))
+
+
+def near_words(query_words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(q, w, d): vocabulary words w within the edits that the query word q may have, and their distance.
+
+    Words within k edits have a string in common among what is left of both after up to k deletions, so an
+    equi-join on these finds every pair; the distance is computed for the pairs found only.
+    """
+    q = query_words.select("q", allowed_edits(C("q")).alias("k"))
+    q = q.withColumn("v", F.explode(deletions(C("q"), C("k"))))
+    ks = F.array(*[F.lit(k) for k in range(3)])
+    w = vocabulary.select("w", F.explode(ks).alias("k")).withColumn("v", F.explode(deletions(C("w"), C("k"))))
+    pairs = q.join(w, ["k", "v"]).select("q", "w", "k").distinct()
+    return pairs.withColumn("d", F.levenshtein("q", "w")).where(C("d") <= C("k")).select("q", "w", "d")
+
+
+def fuzzy_hits(quotes: DataFrame, qstrings: DataFrame, k: int = 3) -> DataFrame:
+    """``(q, rk, symbol, kind, score)``: the k best quotes of every query string of ``qstrings.q``.
+
+    A quote is a hit if each word of the query is near some word of its name, in any order and place. Its score
+    is the sum of these distances and, in tenths, of the words it has beyond the query's; ties go by symbol.
+    Each name meets a query at the query's rarest word alone (by the names that have a word near it), and
+    the other words are looked up in the name's own list of words, so a word that a third of all names have
+    is never joined unless a query has nothing else. The best k are cut before the shuffle too.
+    """
+    from pyspark.sql import Window
+    names = quotes.select("symbol", "kind", words_of("name").alias("words"))
+    lists = qstrings.select("q").distinct().withColumn("qw", words_of("q")).where(F.size("qw") > 0)
+    posting = names.select("symbol", "kind", "words", F.explode("words").alias("w"))
+    vocabulary = posting.groupBy("w").agg(F.count("*").alias("df"))
+    asked = lists.select("q", F.size("qw").alias("n"), F.explode("qw").alias("word"))
+    near = near_words(asked.select(C("word").alias("q")).distinct(), vocabulary.select("w")).join(vocabulary, "w").withColumnRenamed("q", "word")
+    per = asked.join(near, "word")
+    rarity = per.groupBy("q", "n", "word").agg(F.sum("df").alias("names"), F.collect_list(F.struct("w", "d")).alias("near"))
+    # a query's words, the rarest first; a word of its own without any near one means no hit at all
+    plan = rarity.groupBy("q", "n").agg(F.sort_array(F.collect_list(F.struct("names", "word", "near"))).alias("parts")).where(F.size("parts") == C("n"))
+    lead = plan.withColumn("lead", F.explode(C("parts")[0]["near"])).select("q", "n", "parts", C("lead.w").alias("w"))
+    met = lead.join(posting, "w").dropDuplicates(["q", "symbol"])
+    best = lambda part: F.array_min(F.transform(F.filter(part["near"], lambda x: F.array_contains(C("words"), x["w"])), lambda x: x["d"]))
+    scored = met.withColumn("ds", F.transform("parts", best)).where(~F.exists("ds", lambda x: x.isNull()))
+    extra = F.greatest(F.size("words") - C("n"), F.lit(0))
+    scored = scored.select("q", "symbol", "kind", (F.aggregate("ds", F.lit(0), lambda s, x: s + x) * 10 + extra).alias("score"))
+    w = Window.partitionBy("q").orderBy("score", "symbol")
+    return scored.withColumn("rk", F.row_number().over(w)).where(C("rk") <= k)
+
+
+def resolve_fuzzy(queries: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``queries(query_id, query)`` -> ``(query_id, query, ticker, score)``: the first acceptable of the best hits."""
+    q = queries.withColumn("q", normalize(C("query")))
+    hits = fuzzy_hits(quotes, q.select("q")).where(C("kind").isin(ACCEPTED_KINDS))
+    pick = hits.groupBy("q").agg(F.min_by(F.struct(F.upper("symbol").alias("ticker"), "score"), "rk").alias("hit"))
+    return q.join(pick, "q", "left").select("query_id", "query", C("hit.ticker").alias("ticker"), C("hit.score").cast("long").alias("score"))

@@ -763,9 +763,18 @@ from pricelens.schema import FEATURES_7, FEATURES_10  # noqa: E402
 MODEL_ROUNDS = 100  # the reference: 100 stages, depth 3, learning rate 0.1
 
 
+_saved: dict[tuple, str] = {}
+
+
 def fitted_model(spark, sf, rounds: int = MODEL_ROUNDS) -> B.SammeModel:
-    """Model trained on the embargo split's train part."""
-    return B.fit_samme(split_frame(spark, sf).where(C("part") == "train"), FEATURES_7, rounds=rounds)
+    """Model trained on the embargo split's train part. Within one application it is fitted and saved once for each
+    set of tables; later queries load it, as a service does that scores with a saved model."""
+    key = (spark.sparkContext.applicationId, str(sf), rounds)
+    if key not in _saved:
+        path = B.model_path(spark)
+        B.fit_samme(split_frame(spark, sf).where(C("part") == "train"), FEATURES_7, rounds=rounds).save(spark, path)
+        _saved[key] = path
+    return B.SammeModel.load(spark, _saved[key])
 
 
 @register("boost_fit")
@@ -781,7 +790,8 @@ def q_boost_importance(spark, sf):
     return T.importance_table(spark, fitted_model(spark, sf))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", S.with_(S.BARS, *S.TRAINING, recursive=True) + """
+SELECT ticker, ts, true AS same FROM parts WHERE part = 'test'""")
 def q_model_roundtrip(spark, sf):
     """Save, reload and score the test rows; both models must agree row by row."""
     m = fitted_model(spark, sf)
@@ -791,8 +801,7 @@ def q_model_roundtrip(spark, sf):
     test = split_frame(spark, sf).where(C("part") == "test")
     a = m.transform(test).select("ticker", "ts", C("decision").alias("d1"))
     b = m2.transform(test).select("ticker", "ts", C("decision").alias("d2"))
-    return a.join(b, ["ticker", "ts"]).select("ticker", "ts", "d1", "d2",
-                                              (C("d1") == C("d2")).alias("same"))
+    return a.join(b, ["ticker", "ts"]).select("ticker", "ts", (C("d1") == C("d2")).alias("same"))
 
 
 def latest_features(spark, sf, bars: DataFrame | None = None) -> DataFrame:
@@ -867,7 +876,7 @@ def q_importance_text(spark, sf):
 
 @register("train_run")
 def q_train_run(spark, sf):
-    bars = restrict_period(L.min_history(D.bars(spark, sf)), 10)
+    bars = L.min_history(restrict_period(D.bars(spark, sf), 10))  # the period first: what is left must be long enough
     split = L.embargo_split(L.usable_rows(I.add_label(I.indicators_core(prepare(bars)), 30)))
     rpt = bars.groupBy("ticker").agg(F.count("*").alias("n_rows"))
     model, rec = T.train_run(split, D.universe(spark, sf), rpt, rounds=MODEL_ROUNDS)
@@ -962,3 +971,70 @@ SELECT ticker, position, title,
 FROM r WHERE rank <= 10""")
 def q_news_cards(spark, sf):
     return P.news_cards(P.news_flatten(D.news_nested(spark, sf), 10), 280)
+
+
+# --------------------------------------------------------------------------- across instruments and dates
+from pricelens.operators import cross as X  # noqa: E402
+
+
+@register("asof_profile", S.with_(S.BARS, S.FUNDAMENTALS) + """
+SELECT b.ticker, b.ts, b.close, f.as_of, round(f.revenue, 2) AS revenue, f.n_orders,
+       date_diff('day', f.as_of::DATE, b.ts::DATE) AS age_days
+FROM bars b ASOF LEFT JOIN fundamentals f ON b.ticker = f.ticker AND b.ts >= f.as_of""")
+def q_asof_profile(spark, sf):
+    """Bars with the newest figures that were out on the day."""
+    d = X.asof_join(D.bars(spark, sf).select("ticker", "ts", "close"), D.fundamentals(spark, sf), ["revenue", "n_orders"])
+    return rnd(d, {"revenue": 2}).withColumn("age_days", F.date_diff(C("ts").cast("date"), C("as_of").cast("date")).cast("long"))
+
+
+@register("walk_forward_folds", S.with_(S.BARS, *S.TRAINING[:-1], recursive=True) + """,
+rows AS (SELECT ticker, ts, target, (macd_hist > 0)::INTEGER AS prediction,
+                lead(ts, 30) OVER (PARTITION BY ticker ORDER BY ts) AS label_end FROM usable),
+dates AS (SELECT ts, least(((row_number() OVER (ORDER BY ts) - 1) * 6) // count(*) OVER (), 5) AS fold FROM (SELECT DISTINCT ts FROM usable)),
+folds AS (SELECT fold, min(ts) AS start, max(ts) AS stop FROM dates WHERE fold > 0 GROUP BY fold),
+parts AS (SELECT f.fold, r.*, CASE WHEN r.ts >= f.start THEN 'test' WHEN r.label_end < f.start THEN 'train' ELSE 'purged' END AS part
+          FROM rows r JOIN folds f ON r.ts <= f.stop),
+g AS (SELECT fold, count_if(part = 'train') AS train_rows, count_if(part = 'purged') AS purged_rows, count_if(part = 'test') AS test_rows,
+             avg(target) FILTER (part = 'train') AS train_up, avg(target) FILTER (part = 'test') AS test_up,
+             avg((prediction = target)::INTEGER) FILTER (part = 'test') AS accuracy FROM parts GROUP BY fold)
+SELECT fold::INTEGER AS fold, train_rows, purged_rows, test_rows, round(train_up, 8) AS train_up, round(test_up, 8) AS test_up,
+       round(accuracy, 8) AS accuracy, round(CASE WHEN train_up > 0.5 THEN test_up WHEN train_up IS NOT NULL THEN 1 - test_up END, 8) AS majority_acc FROM g""")
+def q_walk_forward_folds(spark, sf):
+    """Expanding folds by date; labels that reach into a test part are purged from its training part."""
+    u = L.usable_rows(training_frame(spark, sf)).select("ticker", "ts", "target", (C("macd_hist") > 0).cast("int").alias("prediction"))
+    return rnd(X.fold_metrics(X.walk_forward(u, 5, 30)), {c: 8 for c in ("train_up", "test_up", "accuracy", "majority_acc")})
+
+
+MOMENTUM_SQL = S.with_(S.BARS) + """,
+m AS (SELECT ticker, sector, ts, close / lag(close, 20) OVER (PARTITION BY ticker ORDER BY ts) - 1 AS momentum FROM bars)"""
+
+
+def momentum(spark, sf) -> DataFrame:
+    d = prepare(D.bars(spark, sf))
+    return d.select("ticker", "sector", "ts", (C("close") / F.lag("close", 20).over(series_window()) - 1).alias("momentum"))
+
+
+@register("sector_momentum", MOMENTUM_SQL + """,
+g AS (SELECT *, sum(momentum) OVER w AS s, count(momentum) OVER w AS n FROM m WINDOW w AS (PARTITION BY sector, ts))
+SELECT ticker, sector, ts, round(momentum, 8) AS momentum,
+       round(CASE WHEN n > 1 AND momentum IS NOT NULL THEN (s - momentum) / (n - 1) END, 8) AS peers,
+       round(CASE WHEN n > 1 THEN momentum - (s - momentum) / (n - 1) END, 8) AS relative FROM g""")
+def q_sector_momentum(spark, sf):
+    """20-bar momentum against the mean of the sector's other instruments on the day."""
+    return rnd(X.sector_relative(momentum(spark, sf), "momentum"), {"momentum": 8, "peers": 8, "relative": 8})
+
+
+@register("cross_rank", MOMENTUM_SQL + """,
+r AS (SELECT ticker, ts, round(momentum, 4) + 0.0 AS momentum FROM m)
+SELECT ticker, ts, momentum, CASE WHEN momentum IS NOT NULL THEN (rank() OVER w)::DOUBLE END AS rank,
+       CASE WHEN momentum IS NOT NULL THEN (count(*) OVER (PARTITION BY ts, momentum IS NULL))::DOUBLE END AS n,
+       round(CASE WHEN momentum IS NOT NULL THEN percent_rank() OVER w END, 8) AS pct_rank
+FROM r WINDOW w AS (PARTITION BY ts, momentum IS NULL ORDER BY momentum)""")
+def q_cross_rank(spark, sf):
+    """Rank of every instrument's momentum among all instruments of the day (ties by four decimals)."""
+    d = momentum(spark, sf).select("ticker", "ts", (F.round("momentum", 4) + 0.0).alias("momentum"))
+    d = X.cross_rank(d, "momentum")
+    return rnd(d.withColumns({c: C(c).cast("double") for c in ("rank", "n")}), {"pct_rank": 8})
+
+
+from pricelens.plans import more  # noqa: E402,F401  (registers further queries)

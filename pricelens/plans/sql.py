@@ -220,3 +220,9 @@ RUN_LOG = """run_log AS (
 
 WS = (r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
       r"\x{202f}\x{205f}\x{3000}]")
+
+FUNDAMENTALS = """fundamentals AS (
+  SELECT n_name AS ticker, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS as_of,
+         sum(o_totalprice) AS revenue, count(*) AS n_orders
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  GROUP BY n_name, date_trunc('month', o_orderdate))"""

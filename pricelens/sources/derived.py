@@ -176,3 +176,27 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count("*").alias("total_rows"),
                  F.avg((C("l_discount") > 0.05).cast("double")).alias("accuracy"),
                  F.avg((C("l_quantity") > 25).cast("double")).alias("baseline_always_up_acc"))
+
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated company figures: the orders of a nation's customers by month, published when the month is over."""
+    od = read_table(spark, sf_dir, "orders", "o_custkey", "o_orderdate", "o_totalprice")
+    cu = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    nat = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    g = od.join(cu, od.o_custkey == cu.c_custkey).groupBy("c_nationkey", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(
+        F.sum("o_totalprice").alias("revenue"), F.count("*").alias("n_orders"))
+    return g.join(F.broadcast(nat), g.c_nationkey == nat.n_nationkey).select(
+        C("n_name").alias("ticker"), (C("month") + F.expr("INTERVAL 1 MONTH")).alias("as_of"), "revenue", "n_orders")
+
+
+def misspelt_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search string per part with mistakes, by p_partkey % 5: the name without its third letter, the name's words
+    turned round, its last word with two letters swapped, an unknown word, or the name as it is."""
+    pt = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
+    k, n = F.pmod(C("p_partkey"), F.lit(5)), C("p_name")
+    last = F.element_at(F.split(n, " "), -1)
+    swapped = F.concat(F.substring(last, 1, 1), F.substring(last, 3, 1), F.substring(last, 2, 1), F.expr("substring(element_at(split(p_name, ' '), -1), 4)"))
+    q = (F.when(k == 0, F.concat(F.substring(n, 1, 2), F.expr("substring(p_name, 4)")))
+         .when(k == 1, F.array_join(F.reverse(F.split(n, " ")), " ")).when(k == 2, swapped)
+         .when(k == 3, F.concat(n, F.lit(" zzzzzz"))).otherwise(n))
+    return pt.select(C("p_partkey").alias("query_id"), q.alias("query"))
