@@ -194,3 +194,24 @@ def q_fixed_metrics(spark, sf):
     out = r.select("accuracy", C("baseline_always_up_acc").alias("baseline"), C("lift_over_baseline_pp").alias("lift"), "confusion_matrix.*", "roc_auc", "down_precision",
                    "down_recall", "train_rows", "test_rows", "train_up_pct", "test_up_pct", "total_rows", F.array_join("tickers_used", ",").alias("tickers_used"), sectors.alias("sector_accuracy"))
     return rnd(out, {"lift": 6, "roc_auc": 8, "down_precision": 8, "down_recall": 8, "train_up_pct": 6, "test_up_pct": 6})
+
+
+# --------------------------------------------------------------------------- indicator state
+#: Ends of the micro-batches in which the query replays the bars (fixed values of this query).
+EPOCHS = [dt.datetime(1993, 5, 1), dt.datetime(1996, 1, 1), dt.datetime(1998, 6, 1), dt.datetime(2100, 1, 1)]
+STATE_ROUND = {"rsi": 4, "macd": 2, "macd_hist": 2, "bb_position": 6, "volume_ratio": 6, "volatility": 6, "daily_return": 8, "sma_50": 6, "sma_200": 6, "drawdown": 6}
+
+
+@register("state_features", S.with_(S.BARS, *S.INDICATORS, recursive=True) + """
+SELECT ticker, ts, close, n_rows, """ + ", ".join(f"round({c}, {n}) AS {c}" for c, n in STATE_ROUND.items()) + """
+FROM ind WHERE pos = n_rows - 1""")
+def q_state_features(spark, sf):
+    """Indicators of every newest bar out of a state that took the bars in batches, each batch with the one before again."""
+    from pricelens.streaming import state as ST
+    bars, now, path = D.bars(spark, sf), ST.empty_state(spark), shared_folder(spark, "state")
+    for epoch, end in enumerate(EPOCHS):
+        start = EPOCHS[epoch - 2] if epoch > 1 else dt.datetime(1900, 1, 1)
+        batch = bars.where((C("ts") >= F.lit(start).cast("timestamp_ntz")) & (C("ts") < F.lit(end).cast("timestamp_ntz")))
+        ST.advance(now, batch, epoch).write.parquet(f"{path}/epoch={epoch}")
+        now = ST.read_state(spark, path)
+    return rnd(ST.features(now).select("ticker", "ts", "close", "n_rows", *STATE_ROUND), STATE_ROUND)
