@@ -173,3 +173,84 @@ def news_cards(flat: DataFrame, width: int = 280) -> DataFrame:
     return flat.select("ticker", "position", "title",
                        truncate_text(C("summary"), width, "...").alias("summary_short"),
                        news_date(C("date")).alias("date_text"))
+
+
+# Sections, labels, fields and formats of the fundamentals cards (fixed values).
+CARDS = [
+    ("Valuation", "P/E (trailing)", "trailingPE", "num"), ("Valuation", "P/E (forward)", "forwardPE", "num"), ("Valuation", "PEG ratio", "pegRatio", "num"),
+    ("Valuation", "Price/Book", "priceToBook", "num"), ("Valuation", "Price/Sales", "priceToSalesTrailing12Months", "num"),
+    ("Valuation", "EV/EBITDA", "enterpriseToEbitda", "num"), ("Valuation", "52w High", "fiftyTwoWeekHigh", "usd"), ("Valuation", "52w Low", "fiftyTwoWeekLow", "usd"),
+    ("Growth", "Revenue Growth", "revenueGrowth", "pct"), ("Growth", "Earnings Growth", "earningsGrowth", "pct"), ("Growth", "EPS (TTM)", "trailingEps", "usd"),
+    ("Growth", "Profit Margin", "profitMargins", "pct"), ("Growth", "Operating Margin", "operatingMargins", "pct"), ("Growth", "Gross Margin", "grossMargins", "pct"),
+    ("Growth", "ROE", "returnOnEquity", "pct"), ("Growth", "ROA", "returnOnAssets", "pct"),
+    ("Balance", "Debt/Equity", "debtToEquity", "num"), ("Balance", "Current Ratio", "currentRatio", "num"), ("Balance", "Quick Ratio", "quickRatio", "num"),
+    ("Balance", "Total Cash", "totalCash", "billions"), ("Balance", "Total Debt", "totalDebt", "billions"), ("Balance", "Dividend Yield", "dividendYield", "smart"),
+    ("Balance", "Payout Ratio", "payoutRatio", "pct"), ("Balance", "Beta", "beta", "num"),
+    ("Analysts", "Avg target", "targetMeanPrice", "usd"), ("Analysts", "Low target", "targetLowPrice", "usd"), ("Analysts", "High target", "targetHighPrice", "usd"),
+    ("Analysts", "Consensus", "recommendationKey", "word"), ("Analysts", "# Analysts", "numberOfAnalystOpinions", "plain"),
+]
+# Labels and fields of the briefing's block, whose values are printed as they are (fixed values).
+PLAIN_LINES = [
+    ("P/E (trailing)", "trailingPE"), ("P/E (forward)", "forwardPE"), ("PEG ratio", "pegRatio"), ("Price/Book", "priceToBook"),
+    ("Price/Sales", "priceToSalesTrailing12Months"), ("Revenue Growth", "revenueGrowth"), ("Earnings Growth", "earningsGrowth"), ("Profit Margin", "profitMargins"),
+    ("Operating Margin", "operatingMargins"), ("ROE", "returnOnEquity"), ("ROA", "returnOnAssets"), ("Debt/Equity", "debtToEquity"), ("Current Ratio", "currentRatio"),
+    ("Dividend Yield", "dividendYield"), ("Payout Ratio", "payoutRatio"), ("Beta", "beta"), ("Analyst Target", "targetMeanPrice"), ("Analyst Rating", "recommendationKey"),
+]
+
+
+def plain(x) -> F.Column:
+    """A number as its shortest decimal form, without exponent from 0.0001 up to 1e16: '0.0005', '12.0', '25000000.0', '7.3e-06'."""
+    s = x.cast("string")
+    digits = F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    digits = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    power = F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int")
+    short = F.concat(F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"),
+                     F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    return F.when(s.contains("E"), F.when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), digits).otherwise(short)).otherwise(s)
+
+
+def _card(field: str, kind: str) -> F.Column:
+    c = C(field)
+    if kind == "word":
+        return F.when(F.length(c) > 0, F.upper(c)).otherwise("N/A")
+    if kind == "plain":
+        return F.coalesce(c.cast("string"), F.lit("N/A"))
+    if kind == "billions":  # zero counts as missing here
+        return F.when(c != 0, F.concat(F.lit("$"), fixed(c / 1e9, 1), F.lit("B"))).otherwise("N/A")
+    return {"num": lambda: fmt_num(c), "usd": lambda: fmt_num(c, 2, "$"), "pct": lambda: fmt_pct(c), "smart": lambda: fmt_pct_smart(c)}[kind]()
+
+
+def fundamentals_cards(info: DataFrame) -> DataFrame:
+    """(ticker, section, position, label, value): every card of each company's figures; a field that the table lacks is 'N/A'."""
+    have = set(info.columns)
+    cards = [F.struct(F.lit(s).alias("section"), F.lit(k).alias("position"), F.lit(label).alias("label"), (_card(f, kind) if f in have else F.lit("N/A")).alias("value"))
+             for k, (s, label, f, kind) in enumerate(CARDS)]
+    return info.select("ticker", F.explode(F.array(*cards)).alias("card")).select("ticker", "card.*")
+
+
+def company_profile(info: DataFrame) -> DataFrame:
+    """The head of a briefing: who the company is, its size and range, and the block of figures printed as they are."""
+    have = set(info.columns)
+    text = lambda f, other: F.coalesce(C(f), other) if f in have else other
+    number = lambda f: F.coalesce(C(f), F.lit(0.0)) if f in have else F.lit(0.0)
+    value = lambda f: F.lit("N/A") if f not in have else F.coalesce(C(f) if f == "recommendationKey" else plain(C(f)), F.lit("N/A"))
+    lines = [
+        F.concat(F.lit("COMPANY: "), text("longName", C("ticker"))), F.concat(F.lit("SECTOR: "), text("sector", F.lit("Unknown"))),
+        F.concat(F.lit("INDUSTRY: "), text("industry", F.lit("Unknown"))), F.concat(F.lit("MARKET CAP: $"), fixed(number("marketCap"), 0, thousands=True)),
+        F.concat(F.lit("52W RANGE: $"), fixed(number("fiftyTwoWeekLow"), 2), F.lit(" – $"), fixed(number("fiftyTwoWeekHigh"), 2)),
+        F.concat(F.lit("EMPLOYEES: "), text("fullTimeEmployees", F.lit(None)).cast("string") if "fullTimeEmployees" in have else F.lit("N/A")),
+        F.concat(F.lit("DESCRIPTION: "), F.coalesce(truncate_text(C("longBusinessSummary"), 600), F.lit("")) if "longBusinessSummary" in have else F.lit("")),
+        *[F.concat(F.lit(f"{label}: {'$' if f == 'targetMeanPrice' else ''}"), value(f)) for label, f in PLAIN_LINES]]
+    lines[5] = F.coalesce(lines[5], F.lit("EMPLOYEES: N/A"))
+    return info.select("ticker", F.concat_ws("\n", *lines).alias("profile"))
+
+
+def trend_lines(newest: DataFrame) -> DataFrame:
+    """Price with the day's change, averages, oscillators and the trend of each newest bar; a missing number prints as zero."""
+    v = lambda c, n: fixed(F.coalesce(C(c), F.lit(0.0)), n)
+    change = F.when(C("previous") != 0, (C("close") - C("previous")) / C("previous") * 100)
+    trend = F.when(F.coalesce("sma_50", F.lit(0.0)) > F.coalesce("sma_200", F.lit(0.0)), "GOLDEN CROSS (bullish)").otherwise("DEATH CROSS (bearish)")
+    lines = [F.concat(F.lit("CURRENT PRICE: $"), v("close", 2), F.lit(" (today "), fixed(F.coalesce(change, F.lit(0.0)), 2, plus=True), F.lit("%)")),
+             F.concat(F.lit("SMA 50: $"), v("sma_50", 2), F.lit(" SMA 200: $"), v("sma_200", 2)),
+             F.concat(F.lit("RSI: "), v("rsi", 1), F.lit(" Stochastic %K: "), v("stoch_k", 1)), F.concat(F.lit("ATR: "), v("atr", 2)), F.concat(F.lit("Trend: "), trend)]
+    return newest.select("ticker", F.concat_ws("\n", *lines).alias("trend"))

@@ -215,3 +215,50 @@ def q_state_features(spark, sf):
         ST.advance(now, batch, epoch).write.parquet(f"{path}/epoch={epoch}")
         now = ST.read_state(spark, path)
     return rnd(ST.features(now).select("ticker", "ts", "close", "n_rows", *STATE_ROUND), STATE_ROUND)
+
+
+# --------------------------------------------------------------------------- company texts
+INFO = """info AS (SELECT s_name AS ticker, CASE WHEN s_suppkey % 5 > 0 THEN s_name || ' Ltd' END AS longName, CASE WHEN s_suppkey % 4 > 0 THEN 'Industry ' || s_suppkey % 4 END AS industry,
+  (['buy', 'hold', NULL, ''])[s_suppkey % 4 + 1] AS recommendationKey, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey * 37 END AS fullTimeEmployees,
+  CASE WHEN s_suppkey % 3 < 2 THEN s_suppkey END AS numberOfAnalystOpinions,
+  CASE WHEN s_suppkey % 6 > 0 THEN repeat(s_name || ' é ', s_suppkey % 50 + 1) END AS longBusinessSummary, """ + ", ".join(
+    f"CASE (s_suppkey * 3 + {i}) % 6 WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN s_acctbal / 1e7 WHEN 3 THEN s_acctbal / -1000 WHEN 4 THEN s_acctbal * {i} WHEN 5 THEN s_acctbal * 1e6 END AS {f}"
+    for i, f in enumerate(D.INFO_NUMBERS)) + " FROM supplier)"
+SHOWN = {
+    "num": "coalesce(printf('%.2f', {0}), 'N/A')", "usd": "coalesce('$' || printf('%.2f', {0}), 'N/A')", "pct": "coalesce(printf('%.1f%%', {0} * 100), 'N/A')",
+    "smart": "CASE WHEN {0} IS NULL THEN 'N/A' WHEN {0} = 0 THEN '0.0%' WHEN abs({0}) >= 1 THEN printf('%.2f%%', {0}) ELSE printf('%.2f%%', {0} * 100) END",
+    "billions": "CASE WHEN {0} <> 0 THEN printf('$%.1fB', {0} / 1e9) ELSE 'N/A' END", "word": "coalesce(upper(nullif({0}, '')), 'N/A')", "plain": "coalesce({0}::VARCHAR, 'N/A')",
+}
+
+
+@register("fundamentals_cards", S.with_(INFO) + " UNION ALL ".join(
+    f"SELECT ticker, '{s}' AS section, {k} AS position, '{label}' AS label, {SHOWN[kind].format(f)} AS value FROM info" for k, (s, label, f, kind) in enumerate(P.CARDS)))
+def q_fundamentals_cards(spark, sf):
+    """All cards of every company, with missing, zero, negative and large figures."""
+    return P.fundamentals_cards(D.company_info(spark, sf))
+
+
+@register("company_profile", S.with_(INFO) + """
+SELECT ticker, concat_ws(chr(10), 'COMPANY: ' || coalesce(longName, ticker), 'SECTOR: Unknown', 'INDUSTRY: ' || coalesce(industry, 'Unknown'),
+  'MARKET CAP: $' || CASE WHEN marketCap < 0 THEN '-' ELSE '' END || format('{:,}', abs(round_even(coalesce(marketCap, 0), 0)::BIGINT)),
+  '52W RANGE: $' || printf('%.2f', coalesce(fiftyTwoWeekLow, 0)) || ' – $' || printf('%.2f', coalesce(fiftyTwoWeekHigh, 0)),
+  'EMPLOYEES: ' || coalesce(fullTimeEmployees::VARCHAR, 'N/A'), 'DESCRIPTION: ' || left(coalesce(longBusinessSummary, ''), 600), """ + ", ".join(
+    f"'{label}: {'$' if f == 'targetMeanPrice' else ''}' || coalesce({f}::VARCHAR, 'N/A')" for label, f in P.PLAIN_LINES) + """) AS profile FROM info""")
+def q_company_profile(spark, sf):
+    """Head of the briefing and its block of figures."""
+    return P.company_profile(D.company_info(spark, sf))
+
+
+@register("trend_text", S.with_(S.BARS, *S.INDICATORS, recursive=True) + """,
+t AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS previous FROM ind),
+z AS (SELECT ticker, close, previous, coalesce(sma_50, 0) AS sma_50, coalesce(sma_200, 0) AS sma_200, coalesce(rsi, 0) AS rsi, coalesce(stoch_k, 0) AS stoch_k, coalesce(atr, 0) AS atr
+      FROM t WHERE pos = n_rows - 1)
+SELECT ticker, printf('CURRENT PRICE: $%.2f (today %+.2f%%)', close, coalesce((close - previous) / nullif(previous, 0) * 100, 0)) || chr(10)
+  || printf('SMA 50: $%.2f SMA 200: $%.2f', round(sma_50, 6), round(sma_200, 6)) || chr(10) || printf('RSI: %.1f Stochastic %%K: %.1f', rsi, stoch_k) || chr(10)
+  || printf('ATR: %.2f', round(atr, 6)) || chr(10) || 'Trend: ' || CASE WHEN sma_50 > sma_200 THEN 'GOLDEN CROSS (bullish)' ELSE 'DEATH CROSS (bearish)' END AS trend FROM z""")
+def q_trend_text(spark, sf):
+    """Trend block of every newest bar."""
+    from pricelens.operators import indicators as I
+    from pricelens.operators.summary import with_extent
+    d = with_extent(I.lag_col(I.indicators_full(D.bars(spark, sf)), 1, "close", "previous")).where("rpos = 0")
+    return P.trend_lines(rnd(d, {"sma_50": 6, "sma_200": 6, "atr": 6}))

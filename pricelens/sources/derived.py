@@ -200,3 +200,27 @@ def misspelt_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k == 1, F.array_join(F.reverse(F.split(n, " ")), " ")).when(k == 2, swapped)
          .when(k == 3, F.concat(n, F.lit(" zzzzzz"))).otherwise(n))
     return pt.select(C("p_partkey").alias("query_id"), q.alias("query"))
+
+
+# Number fields of the company table, in the order in which they draw from the supplier's balance (fixed values of this fixture).
+INFO_NUMBERS = ["trailingPE", "forwardPE", "pegRatio", "priceToBook", "priceToSalesTrailing12Months", "enterpriseToEbitda", "fiftyTwoWeekHigh", "fiftyTwoWeekLow",
+                "revenueGrowth", "earningsGrowth", "trailingEps", "profitMargins", "operatingMargins", "grossMargins", "returnOnEquity", "returnOnAssets", "debtToEquity",
+                "currentRatio", "quickRatio", "totalCash", "totalDebt", "dividendYield", "payoutRatio", "beta", "targetMeanPrice", "targetLowPrice", "targetHighPrice", "marketCap"]
+
+
+def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company per supplier with every field of the profile; by (3 * key + field) % 6 a number is missing, zero, small,
+    negative, in the thousands or in the millions, and texts are missing, empty or long."""
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_acctbal")
+    k, v = C("s_suppkey"), C("s_acctbal")
+
+    def number(i):
+        m = F.pmod(k * 3 + i, F.lit(6))
+        return F.when(m == 1, F.lit(0.0)).when(m == 2, v / 1e7).when(m == 3, v / -1000).when(m == 4, v * i).when(m == 5, v * 1e6)
+
+    word = F.element_at(F.array(F.lit("buy"), F.lit("hold"), F.lit(None), F.lit("")), (F.pmod(k, F.lit(4)) + 1).cast("int"))
+    return s.select(C("s_name").alias("ticker"), F.when(F.pmod(k, F.lit(5)) > 0, F.concat(C("s_name"), F.lit(" Ltd"))).alias("longName"),
+                    F.when(F.pmod(k, F.lit(4)) > 0, F.concat(F.lit("Industry "), F.pmod(k, F.lit(4)))).alias("industry"), word.alias("recommendationKey"),
+                    F.when(F.pmod(k, F.lit(3)) > 0, k * 37).alias("fullTimeEmployees"), F.when(F.pmod(k, F.lit(3)) < 2, k).alias("numberOfAnalystOpinions"),
+                    F.when(F.pmod(k, F.lit(6)) > 0, F.repeat(F.concat(C("s_name"), F.lit(" é ")), (F.pmod(k, F.lit(50)) + 1).cast("int"))).alias("longBusinessSummary"),
+                    *[number(i).alias(f) for i, f in enumerate(INFO_NUMBERS)])

@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from frames import SF001, to_spark, walk
 
 import __spark_entry__ as E
@@ -30,7 +31,8 @@ def duck():
 
 
 @pytest.mark.parametrize("name", ["asof_profile", "walk_forward_folds", "sector_momentum", "cross_rank", "bars_landed", "resolve_literal",
-                                  "resolve_fuzzy", "fixed_scores", "fixed_latest", "fixed_importance_text", "fixed_metrics"])
+                                  "resolve_fuzzy", "fixed_scores", "fixed_latest", "fixed_importance_text", "fixed_metrics",
+                                  "fundamentals_cards", "company_profile", "trend_text"])
 def test_oracle(spark, duck, name):
     assert compare(E.queries()[name](spark, SF001).toPandas(), duck.sql(E.oracle_sql()[name]).df()) is None
 
@@ -131,3 +133,11 @@ def test_fuzzy_finds_misspelt_and_turned_names(spark):
     d = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
     got = {r.query_id: (r.ticker, r.score) for r in R.resolve_fuzzy(d, quotes).collect()}
     assert got == {0: ("X1", 2), 1: ("X1", 11), 2: ("X1", 22), 3: ("X3", 10), 4: (None, None), 5: (None, None), 6: (None, None), 7: (None, None)}
+
+
+def test_plain_numbers(spark):
+    from pricelens.operators.report import plain
+    rng = random.Random(1)
+    values = [0.0, -0.0, 1.0, 0.1, 1e-4, 9.9e-5, 7.3e-6, 1e7, 12345678.9, 1e15, 1e16, -2.5e20, 1e100] + [rng.uniform(-1, 1) * 10**rng.randint(-12, 18) for _ in range(300)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", plain(F.col("x")).alias("s")).collect()
+    assert [(r.x, r.s) for r in got if r.s != repr(r.x)] == []
