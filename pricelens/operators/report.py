@@ -201,7 +201,7 @@ PLAIN_LINES = [
 def plain(x) -> F.Column:
     """A number as its shortest decimal form, without exponent from 0.0001 up to 1e16: '0.0005', '12.0', '25000000.0', '7.3e-06'."""
     s = x.cast("string")
-    digits = F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    digits = F.regexp_replace(s.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
     digits = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
     power = F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int")
     short = F.concat(F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"),
