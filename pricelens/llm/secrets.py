@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings, in built-in functions only.
 
-A candidate is a run of a character class that is as long as the class's window and holds a digit. A
+A candidate is a run of a character class that is as long as the class's window, with digits or without. A
 window slides over it; the counts of its characters, and the sum of c log2 c over them, change by one
 character leaving and one entering, which gives the Shannon entropy at each place. The part between the
 first and the last window at or above the class's threshold is a span, unless the allow list names the
@@ -25,8 +25,9 @@ CLASSES = [
     ("entropy_hex", "0-9a-fA-F", "0123456789abcdefABCDEF", 20, 3.0),
     ("entropy_base64", "A-Za-z0-9+/_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 24, 3.9),
 ]
-#: Allow list: candidates that are no secrets, and what stands before a digest that is meant to be public.
+#: Allow list: candidates that are no secrets (the last line: joined words, plain or in camel case), and what stands before a digest that is meant to be public.
 ALLOWED = (r"(?i)example|placeholder|dummy|changeme|0123456789|abcdefghij|x{6}|^[0-9]+$|^[A-Za-z]+([-_/+][A-Za-z]+)+[-_/]?[0-9]{1,4}$"
+           r"|^(?-i:[A-Z]?[a-z]++(?:[-_/+][A-Z]?[a-z]++)++[-_/+]?|[A-Z]?[a-z]{2,}+(?:[A-Z][a-z]{2,}+)++)$"
            r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 PUBLIC_BEFORE = r"(?i)(sha-?(1|256|384|512)|md5|checksum|digest|integrity|etag|commit|revision|uuid)[\x20:=\"'_-]{0,4}$"
 BEFORE = 24
@@ -35,9 +36,8 @@ ENTRY = "array<struct<start:int,no:int,end:int>>"
 
 
 def candidate(chars: str, window: int) -> str:
-    """Whole runs of the class, long enough and with a digit."""
-    other = chars.replace("0-9", "")
-    return f"(?<![{chars}])(?=[{other}]*+[0-9])[{chars}]{{{window},}}+"
+    """Whole runs of the class that are long enough."""
+    return f"(?<![{chars}])[{chars}]{{{window},}}+"
 
 
 def hot_part(s: Column, alphabet: str, window: int, least: float) -> Column:

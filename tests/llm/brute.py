@@ -64,7 +64,7 @@ def spans(text):
     for k, (_, chars, _, size, least) in enumerate(secrets.CLASSES):
         for m in re.finditer(f"[{chars}]+", text):
             s = m[0]
-            if len(s) < size or not re.search("[0-9]", s) or inside(m.start(), m.end()):
+            if len(s) < size or inside(m.start(), m.end()):
                 continue
             if re.search(secrets.ALLOWED, s) or re.search(secrets.PUBLIC_BEFORE, text[max(0, m.start() - secrets.BEFORE):m.start()]):
                 continue
