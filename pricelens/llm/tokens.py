@@ -131,8 +131,9 @@ def cached(docs: DataFrame, path: str, cache: str, keep: list[str], text: str =
 
     The key is the SHA-256 of the normalised content (null becomes empty; bytes stay, since the
     byte-level tokenizer tells all of them apart) with the tokenizer's version digest. A text is encoded
-    once however many rows hold it: distinct misses are made by a map-side combined aggregate, so a text
-    that a third of all rows share reaches the shuffle once a task. Two runs that append at once store
+    once however many rows hold it: distinct texts are made first, by a map-side combined aggregate, so a text
+    that a third of all rows share reaches the shuffle once a task; only these meet the stored digests. The counts
+    come back to rows without texts, by an equi-join that the planner splits where a digest is hot. Two runs that append at once store
     a digest twice with the same count; reading takes one. The cache folder may be missing at first.
     """
     spark, version = docs.sparkSession, digest_of(path)
@@ -145,7 +146,7 @@ def cached(docs: DataFrame, path: str, cache: str, keep: list[str], text: str =
     def stored_counts():
         return spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    misses = keyed.join(stored_counts().select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(stored_counts().select("digest"), "digest", "left_anti")
     counts(misses, path).withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
     return keyed.drop("text").join(stored_counts(), "digest", "left").select("row", "n_bytes", "n_tokens")
 

@@ -117,6 +117,35 @@ def test_secrets(spark, docs, empty):
     assert secrets.op1_secret_scan(empty).count() == 0
 
 
+def test_secrets_of_letters_alone(spark):
+    """Random letters are found without a digit among them; joined words, camel case and long words aren't."""
+    rng = random.Random(5)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40)) for _ in range(200)]
+    prose = ["state-of-the-art-machine-learning-pipelines", "usr/local/share/documentation/packages", "getCustomerAccountBalanceForPeriod", "Donaudampfschifffahrtsgesellschaft",
+             "gggggggggggggggggggggggggggggggggggg", "------------------------------------", "antidisestablishmentarianism"]
+    d = spark.createDataFrame([(k, f"key {t} end") for k, t in enumerate([*keys, *prose])], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.op1_secret_scan(d).collect()}
+    assert sum("entropy_base64:" in got[k] for k in range(200)) >= 195
+    assert [prose[k - 200] for k in got if k >= 200 and got[k]] == []
+    docs = table(spark, SF, "documents")
+    letters = secrets.scan(docs, ["doc_id"]).select(F.explode(F.transform("spans", lambda x: F.substring(F.col("text"), x.start + 1, x.end - x.start))).alias("s"))
+    assert letters.where("s rlike '^[A-Za-z/_+-]+$'").count() == 0
+
+
+def test_token_counts_with_a_hot_text_and_a_stored_cache(spark, tmp_path):
+    """A text that a third of the rows share is encoded once, and not at all when the cache has it."""
+    rows = [(k, "one text that many rows share " * 50 if k % 3 == 0 else f"text {k}") for k in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    first = tokens.cached(d, path, cache, ["doc_id"]).select("row.doc_id", "n_tokens").collect()
+    assert spark.read.parquet(cache).count() == 2001
+    again = tokens.cached(d.union(spark.createDataFrame([(5000, "a new text")], d.schema)), path, cache, ["doc_id"]).select("row.doc_id", "n_tokens").collect()
+    assert spark.read.parquet(cache).count() == 2002
+    want = {t: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for t in (rows[0][1], rows[1][1])}
+    assert {r.n_tokens for r in first if r.doc_id % 3 == 0} == {want[rows[0][1]]} and len(again) == 3001
+    assert sorted(map(tuple, first)) == sorted(tuple(r) for r in again if r.doc_id != 5000)
+
+
 def test_secrets_stage_masks_every_span(spark, docs):
     out = stages.secrets(spark, docs.withColumn("n_chars", F.length("text")), SF)
     assert out.columns == [*docs.columns, "n_chars"]
