@@ -4,29 +4,31 @@ Items and documents are lower-cased (A-Z) and cut into words of digits, letters
 characters. Every run of ``WINDOW`` words of an item (the whole item, if it is shorter) is a pattern of
 the automaton; each document is scanned once, in normalised form, and hits map back to its own words.
 
-The test items are a stated query set held in blocks: a block has at most ``block_bytes`` of item text,
-so what one task holds is bounded however many items there are. One block is one pass over the
+The patterns are a stated query set held in blocks by a hash of the pattern: a block has about ``block_bytes``
+of patterns (an automaton takes some 35 times that), so what one task holds is bounded however many items there
+are and however long one is. A worker process builds a block's automaton once. One block is one pass over the
 documents without a shuffle; further blocks are further passes over a stored table.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import defaultdict
+import uuid
+from array import array
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, flat, stored
+from .common import annotate, flat, prepare, stored, utf8
 
 WINDOW = 10
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 8_000_000
 
 #: A-Z to a-z; what is no word character becomes a space. On UTF-8 bytes, all of a non-ASCII character's bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+_built: dict[str, ahocorasick.Automaton | None] = {}  # of this worker process: the newest block's automaton
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -39,65 +41,90 @@ def windows(ws: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(ws[i:i + size]) for i in range(max(1, len(ws) - size + 1))]
 
 
-def automaton(items: list[tuple[object, bytes | None]], size: int = WINDOW) -> ahocorasick.Automaton | None:
+def patterns(items: DataFrame, size: int) -> DataFrame:
+    """``id`` and ``pattern`` (a window's words between single spaces, in UTF-8) of each window of the items ``id`` and ``t``."""
+    prepare(items.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                made = windows(words(text), size)
+                for at in range(0, len(made), 10_000):
+                    own = [b" ".join(w) for w in made[at:at + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.string()), pa.array(own, pa.binary())], ["id", "pattern"])
+
+    return items.mapInArrow(run, "id string, pattern binary").distinct()
+
+
+def automaton(block: list[tuple[bytes, list[str]]]) -> ahocorasick.Automaton | None:
     """Value of a pattern: its number of words and the items that have it. None if there is no pattern."""
-    owners: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for item, text in items:
-        for w in windows(words(text), size):
-            owners[w].add(item)
-    if not owners:
+    if not block:
         return None
     found = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        found.add_word(f" {b' '.join(w).decode('latin-1')} ", (len(w), tuple(ids)))
+    for pattern, ids in block:
+        found.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, tuple(ids)))
     found.make_automaton()
     return found
 
 
-def hits(found: ahocorasick.Automaton | None, ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """Merged word ranges [from, to) inside any occurrence, and the items found."""
-    if found is None or not ws:
-        return [], set()
-    line = f" {b' '.join(ws).decode('latin-1')} "
-    ends, ids = [], set()
-    for end, (n, own) in found.iter(line):
-        ends.append((end, n))
-        ids.update(own)
+def normal(text: bytes) -> np.ndarray:
+    """The words of a text with one space before, between and after them, as bytes; without words, one space."""
+    x = np.frombuffer(b" " + text.translate(FOLD) + b" ", np.uint8)
+    gap = x == 32
+    keep = np.ones(len(x), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    return x[keep]
+
+
+def hits(found: ahocorasick.Automaton | None, line: np.ndarray) -> tuple[np.ndarray, set]:
+    """Merged word ranges [from, to) inside any occurrence, as rows, and the items found."""
+    ends, sizes, ids = array("q"), array("q"), set()
+    if found is not None and len(line) > 1:
+        for end, (n, own) in found.iter(line.tobytes().decode("latin-1")):
+            ends.append(end)
+            sizes.append(n)
+            ids.update(own)
     if not ends:
-        return [], ids
-    stop, at = {}, 0  # position of the space after each word: its number
-    for k, w in enumerate(ws):
-        at += len(w) + 1
-        stop[at] = k + 1
-    return merged([(stop[end] - n, stop[end]) for end, n in ends]), ids
-
-
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        return np.zeros((0, 2), np.int64), ids
+    to = np.searchsorted(np.flatnonzero(line == 32), np.frombuffer(ends, np.int64))  # words before the space where it ends
+    return merged(to - np.frombuffer(sizes, np.int64), to), ids
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranges [a, b) as rows, those that meet or overlap as one."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.concatenate([[True], a[1:] > b[:-1]])
+    return np.stack([a[new], b[np.concatenate([new[1:], [True]])]], axis=1)
 
 
-def original(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def original(text: bytes, ranges: np.ndarray) -> list[tuple[int, int]]:
     """Word ranges as ranges of code points of the original text."""
-    at = [m.span() for m in WORD.finditer(text.decode())] if ranges else []
-    return [(at[a][0], at[b - 1][1]) for a, b in ranges]
+    if not len(ranges):
+        return []
+    gap = np.frombuffer(b" " + text.translate(FOLD) + b" ", np.uint8) == 32
+    edge = np.flatnonzero(gap[1:] != gap[:-1])  # bytes where words begin and end, by turns
+    cuts = np.stack([edge[2 * ranges[:, 0]], edge[2 * ranges[:, 1] - 1]], axis=1).ravel()
+    first = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80  # first bytes of code points
+    upto = np.cumsum([np.count_nonzero(first[i:j]) for i, j in zip([0, *cuts[:-1]], cuts)])
+    return [(int(i), int(j)) for i, j in upto.reshape(-1, 2)]
+
 
+def _scan(block: list):
+    key = uuid.uuid4().hex
 
-def _scan(items: list, size: int):
     def make():
-        found = automaton(items, size)
+        if key not in _built:
+            _built.clear()
+            _built[key] = automaton(block)
+        found = _built[key]
 
         def fn(texts):
             out = []
             for text in texts:
-                ws = words(text)
-                ranges, ids = hits(found, ws)
-                out.append((len(ws), [{"a": a, "b": b} for a, b in ranges], sorted(map(str, ids)),
+                line = normal(text or b"")
+                ranges, ids = hits(found, line)
+                out.append((int(np.count_nonzero(line == 32)) - 1, [{"a": a, "b": b} for a, b in ranges.tolist()], sorted(ids),
                             [{"a": a, "b": b} for a, b in original(text or b"", ranges)]))
             return list(zip(*out, strict=True)) if out else [[], [], [], []]
 
@@ -114,20 +141,21 @@ def scan(docs: DataFrame, bench: DataFrame, keep: list[str], text: str = "text",
     Null or empty texts have no words; items without words, or with a null id or text, find nothing; equal
     items are all reported; repeated rows each get their result; an empty benchmark finds nothing.
     """
-    items = bench.select(F.col(item).alias("id"), F.col(item_text).cast("binary").alias("t")).where("id is not null and t is not null")
-    n = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    items = bench.select(F.col(item).cast("string").alias("id"), F.col(item_text).cast("string").alias("t")).where("id is not null and t is not null")
+    found = stored(patterns(items, size).groupBy("pattern").agg(F.collect_set("id").alias("ids")), "patterns")
+    n = found.agg(F.sum(F.octet_length("pattern") + F.lit(2))).first()[0] or 0
     blocks = max(1, -(-n // block_bytes))
     added = "n_words long, ranges array<struct<a:long,b:long>>, items array<string>, spans array<struct<a:long,b:long>>"
     out = None
     for k in range(blocks):
-        mine = [(r.id, bytes(r.t)) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toLocalIterator()]
+        mine = [(bytes(r.pattern), sorted(r.ids)) for r in found.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).toLocalIterator()]
         if out is None:
             base = list(dict.fromkeys([*keep, text])) if blocks > 1 else keep
-            out = annotate(docs, base, text, _scan(mine, size), added)
+            out = annotate(docs, base, text, _scan(mine), added)
             continue
         before = stored(out, "decontaminate")
         more = before.select(*[F.col("row")[c].alias(c) for c in base], F.struct("ranges", "items", "spans").alias("__before"))
-        out = annotate(more, [*base, "__before"], text, _scan(mine, size), added).select(
+        out = annotate(more, [*base, "__before"], text, _scan(mine), added).select(
             F.struct(*[F.col("row")[c].alias(c) for c in base]).alias("row"), "n_words",
             F.concat("row.__before.ranges", "ranges").alias("ranges"),
             F.array_sort(F.array_distinct(F.concat("row.__before.items", "items"))).alias("items"),

@@ -51,7 +51,7 @@ def test_decontamination(spark, docs, empty):
     named = [(r.item_id, r.text) for r in items.collect() if r.item_id is not None]
     got = sorted(map(tuple, decontaminate.op3_decontaminate(docs, items).collect()), key=str)
     assert got == sorted(((i, *brute.leaks(t, named)) for i, t in texts(docs)), key=str)
-    blocks = decontaminate.scan(docs, items, ["doc_id"], block_bytes=2_000)  # several automata give the same
+    blocks = decontaminate.scan(docs, items, ["doc_id"], block_bytes=120_000)  # several automata give the same
     again = blocks.select("row.doc_id", "n_words", decontaminate.covered(F.col("ranges")), F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256), F.size("ranges") > 0)
     assert sorted(map(tuple, again.collect()), key=str) == got
     assert decontaminate.op3_decontaminate(empty, items).count() == 0
