@@ -38,7 +38,7 @@ def fixed(x, decimals: int, plus: bool = False, thousands: bool = False) -> Colu
     Java's formatter rounds the shortest decimal form half up instead. Here the product
     p = |x| * 10^n and its rounding error e are both exact (Dekker's product, by splitting
     |x| into two halves of 26 bits), which settles every case near one half. Numbers whose
-    product isn't below 2^53 have no such digits left to round and are formatted as they are."""
+    product isn't below 2^53 have no such digits left to round and are formatted as they are. Null stays null."""
     d = _c(x).cast("double")
     scale = float(10**decimals)
     a = F.abs(d)
@@ -56,7 +56,7 @@ def fixed(x, decimals: int, plus: bool = False, thousands: bool = False) -> Colu
     body = F.concat(left, F.lit("."), F.lpad((n % unit).cast("string"), decimals, "0")) if decimals else left
     sign = F.when(d < 0, "-").otherwise("+" if plus else "")
     plain = F.format_string(f"%{'+' if plus else ''}{',' if thousands else ''}.{decimals}f", d)
-    return F.when(p < 9.0e15, F.concat(sign, body)).otherwise(plain)
+    return F.when(p < 9.0e15, F.concat(sign, body)).when(d.isNotNull(), plain)
 
 
 def fmt_num(x, decimals: int = 2, prefix: str = "", suffix: str = "") -> Column:

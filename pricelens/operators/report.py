@@ -254,3 +254,42 @@ def trend_lines(newest: DataFrame) -> DataFrame:
              F.concat(F.lit("SMA 50: $"), v("sma_50", 2), F.lit(" SMA 200: $"), v("sma_200", 2)),
              F.concat(F.lit("RSI: "), v("rsi", 1), F.lit(" Stochastic %K: "), v("stoch_k", 1)), F.concat(F.lit("ATR: "), v("atr", 2)), F.concat(F.lit("Trend: "), trend)]
     return newest.select("ticker", F.concat_ws("\n", *lines).alias("trend"))
+
+
+def briefing(tickers: DataFrame, profile: DataFrame, scored: DataFrame, importance: DataFrame, returns: DataFrame, risk: DataFrame,
+             trend: DataFrame, digest: DataFrame) -> DataFrame:
+    """(ticker, briefing): all blocks of each of ``tickers``, by equi-joins of tables with one row a ticker at most.
+
+    A ticker without a score reads 'N/A' there, risk numbers that are missing print as zero, other missing blocks are
+    empty but for their heading.
+    """
+    d = tickers.select("ticker")
+    for part in (profile, scored.select("ticker", "direction", "confidence"), importance, returns, risk, trend, digest):
+        d = d.join(part, "ticker", "left")
+    zero = lambda c, n: fixed(F.coalesce(C(c), F.lit(0.0)), n)
+    block = lambda c: F.coalesce(C(c), F.lit(""))
+    lines = [
+        F.concat(F.lit("TICKER: "), C("ticker")), block("profile"),
+        F.concat(F.lit("PREDICTION: "), F.coalesce(C("direction"), F.lit("N/A"))),
+        F.concat(F.lit("CONFIDENCE: "), F.coalesce(F.concat(fixed("confidence", 1), F.lit("%")), F.lit("N/A"))),
+        F.lit("INDICATOR IMPORTANCE & VALUES:"), block("importance_text"), F.lit("HISTORICAL RETURNS:"), block("returns_text"), F.lit("RISK METRICS:"),
+        F.concat(F.lit("Annualised Return: "), zero("annual_return", 1), F.lit("%")), F.concat(F.lit("Annualised Volatility: "), zero("annual_volatility", 1), F.lit("%")),
+        F.concat(F.lit("Sharpe Ratio: "), zero("sharpe", 2)), F.concat(F.lit("Sortino Ratio: "), zero("sortino", 2)),
+        F.concat(F.lit("Max Drawdown: "), zero("max_drawdown", 1), F.lit("%")), F.concat(F.lit("Positive Days: "), zero("positive_days", 1), F.lit("%")),
+        F.lit("TREND SIGNALS:"), block("trend"), F.lit("RECENT NEWS:"), block("digest")]
+    return d.select("ticker", F.concat_ws("\n", *lines).alias("briefing"))
+
+
+def freshness(entries: DataFrame, now) -> DataFrame:
+    """What the header and the model card say of each run-log entry: the date, the time in UTC, its age and band, and the
+    accuracy in both forms. Without a time the date is a dash, the age unknown and the band that of 999 days."""
+    from pricelens.functions.scalar import age_text
+    from pricelens.operators.signals import staleness
+    ts, acc = C("retrained_at"), C("accuracy")
+    days = F.coalesce(F.floor((F.unix_timestamp(now) - F.unix_timestamp(ts.cast("timestamp"))) / 86400), F.lit(999))
+    return entries.select(
+        *entries.columns, F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("\u2014")).alias("date_text"),
+        F.coalesce(F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm"), F.lit(" UTC")), F.lit("unknown")).alias("time_text"),
+        age_text(ts.cast("timestamp"), now).alias("age"), staleness(days).alias("band"),
+        F.coalesce(F.concat(fixed(acc * 100, 1), F.lit("% acc")), F.lit("accuracy n/a")).alias("short_accuracy"),
+        F.coalesce(F.concat(fixed(acc * 100, 2), F.lit("%")), F.lit("n/a")).alias("accuracy_text"))

@@ -150,6 +150,12 @@ def chart_tail(bars: DataFrame, n: int = 63) -> DataFrame:
     return with_extent(bars).where(C("rpos") < n).drop("pos", "blk", "n_rows", "rpos")
 
 
+def preview(bars: DataFrame, n: int = 5) -> DataFrame:
+    """The first and the newest ``n`` bars of each ticker; ``part`` is 'head' or 'tail', a bar that is in both has a row for each."""
+    parts = F.array_compact(F.array(F.when(C("pos") < n, "head"), F.when(C("rpos") < n, "tail")))
+    return with_extent(bars).where((C("pos") < n) | (C("rpos") < n)).withColumn("part", F.explode(parts)).drop("blk", "n_rows", "rpos")
+
+
 def bar_direction(df: DataFrame) -> DataFrame:
     """Direction flags per bar: close >= open, MACD histogram >= 0, return >= 0."""
     return df.withColumns({

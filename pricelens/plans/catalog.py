@@ -146,18 +146,10 @@ def _latest(d: DataFrame) -> DataFrame:
 def signal_board(bars: DataFrame) -> DataFrame:
     """Technical state, at its newest bar, of every ticker with enough history (200 bars), with the display bands."""
     from pricelens.operators.labels import min_history
-    d = _latest(I.indicators_full(min_history(prepare(bars))))
-    band3 = lambda x, hi, lo, a, b, c: (F.when(C(x) > hi, a).when(C(x) < lo, b).otherwise(c))
-    return d.select(
-        "ticker", "sector", "ts", "close",
-        F.round("rsi", 4).alias("rsi"),
-        band3("rsi", 70, 30, "OVERBOUGHT", "OVERSOLD", "NEUTRAL").alias("rsi_band"),
-        F.when(C("macd") > 0, "BULLISH").otherwise("BEARISH").alias("macd_band"),
-        band3("bb_position", 0.8, 0.2, "UPPER BAND", "LOWER BAND", "MID RANGE").alias("bb_band"),
-        band3("volume_ratio", 1.5, 0.7, "HIGH VOLUME", "LOW VOLUME", "NORMAL").alias("volume_band"),
-        F.when(C("sma_50") > C("sma_200"), "GOLDEN CROSS").otherwise("DEATH CROSS").alias("trend"),
-        band3("stoch_k", 80, 20, "OVERBOUGHT", "OVERSOLD", "NEUTRAL").alias("stoch_band"),
-    )
+    from pricelens.operators.signals import indicator_bands
+    d = indicator_bands(_latest(I.indicators_full(min_history(prepare(bars)))))
+    return d.select("ticker", "sector", "ts", "close", F.round("rsi", 4).alias("rsi"),
+                    "rsi_band", "macd_band", "bb_band", "volume_band", "trend", "stoch_band")
 
 
 @register("signal_board", IND_SQL + """
@@ -1037,4 +1029,4 @@ def q_cross_rank(spark, sf):
     return rnd(d.withColumns({c: C(c).cast("double") for c in ("rank", "n")}), {"pct_rank": 8})
 
 
-from pricelens.plans import more  # noqa: E402,F401  (registers further queries)
+from pricelens.plans import more, texts  # noqa: E402,F401  (register further queries)

@@ -238,12 +238,16 @@ def q_fundamentals_cards(spark, sf):
     return P.fundamentals_cards(D.company_info(spark, sf))
 
 
-@register("company_profile", S.with_(INFO) + """
-SELECT ticker, concat_ws(chr(10), 'COMPANY: ' || coalesce(longName, ticker), 'SECTOR: Unknown', 'INDUSTRY: ' || coalesce(industry, 'Unknown'),
+def profile_sql(sector: str = "'Unknown'") -> str:
+    return """
+SELECT ticker, concat_ws(chr(10), 'COMPANY: ' || coalesce(longName, ticker), 'SECTOR: ' || """ + sector + """, 'INDUSTRY: ' || coalesce(industry, 'Unknown'),
   'MARKET CAP: $' || CASE WHEN marketCap < 0 THEN '-' ELSE '' END || format('{:,}', abs(round_even(coalesce(marketCap, 0), 0)::BIGINT)),
   '52W RANGE: $' || printf('%.2f', coalesce(fiftyTwoWeekLow, 0)) || ' – $' || printf('%.2f', coalesce(fiftyTwoWeekHigh, 0)),
   'EMPLOYEES: ' || coalesce(fullTimeEmployees::VARCHAR, 'N/A'), 'DESCRIPTION: ' || left(coalesce(longBusinessSummary, ''), 600), """ + ", ".join(
-    f"'{label}: {'$' if f == 'targetMeanPrice' else ''}' || coalesce({f}::VARCHAR, 'N/A')" for label, f in P.PLAIN_LINES) + """) AS profile FROM info""")
+    f"'{label}: {'$' if f == 'targetMeanPrice' else ''}' || coalesce({f}::VARCHAR, 'N/A')" for label, f in P.PLAIN_LINES) + """) AS profile FROM info"""
+
+
+@register("company_profile", S.with_(INFO) + profile_sql())
 def q_company_profile(spark, sf):
     """Head of the briefing and its block of figures."""
     return P.company_profile(D.company_info(spark, sf))

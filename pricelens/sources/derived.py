@@ -224,3 +224,61 @@ def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.pmod(k, F.lit(3)) > 0, k * 37).alias("fullTimeEmployees"), F.when(F.pmod(k, F.lit(3)) < 2, k).alias("numberOfAnalystOpinions"),
                     F.when(F.pmod(k, F.lit(6)) > 0, F.repeat(F.concat(C("s_name"), F.lit(" é ")), (F.pmod(k, F.lit(50)) + 1).cast("int"))).alias("longBusinessSummary"),
                     *[number(i).alias(f) for i, f in enumerate(INFO_NUMBERS)])
+
+
+def board_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of display numbers per order, by remainders of its key: each is missing for some, lies on every bound for others,
+    and falls into every band."""
+    k = C("o_orderkey")
+    part = lambda by, n, low=0, unit=1: ((F.pmod(k * by, F.lit(n)) + low) / unit).cast("double")
+    some = lambda c, n: F.when(F.pmod(k, F.lit(n)) > 0, c)
+    return read_table(spark, sf_dir, "orders", "o_orderkey").select(
+        k.alias("state_id"), some(part(7, 1001, 0, 10), 11).alias("rsi"), some(part(1, 5, -2), 13).alias("macd"), some(part(3, 131, -15, 100), 17).alias("bb_position"),
+        some(part(1, 23, 0, 10), 19).alias("volume_ratio"), some(part(3, 7), 23).alias("sma_50"), some(part(5, 9), 29).alias("sma_200"), some(part(13, 101), 31).alias("stoch_k"),
+        some(part(5, 41, -15, 10), 37).alias("sharpe"), some(part(11, 97, 0, 2), 41).alias("annual_volatility"), some(part(3, 113, -112, 2), 43).alias("max_drawdown"),
+        some(part(7, 41, 90, 2), 47).alias("confidence"), part(1, 90).alias("age_days"), some(part(17, 301, 0) * 1e9, 53).alias("market_cap"))
+
+
+def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON text per supplier: fields are given, missing, null, of another type, or the text is no object at all."""
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_acctbal", "s_nationkey")
+    k = C("s_suppkey")
+    m = lambda n: F.pmod(k, F.lit(n))
+    cents = F.round(C("s_acctbal") * 100).cast("long").cast("string")
+    item = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    body = F.concat(F.lit("{"), F.concat_ws(", ",
+        F.when(m(5) > 0, item("longName", F.concat(F.lit('"'), C("s_name"), F.lit(' \\"Ltd\\""')))),
+        F.when(m(4) == 1, item("sector", F.lit('"Energy"'))).when(m(4) == 2, item("sector", F.lit("null"))).when(m(4) == 3, item("sector", F.lit("7"))),
+        F.when(m(3) > 0, item("industry", F.lit('"Oil & Gas"'))), F.when(m(7) > 2, item("recommendationKey", F.lit('"buy"'))),
+        F.when(m(6) > 0, item("longBusinessSummary", F.concat(F.lit('"'), F.repeat(F.concat(C("s_name"), F.lit(" é ")), 40), F.lit('"')))),
+        F.when(m(6) == 1, item("trailingPE", cents)).when(m(6) == 2, item("trailingPE", F.concat(F.lit('"'), cents, F.lit('"')))).when(m(6) == 3, item("trailingPE", F.lit("12.625")))
+        .when(m(6) == 4, item("trailingPE", F.lit("null"))).when(m(6) == 5, item("trailingPE", F.lit("-2.5e-3"))),
+        F.when(m(4) == 0, item("marketCap", F.concat(cents, F.lit("00000")))).when(m(4) == 1, item("marketCap", F.lit("true"))).when(m(4) == 2, item("marketCap", F.lit("0"))),
+        F.when(m(3) == 0, item("revenueGrowth", F.lit("0.125"))).when(m(3) == 1, item("revenueGrowth", F.lit("[1]"))),
+        F.when(m(2) == 0, item("profitMargins", F.lit("-0.5")))), F.lit("}"))
+    props = F.when(m(31) == 1, "").when(m(31) == 2, '{"longName": "cut').when(m(31) == 3, "[1, 2]").when(m(31) == 4, "null").when(m(31) == 5, F.lit(None)).otherwise(body)
+    return s.select(C("s_name").alias("ticker"), props.alias("props"))
+
+
+def news_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The news items in the provider's nested shape with dates and links; by (ticker + position) % 8 one level or another is missing."""
+    n = news(spark, sf_dir)
+    m = F.pmod(C("ticker") + C("position"), F.lit(8))
+    date = F.concat(F.lit("2024-0"), F.pmod(C("position"), F.lit(9)) + 1, F.lit("-1"), F.pmod(C("ticker"), F.lit(10)), F.lit("T08:30:00Z"))
+    link = F.concat(F.lit("https://example.org/"), C("ticker"), F.lit("/"), C("position"))
+    content = F.struct(
+        F.when(m != 1, C("title")).alias("title"), F.when(m != 2, C("summary")).alias("summary"), F.when(m != 3, date).alias("pubDate"),
+        F.when(m != 4, F.struct(F.when(m != 5, C("publisher")).alias("displayName"))).alias("provider"),
+        F.when(m != 6, F.struct(F.when(m != 7, link).alias("url"))).alias("canonicalUrl"))
+    return n.select("ticker", "position", F.struct(F.when(F.pmod(C("position"), F.lit(5)) != 4, content).alias("content")).alias("item"))
+
+
+def nation_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company per nation: its supplier with the smallest key, under the nation's name; every fifth nation without a sector."""
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey").groupBy("s_nationkey").agg(F.min_by("s_name", "s_suppkey").alias("company"))
+    reg = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
+    nat = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey").join(F.broadcast(reg), C("n_regionkey") == C("r_regionkey"))
+    first = s.join(F.broadcast(nat), C("s_nationkey") == C("n_nationkey"))
+    sector = F.when(F.pmod(C("n_nationkey"), F.lit(5)) > 0, C("r_name"))
+    info = company_info(spark, sf_dir).withColumnRenamed("ticker", "company")
+    return first.select(C("n_name").alias("ticker"), sector.alias("sector"), "company").join(info, "company").drop("company")
