@@ -223,10 +223,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: int = LARGE
     return np.array(out, np.int64).reshape(-1, 5)
 
 
-def ranked(made: DataFrame, n: int, order: list[str], salted: int = SALTED) -> DataFrame:
-    """``rank`` of each row within its ``length``, from 0: rows of a salt group are counted, then numbered."""
-    salts = max(64, n // salted)
-    own = made.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+def ranked(made: DataFrame, histogram: dict[int, int], order: list[str], salted: int = SALTED) -> DataFrame:
+    """``rank`` of each row within its ``length``, from 0: rows of a salt group are counted, then numbered.
+
+    A length has a salt for every ``salted`` of its own rows, so groups are few and none is long; the table of
+    salts has a row for each length, of which there are as many as the capacity at most.
+    """
+    salts = made.sparkSession.createDataFrame([(x, 1 + n // salted) for x, n in histogram.items()], "length long, __salts long")
+    own = made.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64(*order), "__salts")).drop("__salts")
     sizes = own.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = sizes.select("length", "__salt", (F.sum("__n").over(W.partitionBy("length").orderBy("__salt")) - F.col("__n")).alias("__before"))
     numbered = own.withColumn("__k", F.row_number().over(W.partitionBy("length", "__salt").orderBy(*order)))
@@ -239,7 +243,7 @@ def pack(made: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFra
     rows = plan(histogram, capacity)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     keys = rows[:, 0] << 44 | rows[:, 1]  # sorted by length, then by first rank
-    numbered = ranked(made, sum(histogram.values()), order)
+    numbered = ranked(made, histogram, order)
     schema = T.StructType([*numbered.schema, *T.StructType.fromDDL("sequence_id long, offset long")])
 
     def run(batches):

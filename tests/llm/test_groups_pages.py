@@ -294,3 +294,14 @@ def test_entry_without_this_subpackage():
             "assert 'signal_board' in e.queries() and not [q for q in e.queries() if q.startswith('op') or q == 'pipeline'] and 'op9_minhash' not in e.oracle_sql()")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_ranks_of_a_hot_length(spark):
+    """Ranks run from 0 without gaps in every length, and a length has only the salts that its own rows call for."""
+    lengths = [7] * 900 + [8] * 31 + list(range(20, 320))
+    made = spark.createDataFrame([(x, k // 2) for k, x in enumerate(lengths)], "length int, k long")
+    got = {}
+    for r in packing.ranked(made, {x: lengths.count(x) for x in set(lengths)}, ["k"], salted=30).collect():
+        got.setdefault(r.length, []).append(r["rank"])
+    assert {x: sorted(v) for x, v in got.items()} == {x: list(range(lengths.count(x))) for x in set(lengths)}
+    assert packing.ranked(made.where("false"), {}, ["k"]).count() == 0
