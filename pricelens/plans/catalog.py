@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pricelens.operators import indicators as I
 from pricelens.operators.windows import prepare, series_window
 from pricelens.plans import sql as S
+from pricelens.session import ensure_checkpoint_dir
 from pricelens.sources import derived as D
 from pricelens.sources.bars import restrict_period
 
@@ -300,14 +301,21 @@ def q_bar_direction(spark, sf):
 TRAIN_SQL = S.with_(S.BARS, *S.TRAINING, recursive=True)
 
 
-def training_frame(spark, sf, label_mode: str = "strict") -> DataFrame:
+def training_frame(spark, sf, label_mode: str = "strict", bars: DataFrame | None = None) -> DataFrame:
     """bars -> core indicators -> 30-bar label (one plan, one ticker exchange; the
     frame keeps pos/blk so the split reuses the indicator sort)."""
-    return I.add_label(I.indicators_core(prepare(D.bars(spark, sf))), 30, label_mode)
+    return I.add_label(I.indicators_core(prepare(D.bars(spark, sf) if bars is None else bars)), 30, label_mode)
 
 
-def split_frame(spark, sf) -> DataFrame:
-    return L.embargo_split(L.usable_rows(training_frame(spark, sf)))
+def split_frame(spark, sf, bars: DataFrame | None = None) -> DataFrame:
+    return L.embargo_split(L.usable_rows(training_frame(spark, sf, bars=bars)))
+
+
+def kept_bars(spark, sf) -> DataFrame:
+    """The bars, built from the ticks once and stored under the shared checkpoint folder, for a query that needs them
+    in several parts: Spark reuses an exchange only within one job and one shape, and the ticks are what grows."""
+    ensure_checkpoint_dir(spark)
+    return D.bars(spark, sf).checkpoint(eager=True)
 
 
 def preds_frame(spark, sf) -> DataFrame:
@@ -758,13 +766,14 @@ MODEL_ROUNDS = 100  # the reference: 100 stages, depth 3, learning rate 0.1
 _saved: dict[tuple, str] = {}
 
 
-def fitted_model(spark, sf, rounds: int = MODEL_ROUNDS) -> B.SammeModel:
+def fitted_model(spark, sf, rounds: int = MODEL_ROUNDS, bars: DataFrame | None = None) -> B.SammeModel:
     """Model trained on the embargo split's train part. Within one application it is fitted and saved once for each
-    set of tables; later queries load it, as a service does that scores with a saved model."""
+    set of tables; later queries load it, as a service does that scores with a saved model. ``bars``: those of the
+    tables, where the caller has them already."""
     key = (spark.sparkContext.applicationId, str(sf), rounds)
     if key not in _saved:
         path = B.model_path(spark)
-        B.fit_samme(split_frame(spark, sf).where(C("part") == "train"), FEATURES_7, rounds=rounds).save(spark, path)
+        B.fit_samme(split_frame(spark, sf, bars).where(C("part") == "train"), FEATURES_7, rounds=rounds).save(spark, path)
         _saved[key] = path
     return B.SammeModel.load(spark, _saved[key])
 
@@ -786,11 +795,12 @@ def q_boost_importance(spark, sf):
 SELECT ticker, ts, true AS same FROM parts WHERE part = 'test'""")
 def q_model_roundtrip(spark, sf):
     """Save, reload and score the test rows; both models must agree row by row."""
-    m = fitted_model(spark, sf)
+    bars = kept_bars(spark, sf)
+    m = fitted_model(spark, sf, bars=bars)
     path = B.model_path(spark)
     m.save(spark, path)
     m2 = B.SammeModel.load(spark, path)
-    test = split_frame(spark, sf).where(C("part") == "test")
+    test = split_frame(spark, sf, bars).where(C("part") == "test").checkpoint(eager=True)  # both models score the same rows
     a = m.transform(test).select("ticker", "ts", C("decision").alias("d1"))
     b = m2.transform(test).select("ticker", "ts", C("decision").alias("d2"))
     return a.join(b, ["ticker", "ts"]).select("ticker", "ts", (C("d1") == C("d2")).alias("same"))
@@ -862,8 +872,9 @@ def q_importance_rank(spark, sf):
 
 @register("importance_text")
 def q_importance_text(spark, sf):
-    lf = latest_features(spark, sf).select("ticker", *FEATURES_7)
-    return P.importance_lines(lf, T.importance_table(spark, fitted_model(spark, sf)))
+    bars = kept_bars(spark, sf)
+    lf = latest_features(spark, sf, bars).select("ticker", *FEATURES_7)
+    return P.importance_lines(lf, T.importance_table(spark, fitted_model(spark, sf, bars=bars)))
 
 
 @register("train_run")
@@ -877,10 +888,13 @@ def q_train_run(spark, sf):
 
 @register("briefing_text")
 def q_briefing_text(spark, sf):
-    # One bar frame and one latest-feature frame feed every part, so the parts share
-    # their scans and exchanges.
-    bars, model = D.bars(spark, sf), fitted_model(spark, sf)
-    latest = latest_features(spark, sf, bars)
+    return briefings(spark, sf, kept_bars(spark, sf))
+
+
+def briefings(spark, sf, bars: DataFrame) -> DataFrame:
+    """The briefing of every instrument. One stored bar frame and one stored latest-feature frame feed every part."""
+    model = fitted_model(spark, sf, bars=bars)
+    latest = latest_features(spark, sf, bars).checkpoint(eager=True)
     board = signal_board(bars)
     scored = model.transform(latest).select("ticker", "direction", "confidence")
     risk = M.risk_metrics(bars)
@@ -900,8 +914,9 @@ def q_analyse_queries(spark, sf):
     """The interactive flow for a whole table of user search strings: resolve each to an
     instrument, then attach that instrument's briefing (signals, model call, returns,
     risk, importances, fundamentals, news). Unresolved queries keep a null briefing."""
-    r = resolve(D.alias_queries(spark, sf), D.aliases(spark, sf), D.bars(spark, sf), quotes=D.quotes(spark, sf))
-    b = q_briefing_text(spark, sf)
+    bars = kept_bars(spark, sf)
+    r = resolve(D.alias_queries(spark, sf), D.aliases(spark, sf), bars, quotes=D.quotes(spark, sf))
+    b = briefings(spark, sf, bars)
     return r.join(b, "ticker", "left").select("query_id", "query", "ticker", "stage",
                                               *[c for c in b.columns if c != "ticker"])
 

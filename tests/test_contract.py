@@ -60,3 +60,16 @@ def test_plans_have_no_pairs_or_python(spark):
         if hits:
             bad[name] = hits
     assert bad == {}
+
+
+@pytest.mark.parametrize("name", ["briefing_text", "analyse_queries", "model_roundtrip", "importance_text"])
+def test_model_queries_build_the_bars_once(spark, monkeypatch, name):
+    """The ticks are read by one job that stores the bars; every part of the query reads the stored ones."""
+    built, bars = [], catalog.D.bars
+    monkeypatch.setattr(catalog.D, "bars", lambda *a: built.append(a) or bars(*a))
+    monkeypatch.setattr(catalog, "MODEL_ROUNDS", 2)
+    monkeypatch.setattr(catalog.fitted_model, "__defaults__", (2, None))
+    df = catalog.QUERIES[name](spark, SF001)
+    assert len(built) == 1
+    assert "l_shipdate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() > 0
